@@ -32,18 +32,21 @@ def profanity_text(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, f"[{lex.BLANK}\\x{{200B}}-\\x{{200D}}]+", ""))
 
 
-def profanity_hits(text: Column, patterns: tuple[str, ...] = lex.PROFANITY) -> Column:
+def squeezed_profanity_hits(t: Column, patterns: tuple[str, ...] = lex.PROFANITY) -> Column:
     """Non-overlapping hits of every pattern, summed over the patterns.
 
     One combined regex skips the clean majority of texts.
     """
-    t = profanity_text(text)
     total = F.lit(0)
     for p in patterns:
         total = total + ((F.length(t) - F.length(F.replace(t, F.lit(p), F.lit("")))) / F.lit(len(p))).cast("int")
     return F.when(t.rlike("|".join(patterns)), total).otherwise(F.lit(0))
 
 
+def is_profane(text: Column, patterns: tuple[str, ...] = lex.PROFANITY) -> Column:
+    return profanity_text(text).rlike("|".join(patterns))
+
+
 def sentiment_label(label: Column, score: Column, binary: bool = False, floor: float = 0.72, family: str = "") -> Column:
     """Model label to positive / negative / neutral."""
     id_ = F.lower(label)

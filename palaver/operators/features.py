@@ -14,6 +14,15 @@ from palaver.functions import text as text_fn
 from palaver.functions import tone as tone_fn
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a one-row generator.
+
+    A filter on it (or on columns derived from it) is then not copied below the
+    projection, so the value is computed once per row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def attachment_markers(text: Column) -> Column:
     """Markers contained in the text; a photo bundle counts as a photo."""
     marks = F.array(*[F.lit(m) for m in lex.ATTACHMENT_MARKERS])
@@ -44,7 +53,7 @@ def since(messages: DataFrame, day: str | None) -> DataFrame:
 
 def message_features(messages: DataFrame) -> DataFrame:
     """messages(room_id, line, ts, sender, message) -> one row per message with flags."""
-    d = messages.withColumn("_split", notice_fn.split_message(F.col("message")))
+    d = once(messages, "_split", notice_fn.split_message(F.col("message")))
     d = d.withColumn("notices", F.col("_split.notices")).withColumn("tags", F.col("_split.tags"))
     d = d.withColumn(
         "msg", F.when(F.col("_split.user_text") != "", F.col("_split.user_text")).otherwise(F.col("message"))
@@ -67,7 +76,7 @@ def message_features(messages: DataFrame) -> DataFrame:
         trimmed.rlike(lex.PURE_LAUGH).alias("is_pure_laugh"),
         short.between(1, 3).alias("is_short"),
         msg.rlike(lex.PLAN_SIGNAL).alias("has_plan"),
-        msg.rlike(lex.EMOJI).alias("has_emoji"),
+        msg.rlike(lex.PICTOGRAPH).alias("has_emoji"),
         F.hour("ts").isin(*lex.NIGHT_HOURS).alias("is_night"),
         F.dayofweek("ts").isin(1, 7).alias("is_weekend"),
         notice_fn.is_boilerplate(msg).alias("is_boilerplate"),
@@ -89,12 +98,13 @@ def context_score(features: DataFrame) -> Column:
 
 def with_tone(features: DataFrame) -> DataFrame:
     """Add speech level, lexicon sentiment and abuse hits of user texts."""
-    pos, neg, neu = tone_fn.sentiment_hits(F.col("msg"))
     styled = ~F.col("is_system") & ~F.col("is_boilerplate")
+    features = once(features, "_squeezed", F.when(styled, tone_fn.profanity_text(F.col("msg"))))
+    pos, neg, neu = tone_fn.sentiment_hits(F.col("msg"))
     only = lambda c: F.when(styled, c).otherwise(F.lit(0))
     return features.select(
-        "*",
+        *[c for c in features.columns if c != "_squeezed"],
         F.when(styled, tone_fn.speech_level(F.col("msg"))).alias("style"),
         only(pos).alias("positive"), only(neg).alias("negative"), only(neu).alias("neutral"),
-        only(tone_fn.profanity_hits(F.col("msg"))).alias("profanity"),
+        only(tone_fn.squeezed_profanity_hits(F.col("_squeezed"))).alias("profanity"),
     )
