@@ -74,4 +74,5 @@ def sentiment_label(label: Column, score: Column, binary: bool = False, floor: f
 def toxic_percent(label: Column, score: Column) -> Column:
     id_ = F.lower(label)
     toxic = id_.contains("neg") | (id_ == "label_0") | id_.contains("toxic") | id_.contains("offensive")
-    return F.when(toxic, half_up(score * 100.0, 1)).otherwise(half_up((F.lit(1.0) - score) * 3.0, 1))
+    tenths = F.when(toxic, half_up(score * 1000.0)).otherwise(half_up((F.lit(1.0) - score) * 30.0))
+    return tenths / 10.0
