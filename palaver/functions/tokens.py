@@ -100,9 +100,8 @@ def is_noise(term: Column, stop_terms: Iterable[str] = ()) -> Column:
     )
 
 
-def is_stutter(bigram: Column) -> Column:
-    """Two-word labels that repeat themselves or start with a filler."""
-    a, b = F.element_at(F.split(bigram, " "), 1), F.element_at(F.split(bigram, " "), 2)
+def is_stutter(a: Column, b: Column) -> Column:
+    """Word pairs that repeat themselves or hold a filler."""
     nested = a.startswith(b) | b.startswith(a)
     return F.when(
         nested, (a == b) | (F.abs(F.length(a) - F.length(b)) <= 4)

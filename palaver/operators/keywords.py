@@ -141,7 +141,7 @@ def candidates(
 
     label = F.concat_ws(" ", "a", "b")
     bi = vocab.filter("b is not null").join(limits, ROOM).filter(F.col("df") >= F.col("min_bigram_df"))
-    bi = bi.filter(~bad(F.col("a")) & ~bad(F.col("b")) & ~bad(label) & ~tok.is_stutter(label))
+    bi = bi.filter(~bad(F.col("a")) & ~bad(F.col("b")) & ~bad(label) & ~tok.is_stutter(F.col("a"), F.col("b")))
     ends = terms.filter(F.col("df") >= 2)
     bi = bi.join(ends.select("room_id", F.col("term").alias("a"), F.col("df").alias("df_a")), ["room_id", "a"], "left")
     bi = bi.join(ends.select("room_id", F.col("term").alias("b"), F.col("df").alias("df_b")), ["room_id", "b"], "left")
