@@ -110,7 +110,7 @@ def normalise(text: Column, keep_english=True, keep_numbers=True, keep_punctuati
         allowed += ".,?!"
     if repeat_to > 0:
         text = F.regexp_replace(text, r"(\S)\1{3,}", "$1" * repeat_to)
-    return F.trim(F.regexp_replace(F.regexp_replace(text, f"[^{allowed}]", " "), " +", " "))
+    return F.trim(F.regexp_replace(text, f"[^{allowed}]+", " "))
 
 
 def embedding_text(text: Column, prefix: str | None) -> Column:

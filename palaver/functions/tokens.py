@@ -24,9 +24,9 @@ def canonical(term: Column) -> Column:
     return F.when(term.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*$"), _lookup(lex.CANONICAL_TERMS, low)).otherwise(term)
 
 
-def _plain(token: Column) -> Column:
-    t = F.when(token.rlike(r"^[A-Za-z0-9_+-]+$"), F.lower(token)).otherwise(token)
-    return canonical(t)
+# a word with at least one letter; linear in the text (possessive, anchored at word starts)
+_WORD = "(?<![가-힣A-Za-z0-9])[0-9]*+[가-힣A-Za-z][가-힣A-Za-z0-9]*+"
+_BRAND = "(?i)" + "|".join(lex.CANONICAL_TERMS)
 
 
 def tokens(text: Column, extra: Tokenizer | None = None) -> Column:
@@ -34,12 +34,16 @@ def tokens(text: Column, extra: Tokenizer | None = None) -> Column:
 
     by its stem when six or more Hangul letters are glued together. ``extra`` is the
     hook for a morphological analyser; its tokens come first.
+
+    One regex cuts the whole text; per-word work is limited to cheap string tests, and
+    the rare cases (brand names, glued Hangul) are entered only by texts that have them.
     """
     doc = normalise(text)
-    words = F.filter(
-        F.transform(F.split(doc, " "), _plain),
-        lambda t: F.length(t).between(2, 32) & t.rlike(lex.LETTER),
-    )
+    ascii_lower = lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(t)
+    words = F.transform(F.regexp_extract_all(doc, F.lit(_WORD), 0), ascii_lower)
+    words = F.filter(words, lambda t: F.length(t).between(2, 32))
+    spelled = F.filter(F.transform(words, lambda t: _lookup(lex.CANONICAL_TERMS, t)), lambda t: F.length(t) >= 2)
+    words = F.when(text.rlike(_BRAND), spelled).otherwise(words)
     pair = lambda t: F.array(
         t,
         F.when(
@@ -47,8 +51,9 @@ def tokens(text: Column, extra: Tokenizer | None = None) -> Column:
             canonical(F.regexp_replace(t, lex.GLUED_ENDING, "")),
         ),
     )
-    # stems only when the text has glued Hangul at all
-    found = F.when(doc.rlike("[가-힣]{6,}"), F.array_compact(F.flatten(F.transform(words, pair)))).otherwise(words)
+    found = F.when(
+        text.rlike("[가-힣]{6,}"), F.array_compact(F.flatten(F.transform(words, pair)))
+    ).otherwise(words)
     if extra is not None:
         found = F.concat(F.coalesce(extra(doc), F.array().cast("array<string>")), found)
     return F.array_distinct(found)
@@ -63,43 +68,46 @@ def normalise_term(term: Column) -> Column:
     return F.coalesce(F.try_element_at(known, t), F.try_element_at(known, stripped), stripped)
 
 
+_ENDING = lex.CHAT_ENDING[:-1]
+# drop the ending that starts leftmost, but only if two characters remain
+_STEM = f"^(?!.?{_ENDING}$)(.{{2,}}?){_ENDING}$"
+_NOISE = r"^\d{1,4}$|^[A-Za-z]{1,3}$|[_/]|^[ㄱ-ㅎㅏ-ㅣ]+$|^(?=.*[^A-Za-z])[^ ]{8,}$"
+
+
 def discourse_stem(term: Column) -> Column:
-    w = F.trim(term)
-    for _ in range(2):
-        nxt = F.regexp_replace(w, lex.CHAT_ENDING, "")
-        w = F.when(F.length(nxt) >= 2, nxt).otherwise(w)
-    return w
+    """Up to two sentence endings removed."""
+    return F.regexp_replace(F.regexp_replace(term, _STEM, "$1"), _STEM, "$1")
+
+
+def _small_talk(stop_terms: Iterable[str]) -> list[str]:
+    return list(dict.fromkeys([*lex.DISCOURSE_TERMS, *stop_terms, ""]))
 
 
 def is_discourse(term: Column, stop_terms: Iterable[str] = ()) -> Column:
-    """Small talk, also after its sentence ending is removed."""
-    words = list(dict.fromkeys([*lex.DISCOURSE_TERMS, *stop_terms]))
-    t = F.trim(term)
-    return (t == "") | t.isin(words) | discourse_stem(t).isin(words)
+    """Small talk, also after its sentence endings are removed."""
+    words = _small_talk(stop_terms)
+    return term.isin(words) | discourse_stem(term).isin(words)
 
 
 def is_noise(term: Column, stop_terms: Iterable[str] = ()) -> Column:
-    """Terms of no use as a keyword."""
-    w = F.trim(term)
-    parts = F.split(w, " ")
+    """Single terms of no use as a keyword: one pattern, one word list, one stem test."""
+    words = _small_talk(stop_terms)
+    listed = [*words, *lex.HANGUL_FRAGMENTS, *lex.AMBIGUOUS_TERMS]
     return (
-        (F.length(w) < 2)
-        | w.rlike(r"^\d{1,4}$")
-        | w.rlike("^[A-Za-z]{1,3}$")
-        | (w.rlike("^[A-Za-z]+$") & (F.length(w) <= 8) & F.lower(w).isin(*lex.NOISE_LATIN))
-        | w.rlike("[_/]")
-        | w.rlike("^[ㄱ-ㅎㅏ-ㅣ]+$")
-        | w.isin(*lex.HANGUL_FRAGMENTS)
-        | is_discourse(w, stop_terms)
-        | (~w.contains(" ") & w.isin(*lex.AMBIGUOUS_TERMS))
-        | ((F.length(w) >= 8) & ~w.contains(" ") & ~w.rlike("^[A-Za-z]+$"))
-        | (
-            w.contains(" ")
-            & F.forall(parts, lambda p: is_discourse(p, stop_terms) | p.isin(*lex.HANGUL_FRAGMENTS))
-        )
+        (F.length(term) < 2)
+        | term.isin(listed)
+        | F.lower(term).isin(*lex.NOISE_LATIN)
+        | term.rlike(_NOISE)
+        | discourse_stem(term).isin(words)
     )
 
 
+def is_noise_phrase(label: Column, stop_terms: Iterable[str] = ()) -> Column:
+    """Labels with blanks are noise when every word is small talk or a fragment."""
+    weak = lambda p: is_discourse(p, stop_terms) | p.isin(*lex.HANGUL_FRAGMENTS)
+    return F.when(label.contains(" "), F.forall(F.split(label, " "), weak)).otherwise(is_noise(label, stop_terms))
+
+
 def is_stutter(a: Column, b: Column) -> Column:
     """Word pairs that repeat themselves or hold a filler."""
     nested = a.startswith(b) | b.startswith(a)
@@ -112,7 +120,7 @@ def pairs_up(a: Column, b: Column) -> Column:
     """May two neighbouring tokens form a bigram?"""
     return (
         (F.length(a) >= 2) & (F.length(b) >= 2) & (F.length(a) + F.length(b) <= 28)
-        & ~a.rlike(r"^\d+$") & ~b.rlike(r"^\d+$")
+        & (F.translate(a, "0123456789", "") != "") & (F.translate(b, "0123456789", "") != "")
     )
 
 

@@ -86,14 +86,20 @@ def message_features(messages: DataFrame) -> DataFrame:
     )).drop("_eligible")
 
 
-def context_score(features: DataFrame) -> Column:
-    """Weight of a message as a context sample; length is that of the scrubbed text."""
+def scored_context(features: DataFrame) -> DataFrame:
+    """Scrubbed user texts with their weight as a context sample."""
+    user = features.filter(~F.col("is_system")).select("*", text_fn.scrub(F.col("msg")).alias("text"))
     flag = lambda c, w: F.when(F.col(c), w).otherwise(0)
-    return (
-        F.least(F.lit(40), text_fn.utf16_length(text_fn.scrub(F.col("msg")))).cast("int")
-        + flag("has_plan", 18) + flag("has_question", 10) + flag("has_attachment", 10)
-        + flag("has_link", 8) + flag("is_laugh", 5)
+    size = text_fn.utf16_length(F.col("text"))
+    score = (
+        F.least(F.lit(40), size) + flag("has_plan", 18) + flag("has_question", 10)
+        + flag("has_attachment", 10) + flag("has_link", 8) + flag("is_laugh", 5)
+    )
+    d = user.select(
+        "room_id", "day", "line", "sender", "text", score.alias("score"), size.alias("length"),
+        "has_plan", "has_question", "has_attachment", "has_link", "is_laugh",
     )
+    return d.filter((F.col("length") >= 4) & ~F.col("text").rlike(lex.PURE_LAUGH))
 
 
 def with_tone(features: DataFrame) -> DataFrame:

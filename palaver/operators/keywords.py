@@ -132,20 +132,19 @@ def candidates(
     stop = tuple(dict.fromkeys([*STOP_TERMS, *stop_terms]))
     vocab = materialise(vocabulary(docs), "vocabulary")
     limits = thresholds(vocab, totals, korean_primary)
-    terms = vocab.filter("a is not null and b is null").select("room_id", F.col("a").alias("term"), "df")
-    bad = lambda t: t.isin(*stop) | tok.is_noise(t, stop_terms)
     n, avg = F.col("n_docs"), F.col("avg_len")
+    terms = vocab.filter("a is not null and b is null").select("room_id", F.col("a").alias("term"), "df")
+    # no keyword occurs once; the parts of a bigram are at least as frequent as the bigram
+    good = terms.filter(F.col("df") >= 2).filter(~F.col("term").isin(*stop) & ~tok.is_noise(F.col("term"), stop_terms))
 
-    uni = terms.join(limits, ROOM).filter(F.col("df") >= F.col("min_df")).filter(~bad(F.col("term")))
+    uni = good.join(limits, ROOM).filter(F.col("df") >= F.col("min_df"))
     uni = uni.select("room_id", F.col("term").alias("label"), F.col("df").alias("hits"), bm25(F.col("df"), F.col("df"), n, avg).alias("score"))
 
     label = F.concat_ws(" ", "a", "b")
-    bi = vocab.filter("b is not null").join(limits, ROOM).filter(F.col("df") >= F.col("min_bigram_df"))
-    bi = bi.filter(~bad(F.col("a")) & ~bad(F.col("b")) & ~bad(label) & ~tok.is_stutter(F.col("a"), F.col("b")))
-    ends = terms.filter(F.col("df") >= 2)
-    bi = bi.join(ends.select("room_id", F.col("term").alias("a"), F.col("df").alias("df_a")), ["room_id", "a"], "left")
-    bi = bi.join(ends.select("room_id", F.col("term").alias("b"), F.col("df").alias("df_b")), ["room_id", "b"], "left")
-    bi = bi.na.fill(0, ["df_a", "df_b"])
+    bi = vocab.filter("b is not null and df >= 2").join(limits, ROOM).filter(F.col("df") >= F.col("min_bigram_df"))
+    bi = bi.filter(~label.isin(*stop) & ~tok.is_stutter(F.col("a"), F.col("b")))
+    bi = bi.join(good.select("room_id", F.col("term").alias("a"), F.col("df").alias("df_a")), ["room_id", "a"])
+    bi = bi.join(good.select("room_id", F.col("term").alias("b"), F.col("df").alias("df_b")), ["room_id", "b"])
     score = bm25(F.col("df"), F.col("df"), n, avg) * BIGRAM_BOOST * pmi_multiplier(F.col("df"), F.col("df_a"), F.col("df_b"), n)
     bi = bi.select("room_id", label.alias("label"), F.col("df").alias("hits"), score.alias("score"))
     return materialise(uni.unionByName(bi).withColumn("score", half_up(F.col("score"), 9)), "candidates")
