@@ -25,23 +25,36 @@ def clamp_percent(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), half_up(F.coalesce(value, F.lit(0.0)), 1)))
 
 
-def _one_decimal(value: Column) -> Column:
-    """One decimal, without a trailing ``.0``."""
-    return F.regexp_replace(F.format_string("%.1f", value), r"\.0$", "")
+def _tenths(n: Column, unit: int) -> Column:
+    """n / unit with one decimal, no trailing ``.0``.
+
+    A tie is decided by the binary value of the quotient, as printing a double does:
+    the quotient times 2^52 is an exact integer and is compared with n * 2^52 / unit.
+    """
+    step = unit // 10
+    rest = F.pmod(n, F.lit(step)) * 2
+    exact = (n / F.lit(float(unit)) * F.lit(float(2**52))).cast("bigint").cast("decimal(20,0)") * F.lit(unit).cast("decimal(10,0)")
+    tie_up = exact >= n.cast("decimal(12,0)") * F.lit(2**52).cast("decimal(17,0)")
+    up = F.when((rest > step) | ((rest == step) & tie_up), 1).otherwise(0)
+    tenths = F.floor(n / F.lit(step)) + up
+    digit = F.pmod(tenths, F.lit(10))
+    return F.concat(
+        F.floor(tenths / 10).cast("string"),
+        F.when(digit == 0, F.lit("")).otherwise(F.concat(F.lit("."), digit.cast("string"))),
+    )
 
 
 def compact_number(value: Column) -> Column:
     """12,345 -> 1.2만, 123,456,789 -> 1.2억."""
-    n = half_up(value)
-    eok, man = n / 1e8, n / 1e4
-    whole = lambda c: half_up(c).cast("bigint").cast("string")
+    n = half_up(value).cast("bigint")
+    whole = lambda unit: half_up(n / F.lit(float(unit))).cast("bigint").cast("string")
     return (
         F.when(n.isNull() | (value < 0), F.lit("0"))
-        .when(n >= 1e9, F.concat(whole(eok), F.lit("억")))
-        .when(n >= 1e8, F.concat(_one_decimal(eok), F.lit("억")))
-        .when(n >= 1e6, F.concat(whole(man), F.lit("만")))
-        .when(n >= 1e4, F.concat(_one_decimal(man), F.lit("만")))
-        .otherwise(F.format_number(n.cast("bigint"), 0))
+        .when(n >= 1_000_000_000, F.concat(whole(100_000_000), F.lit("억")))
+        .when(n >= 100_000_000, F.concat(_tenths(n, 100_000_000), F.lit("억")))
+        .when(n >= 1_000_000, F.concat(whole(10_000), F.lit("만")))
+        .when(n >= 10_000, F.concat(_tenths(n, 10_000), F.lit("만")))
+        .otherwise(F.format_number(n, 0))
     )
 
 
@@ -52,7 +65,7 @@ def gap_text(minutes: Column) -> Column:
         F.when(minutes.isNull(), F.lit("—"))
         .when(minutes < 1.0 / 60.0, F.lit("1초 미만"))
         .when(minutes < 1, F.concat(seconds, F.lit("초")))
-        .when(minutes < 10, F.concat(_one_decimal(half_up(minutes, 1)), F.lit("분")))
+        .when(minutes < 10, F.concat(F.regexp_replace(half_up(minutes, 1).cast("string"), r"\.0$", ""), F.lit("분")))
         .otherwise(F.concat(half_up(minutes).cast("bigint").cast("string"), F.lit("분")))
     )
 
