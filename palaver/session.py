@@ -30,6 +30,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+_LOCAL: dict[str, str] = {}  # fallback folder per local application
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster in ``spark.checkpoint.dir``.
 
@@ -43,9 +46,10 @@ def work_dir(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    shared = tempfile.mkdtemp(prefix="palaver-")
-    spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="palaver-")
+    return _LOCAL[app]
 
 
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -119,10 +119,10 @@ def plan_ranges(paths: list[str], split: int) -> list[FileRange]:
     return out
 
 
-def _lines(path: str, start: int, end: int):
+def _lines(path: str, start: int):
     """(offset, line) from the first line start at or after ``start`` (the owner of a line
 
-    is the range that holds its first byte), going on past ``end`` as long as asked."""
+    is the range that holds its first byte), to the end of the file."""
     with open(path, "rb") as f:
         f.seek(max(start - 1, 0))
         if start > 0:
@@ -146,8 +146,13 @@ def read_range(part: FileRange):
     def row(c):
         return (part.path, c[0], c[1], _timestamp(c[1]), c[2], "\n".join(c[3]), encoding, c[4])
 
-    for offset, data in _lines(part.path, part.start, part.end):
-        if START.match(data):
+    for offset, data in _lines(part.path, part.start):
+        if offset == 0:
+            names = header_fields(data.decode(codec, errors="replace"))
+            if names[:3] != HEADER:
+                found = ",".join(names) or "(empty)"
+                early.append((0, "unexpected_header", f"Expected Date,User,Message header but found {found}."))
+        elif START.match(data):
             if current:
                 yield row(current)
                 current = None
@@ -163,12 +168,7 @@ def read_range(part: FileRange):
         elif offset >= part.end:
             break
         elif first:
-            text = data.decode(codec, errors="replace")
-            if offset == 0:
-                names = header_fields(text)
-                if names[:3] != HEADER:
-                    early.append((0, "unexpected_header", "Expected Date,User,Message header but found " + (",".join(names) or "(empty)") + "."))
-            elif text.strip():
+            if data.strip():
                 early.append((offset, "continuation_without_record", "Found a continuation line before the first dated message."))
     if current:
         yield row(current)

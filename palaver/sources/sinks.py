@@ -1,4 +1,4 @@
-"""Gold tables to parquet or JSON, and silver messages by room bucket."""
+"""Gold tables to parquet or JSON, silver messages partitioned by month."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
         d.write.mode("overwrite").format(fmt).save(f"{folder.rstrip('/')}/{name}")
 
 
-def write_silver(messages: DataFrame, folder: str, months: bool = True) -> None:
+def write_silver(messages: DataFrame, folder: str) -> None:
     """Messages partitioned by month: dates prune, and one huge room spreads over files.
 
     Partitioning by room would make one directory per room and one hot directory.
