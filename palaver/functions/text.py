@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from palaver.functions import lexicon as lex
 
 
+_BLANKS = "\t\n\x0b\f\r \u00a0" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim_all(text: Column) -> Column:
     """Trim every Unicode blank, not only the ASCII space."""
-    return F.regexp_replace(text, f"^[{lex.BLANK}]+|[{lex.BLANK}]+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def squeeze(text: Column) -> Column:
-    """Runs of blanks become one space."""
-    return F.regexp_replace(text, f"[{lex.BLANK}]+", " ")
+    """Runs of blanks become one space; single spaces are left alone."""
+    return F.regexp_replace(text, f"[{lex.BLANK}]{{2,}}|[{lex.BLANK}&&[^ ]]", " ")
 
 
 def utf16_length(text: Column) -> Column:

@@ -79,6 +79,11 @@ def discourse_stem(term: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(term, _STEM, "$1"), _STEM, "$1")
 
 
+def _has_ending(term: Column) -> Column:
+    """Endings are Hangul, so plain ASCII words skip the stem patterns."""
+    return F.octet_length(term) != F.length(term)
+
+
 def _small_talk(stop_terms: Iterable[str]) -> list[str]:
     return list(dict.fromkeys([*lex.DISCOURSE_TERMS, *stop_terms, ""]))
 
@@ -86,7 +91,7 @@ def _small_talk(stop_terms: Iterable[str]) -> list[str]:
 def is_discourse(term: Column, stop_terms: Iterable[str] = ()) -> Column:
     """Small talk, also after its sentence endings are removed."""
     words = _small_talk(stop_terms)
-    return term.isin(words) | discourse_stem(term).isin(words)
+    return term.isin(words) | (_has_ending(term) & discourse_stem(term).isin(words))
 
 
 def is_noise(term: Column, stop_terms: Iterable[str] = ()) -> Column:
@@ -98,7 +103,7 @@ def is_noise(term: Column, stop_terms: Iterable[str] = ()) -> Column:
         | term.isin(listed)
         | F.lower(term).isin(*lex.NOISE_LATIN)
         | term.rlike(_NOISE)
-        | discourse_stem(term).isin(words)
+        | (_has_ending(term) & discourse_stem(term).isin(words))
     )
 
 

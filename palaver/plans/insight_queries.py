@@ -9,10 +9,12 @@ from palaver.operators import flow as fl
 from palaver.operators import insights as ins
 from palaver.operators import series as ser
 from palaver.plans.activity_queries import ARC, BURST, EV, GINI, HOT, PEOPLE
-from palaver.plans.chat_queries import PULSE
+from palaver.plans.chat_queries import EVENTS, N, PEOPLE as CHAT_PEOPLE, PULSE
 from palaver.plans.chat_sql import CHAT_F, TONE, squeeze_sql, trim_sql
 from palaver.plans.registry import pct_sql, query, round_sql
 from palaver.plans.report import Report
+from palaver.plans.text_sql import CHAT_KW, CHAT_TK
+from palaver.plans.topic_queries import SCORED
 from palaver.sources import tables as src
 
 
@@ -94,18 +96,38 @@ def mood_turns(spark, folder):
     return ins.mood_turns(_report(spark, folder).sentiment)
 
 
-@query("moments")
+HOT_TOPICS = DAYS + BURSTS + SCORED + """
+, hd as (select *, avg(messages) over (partition by room_id) as av, row_number() over (partition by room_id order by messages desc, day) as rk from d)
+, hb as (select * from hd where rk <= 10)
+, dt as (select room_id, cast(ts as date) as day, term, count(*) as c from tk group by 1, 2, 3)
+, dk as (select room_id, day, string_agg(term, ' ' order by r) as keywords, list(term order by r) as kws from (select *, row_number() over (partition by room_id, day order by c desc, length(term) desc, term) as r from dt) where r <= 4 group by 1, 2)
+, sm as (select cx.*, has_plan, has_question, has_attachment or has_link as sh, is_laugh from cx join f using (room_id, line))
+, sg as (select room_id, day, count(*) filter (where has_plan) as plans, count(*) filter (where has_question) as questions, count(*) filter (where sh) as shares, count(*) filter (where is_laugh) as laughs from sm group by 1, 2)
+, sd as (select room_id, day, sender, count(*) as c from f where not is_system group by 1, 2, 3)
+, sk as (select room_id, day, string_agg(sender, ' ' order by r) as speakers from (select *, row_number() over (partition by room_id, day order by c desc, sender) as r from sd) where r <= 3 group by 1, 2)
+, pf as (select sm.room_id, sm.day, text, row_number() over (partition by sm.room_id, sm.day order by len(list_filter(kws, lambda k: contains(lower(text), lower(k)))) > 0 desc, score desc, length desc, line) as r from sm join dk on dk.room_id = sm.room_id and dk.day = sm.day)
+, pe0 as (select room_id, day, case when length(text) > 56 then substr(text, 1, 55) || '…' else text end as e, min(r) as r from pf where r <= 2 group by 1, 2, 3)
+, pg as (select room_id, day, string_agg(e, ' | ' order by r) as evidence from pe0 group by 1, 2)
+, ho as (select hb.room_id, hb.day, hb.messages, """ + round_sql("hb.messages / greatest(av, 1.0)", 1) + """ as lift, coalesce(keywords, '') as keywords, plans, questions, shares, laughs, speakers, bu.day is not null as is_burst, evidence
+ from hb left join dk using (room_id, day) left join sg using (room_id, day) left join sk using (room_id, day) left join pg using (room_id, day) left join bu on bu.room_id = hb.room_id and bu.day = hb.day)
+"""
+MOMENT_ROWS = """, a as (select *, avg(messages) over (partition by room_id) as av, count(*) over (partition by room_id) as n, row_number() over (partition by room_id order by messages desc, day) as r, sum(messages) over (partition by room_id order by day) as hi from d)
+, mo as (select room_id, day, 'peak_activity' as type, 'peak' as title, messages from a where messages >= av * 2 union all select room_id, day, 'shared_joy', 'busy_day', messages from a where r <= greatest(1, ceil(n * 0.1))
+ union all select room_id, arg_min(day, line), 'milestone', 'first', 1 from f group by 1 union all select room_id, arg_max(day, line), 'milestone', 'last', 1 from f group by 1
+ union all select room_id, day, 'milestone', 'message ' || v, v from a, (values (1000), (5000), (10000), (50000), (100000)) t(v) where v > hi - messages and v <= hi union all select room_id, day, type, title, 0 from mt)"""
+WEIGHT = "case type when 'peak_activity' then 50 when 'emotional_spike' then 44 when 'shared_joy' then 38 when 'conflict_resolution' then 36 else 22 end + log10(greatest(messages, 1))"
+
+
+@query("moments", CHAT_TK + HOT_TOPICS + SENT.replace(DAYS, "") + MOMENT_ROWS + ", ms as (select mo.*, keywords, " + round_sql(f"{WEIGHT} + case when coalesce(keywords, '') <> '' then 12 else 0 end".replace("messages", "mo.messages"), 6) + """ as score from mo left join ho using (room_id, day))
+  , tz as (select * from ms qualify row_number() over (partition by room_id, type order by score desc, day, title) <= 2)
+select room_id, day, type, title, cast(messages as bigint) as messages, keywords, score, row_number() over (partition by room_id order by score desc, day, type, title) as rank from tz qualify rank <= 8""")
 def moments(spark, folder):
     return _report(spark, folder).moments
 
 
-@query("moments_plain", CHAT_F + SENT + """, a as (select *, avg(messages) over (partition by room_id) as av, count(*) over (partition by room_id) as n, row_number() over (partition by room_id order by messages desc, day) as r, sum(messages) over (partition by room_id order by day) as hi from d)
-, mo as (select room_id, day, 'peak_activity' as type, 'peak' as title, messages from a where messages >= av * 2 union all select room_id, day, 'shared_joy', 'busy_day', messages from a where r <= greatest(1, ceil(n * 0.1))
- union all select room_id, arg_min(day, line), 'milestone', 'first', 1 from f group by 1 union all select room_id, arg_max(day, line), 'milestone', 'last', 1 from f group by 1
- union all select room_id, day, 'milestone', 'message ' || v, v from a, (values (1000), (5000), (10000), (50000), (100000)) t(v) where v > hi - messages and v <= hi union all select room_id, day, type, title, 0 from mt)
-, sc as (select *, """ + round_sql("case type when 'peak_activity' then 50 when 'emotional_spike' then 44 when 'shared_joy' then 38 when 'conflict_resolution' then 36 else 22 end + log10(greatest(messages, 1))", 6) + """ as score from mo)
-, t2 as (select * from sc qualify row_number() over (partition by room_id, type order by score desc, day, title) <= 2)
-select room_id, day, type, title, cast(messages as bigint) as messages, score, row_number() over (partition by room_id order by score desc, day, type, title) as rank from t2 qualify rank <= 8""")
+@query("moments_plain", CHAT_F + SENT + MOMENT_ROWS + ", ms as (select *, " + round_sql(WEIGHT, 6) + """ as score from mo)
+  , tz as (select * from ms qualify row_number() over (partition by room_id, type order by score desc, day, title) <= 2)
+select room_id, day, type, title, cast(messages as bigint) as messages, score, row_number() over (partition by room_id order by score desc, day, type, title) as rank from tz qualify rank <= 8""")
 def moments_plain(spark, folder):
     """Moments without the keyword bonus (no hot topics given)."""
     r = _report(spark, folder)
@@ -114,7 +136,7 @@ def moments_plain(spark, folder):
     return ins.moments(r.days, r.sentiment, ser.milestones(r.days), ends, none).drop("keywords")
 
 
-@query("hot_topics")
+@query("hot_topics", CHAT_TK + HOT_TOPICS + "select * from ho")
 def hot_topics(spark, folder):
     return _report(spark, folder).hot_topics
 
@@ -145,12 +167,61 @@ def personas(spark, folder):
     return _report(spark, folder).personas
 
 
-@query("highlights")
+ROOM = CHAT_KW + PULSE + EVENTS.replace(N, "") + PACE + BURSTS + PHRASES + CHAT_PEOPLE + f"""
+, tp as (select room_id, sender as top_sender, share_percent as top_share from pe qualify row_number() over (partition by room_id order by messages desc, first_line) = 1)
+, hh as (select room_id, hour as peak_hour from f group by 1, 2 qualify row_number() over (partition by room_id order by count(*) desc, hour) = 1)
+, wd as (select room_id, dayofweek(day) as busiest_weekday from f group by 1, 2 qualify row_number() over (partition by room_id order by count(*) desc, dayofweek(day)) = 1)
+, gr as (select room_id, gap, row_number() over (partition by room_id order by gap) - 1 as i, count(*) over (partition by room_id) as n from u where gap > 0 and gap <= 604800000)
+, gq as (select room_id, {round_sql('max(gap) filter (where i = least(n - 1, cast(floor(n * 0.5) as bigint))) / 60000.0', 1)} as median_minutes, {round_sql('max(gap) filter (where i = least(n - 1, cast(floor(n * 0.9) as bigint))) / 60000.0', 1)} as p90_minutes from gr group by 1)
+, ru as (select room_id, run, count(*) as c from (select *, sum(case when ps is null or ps <> sender then 1 else 0 end) over (partition by room_id order by line rows unbounded preceding) as run from u) group by 1, 2)
+, mg as (select room_id, {pct_sql('sum(greatest(c - 2, 0))', 'max(total_messages)')} as monologue_percent from ru join tot using (room_id) group by 1)
+, fc as (select room_id, max(total_messages) as total_messages, date_diff('day', cast(arg_min(ts, line) as date), cast(arg_max(ts, line) as date)) + 1 as span_days,
+  {pct_sql('count(*) filter (where not is_system and is_night)', 'count(*)')} as night_percent, {pct_sql('count(*) filter (where not is_system and is_weekend)', 'count(*)')} as weekend_percent,
+  count(*) filter (where not is_system and has_emoji) as emoji_messages, count(*) filter (where not is_system and has_attachment) as attachment_messages, count(*) filter (where not is_system and is_pure_laugh) as pure_laugh_messages,
+  {pct_sql('count(*) filter (where not is_system and is_laugh)', 'count(*)')} as laugh_per_100, {pct_sql('count(*) filter (where not is_system and has_emoji)', 'count(*)')} as emoji_per_100 from f join tot using (room_id) group by 1)
+, so as (select room_id, max(date_diff('day', pv, day) - 1) as max_silence from (select *, lag(day) over (partition by room_id order by day) as pv from d) group by 1)
+, bs as (select room_id, count(*) as burst_days, max(messages) as top_burst, cast(arg_min(day, rank) as varchar) as top_burst_day from bu group by 1)
+, ar as (select room_id, sum(messages) filter (where n >= 10 and a <= 7) as head, sum(messages) filter (where n >= 10 and a > n - 7) as tail from (select *, row_number() over (partition by room_id order by day) as a, count(*) over (partition by room_id) as n from d) group by 1)
+, ks as (select room_id, {round_sql('count(*) / cast(sum(count) as double) * 100.0', 1)} as richness from kl group by 1)
+, pk as (select room_id, max(hidden) as ph_n, cast(arg_max(day, hidden * 100000 - date_diff('day', date '1970-01-01', day)) as varchar) as ph_d, max("join") as pj_n, cast(arg_max(day, "join" * 100000 - date_diff('day', date '1970-01-01', day)) as varchar) as pj_d, max(hidden + kick) as pm_n, cast(arg_max(day, (hidden + kick) * 100000 - date_diff('day', date '1970-01-01', day)) as varchar) as pm_d from pu group by 1)
+, rr as (select *, {round_sql('tail / cast(head as double)', 2)} as ratio, {round_sql('tail / cast(head as double) * 100.0')} as ratio100, "join" + leave + deleted + hidden + kick as sysn from fc join pc using (room_id) join tp using (room_id) join hh using (room_id) join wd using (room_id) join gq using (room_id) join mg using (room_id) join so using (room_id) join ar using (room_id) join pk using (room_id)
+  join (select room_id, streak from st) using (room_id) left join bs using (room_id) left join ks using (room_id) left join (select * exclude (total_messages) from re) using (room_id) left join (select room_id, count as phrase_count from ph where rank = 1) using (room_id))
+"""
+
+
+def facts_sql(facts, k):
+    """facts: (name, gate, value, label) over rr; the first k whose gate holds."""
+    rows = " union all ".join(
+        f"select room_id, {i} as o, '{n}' as fact, cast({v} as double) as value, cast({lab} as varchar) as label from rr where {g}"
+        for i, (n, g, v, lab) in enumerate(facts)
+    )
+    return f", fa as ({rows}) select room_id, fact, value, label, row_number() over (partition by room_id order by o) as place from fa qualify place <= {k}"
+
+
+@query("highlights", ROOM + facts_sql((
+    ("top_speaker", "true", "top_share", "top_sender"), ("busiest_weekday", "true", "busiest_weekday", "null"), ("peak_hour", "true", "peak_hour", "null"),
+    ("median_gap_minutes", "median_minutes is not null", "median_minutes", "null"), ("night_percent", "night_percent > 0", "night_percent", "null"),
+    ("longest_streak", "streak > 1", "streak", "null"), ("emoji_messages", "emoji_messages > 0", "emoji_messages", "null"),
+    ("attachment_messages", "attachment_messages > 0", "attachment_messages", "null"), ("weekend_percent", "weekend_percent > 0", "weekend_percent", "null"),
+    ("gini", "gini >= 0.35", "gini", "null"), ("gap_p90_minutes", "p90_minutes >= 30", "p90_minutes", "null"), ("max_silence", "max_silence >= 7", "max_silence", "null"),
+    ("rhythm", "rhythm >= 65", "rhythm", "null"), ("gaps_under_1m_percent", "under_1m_percent >= 40", "under_1m_percent", "null"),
+    ("monologue_percent", "monologue_percent >= 25", "monologue_percent", "null"), ("system_notices", "sysn > 0", "sysn", "null"),
+    ("pure_laugh_messages", "pure_laugh_messages > 0", "pure_laugh_messages", "null"), ("repeated_phrase", "phrase_count >= 10", "phrase_count", "null"),
+    ("burst_days", "burst_days > 0", "burst_days", "top_burst_day"), ("tail_vs_head", "head > 0 and tail > 0 and (ratio >= 1.25 or ratio <= 0.8)", "ratio", "null"),
+    ("lexical_richness", "richness >= 18", "richness", "null"), ("pace", "true", "null", "pace"), ("peak_hidden_day", "ph_n >= 5", "ph_n", "ph_d"),
+    ("peak_join_day", "pj_n >= 20", "pj_n", "pj_d"),
+), 14))
 def highlights(spark, folder):
     return ins.highlights(_report(spark, folder).room_row)
 
 
-@query("wrapped")
+@query("wrapped", ROOM + facts_sql((
+    ("intro", "true", "total_messages", "null"), ("span_days", "true", "span_days", "null"), ("streak", "streak >= 2", "streak", "null"),
+    ("peak_hour", "true", "peak_hour", "null"), ("main_speaker", "true", "top_share", "top_sender"), ("rhythm", "true", "rhythm", "null"),
+    ("weekend", "weekend_percent >= 15", "weekend_percent", "null"), ("mood", "laugh_per_100 >= 5 or emoji_per_100 >= 3", "laugh_per_100", "null"),
+    ("pace", "true", "case when under_1m_percent >= 35 then under_1m_percent else switches_per_100 end", "pace"), ("burst", "burst_days > 0", "top_burst", "top_burst_day"),
+    ("arc", "head > 0 and tail > 0", "ratio100", "null"), ("moderation", "pm_n >= 3", "pm_n", "pm_d"),
+), 8))
 def wrapped(spark, folder):
     return ins.wrapped_cards(_report(spark, folder).room_row)
 

@@ -216,3 +216,34 @@ def term_normalisation(spark, folder):
         "room_id", "term", tok.normalise_term(F.col("term")).alias("topic_term"),
         tok.is_noise(F.col("term")).alias("noise"), tok.is_discourse(F.col("term")).alias("discourse"),
     )
+
+
+# ---- exports: the conversations written as export lines and read back --------------------
+
+@query("record_assembly", f"select room_id, ts, sender, message from ({src.CONVERSATIONS_SQL})")
+def record_assembly(spark, folder):
+    """Records out of dated lines and continuation lines."""
+    from palaver.sources.chat_export import messages_from_lines
+
+    m = src.conversation_messages(spark, folder)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    body = F.when(F.col("message").contains("\n"), F.col("message")).otherwise(quoted(F.col("message")))
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(","), quoted(F.col("sender")), F.lit(","), body)
+    parts = m.select("room_id", "line", F.posexplode(F.split(text, "\n", -1)).alias("i", "value"))
+    lines = parts.select("room_id", (F.col("line") * 100_000 + F.col("i")).alias("line"), "value")
+    return messages_from_lines(lines).drop("line")
+
+
+@query("export_profile", f"with m as ({src.CONVERSATIONS_SQL}) select room_id, count(*) as messages, count(distinct sender) as participants, arg_min(ts, line) as first_ts, arg_max(ts, line) as last_ts, cast(count(*) filter (where contains(message, chr(10))) as bigint) as multiline from m group by 1")
+def export_profile(spark, folder):
+    from palaver.sources.chat_export import export_profile as profile
+
+    return profile(src.conversation_messages(spark, folder))
+
+
+@query("embedding_texts", "select conv_id, turn, case when regexp_matches(ltrim(text), '^(query:|passage:)') then text else 'query: ' || text end as text from conversations")
+def embedding_texts(spark, folder):
+    from palaver.functions.text import embedding_text
+
+    d = src.table(spark, folder, "conversations")
+    return d.select("conv_id", "turn", embedding_text(F.col("text"), "query:").alias("text"))

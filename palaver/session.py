@@ -64,3 +64,14 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(source: DataFrame, key: str) -> DataFrame:
+    """Spread a small source over the cores before heavy text work.
+
+    A file with a single row group is one task. Sources that already have a partition
+    per core (any real table) are returned unchanged, without a shuffle. Only for plain
+    scans: counting partitions must not run a job.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source if source.rdd.getNumPartitions() >= cores else source.repartition(cores, key)

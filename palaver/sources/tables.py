@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -51,7 +53,8 @@ CONVERSATIONS_SQL = (
 def document_messages(spark: SparkSession, folder: str, room: str = "source") -> DataFrame:
     """Long texts: one room per source (or language), spread over 90 days."""
     hours = ((F.col("doc_id") % 2160) * 3600).cast("int")
-    return table(spark, folder, "documents").select(
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return spread(docs, "doc_id").select(
         F.col(room).alias("room_id"), F.col("doc_id").alias("line"),
         F.timestamp_add("SECOND", hours, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"),
         F.col("lang").alias("sender"), F.col("text").alias("message"),
@@ -135,7 +138,7 @@ def _pick_sql(newline_sql: str, text_type: str) -> str:
 
 def chat_messages(spark: SparkSession, folder: str, by_type: bool = True) -> DataFrame:
     """Events with Korean message texts (notices, links, reactions, keywords)."""
-    base = table(spark, folder, "events")
+    base = spread(table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type"), "event_id")
     room = "event_type" if by_type else "'chat'"
     return base.selectExpr(
         f"{room} as room_id", "event_id as line", "ts",
