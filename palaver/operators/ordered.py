@@ -38,8 +38,11 @@ def link_rows(
     inside = Window.partitionBy(*group).orderBy(order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
 
-    d = rows.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows)))
-    d = d.withColumn("_cur", F.struct(*carry))
+    # The carried columns travel once, inside ``_cur``, and the filter that the join
+    # below would infer is spelled out: the rows and their chunk summaries then read
+    # the same exchange, and the source is scanned and shuffled once.
+    others = [c for c in rows.columns if c not in carry]
+    d = _chunked(rows, keys, order, chunk_rows).select(*others, "_chunk", F.struct(*carry).alias("_cur"))
     d = d.withColumn("_prev", F.lag("_cur").over(inside))
     for name, start in starts.items():
         flag = F.when(F.col("_prev").isNull(), 0).when(start(F.col("_cur"), F.col("_prev")), 1).otherwise(0)
@@ -64,19 +67,28 @@ def link_rows(
     out = d.join(state, group)
     for name in starts:
         out = out.withColumn(f"{name}_id", F.col(f"_b_{name}") + F.col(f"_n_{name}"))
-    return out.withColumn("prev", F.coalesce("_prev", "_carry")).drop(
-        "_chunk", "_cur", "_prev", "_carry",
-        *[f"_n_{name}" for name in starts], *[f"_b_{name}" for name in starts],
+    return out.select(
+        *[F.col(f"_cur.{c}").alias(c) if c in carry else F.col(c) for c in rows.columns],
+        *[f"{name}_id" for name in starts], F.coalesce("_prev", "_carry").alias("prev"),
     )
 
 
+def _chunked(rows: DataFrame, keys: Sequence[str], order: str, chunk_rows: int) -> DataFrame:
+    """``rows`` with their chunk number; rows without key or position have no place in an order."""
+    d = rows.withColumn("_chunk", F.expr(f"`{order}` div {int(chunk_rows)}L"))
+    present = F.col("_chunk").isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    return d.filter(present)
+
+
 def ordered_rank(
     rows: DataFrame, keys: Sequence[str], order: str, name: str, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """1-based rank by the integer column ``order`` within ``keys``, chunk by chunk."""
     keys = list(keys)
     group = [*keys, "_chunk"]
-    d = rows.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows)))
+    d = _chunked(rows, keys, order, chunk_rows)
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(order)).cast("bigint"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = (

@@ -30,6 +30,11 @@ def values_at_ranks(
     keys = list(keys)
     freq = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     freq = freq.withColumn("_bin", F.floor(F.col(value) / F.lit(bin_width)))
+    # spelled out, so that both uses of ``freq`` read one exchange
+    present = F.col("_bin").isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    freq = freq.filter(present)
     per_key = Window.partitionBy(*keys)
     ordered = per_key.orderBy("_bin")
     bins = (
