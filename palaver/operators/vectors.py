@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -67,9 +68,13 @@ def cluster_count(n: int) -> int:
 def kmeans(vectors: DataFrame, key: str, seed: int = 42, max_iter: int = 24) -> DataFrame:
     """Distributed k-means with cosine distance over one corpus."""
     d = vectors.select(key, "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(
-        k=cluster_count(vectors.count()), distanceMeasure="cosine", maxIter=max_iter, seed=seed, initMode="k-means||"
-    ).fit(d)
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it again
+    try:
+        model = KMeans(
+            k=cluster_count(d.count()), distanceMeasure="cosine", maxIter=max_iter, seed=seed, initMode="k-means||"
+        ).fit(d)
+    finally:
+        d.unpersist()
     return model.transform(d).select(key, "embedding", F.col("prediction").alias("cluster"))
 
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 @dataclass(frozen=True)
 class AnalysisOptions:
     top: int = 30                       # participants, domains, markers
-    keyword_summary: int = 12
     search_tags: int = 30
     topics: int = 12
     min_themes_large: int = 4           # rooms with >= 10 000 messages
@@ -16,7 +15,6 @@ class AnalysisOptions:
     privacy: str = "masked"             # or "anonymous"
     since: str | None = None            # inclusive YYYY-MM-DD
     supplement_weight: float = 0.5
-    cluster_coherence: float = 0.32
     binary_sentiment_floor: float = 0.72
     korean_primary: bool = True
     stop_terms: tuple[str, ...] = field(default_factory=tuple)

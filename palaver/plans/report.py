@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.functions import tone as tone_fn
 from palaver.operators import activity as act
 from palaver.operators import features as feat
 from palaver.operators import flow as fl
@@ -24,6 +25,7 @@ from palaver.operators import series as ser
 from palaver.operators import tone as tn
 from palaver.operators import topic_cards as cards
 from palaver.operators import topics as tp
+from palaver.operators import vectors as vec
 from palaver.operators.topk import top_k
 from palaver.options import AnalysisOptions
 from palaver.session import materialise
@@ -242,6 +244,28 @@ class Report:
     def evidence_pool(self) -> DataFrame:
         return ins.evidence_pool(self.keywords, self.topics, self.hot_topics)
 
+    # ---- model hooks ---------------------------------------------------------------------
+    def model_sample(self, force: bool = False) -> DataFrame:
+        """Texts a model may see: gated rooms, capped sample (room_id, line, sender, text)."""
+        gate = smp.model_gate(kw.script_profile(self.messages), force=force)
+        return smp.text_sample(smp.gated(self.features, gate), self.totals)
+
+    def model_sentiment(self, model, force: bool = False, binary: bool = True) -> tuple[DataFrame, DataFrame]:
+        """(per room, per sender) sentiment; ``model`` maps a text column to a struct(label, score)."""
+        s = self.model_sample(force).withColumn("_s", model(F.substring("text", 1, 512)))
+        label = tone_fn.sentiment_label(F.col("_s.label"), F.col("_s.score"), binary, self.options.binary_sentiment_floor)
+        scored = materialise(s.select("room_id", "sender", label.alias("label")), "scored")
+        return tn.sentiment_stats(scored), tn.sentiment_by_sender(scored)
+
+    def model_toxicity(self, model, force: bool = False) -> DataFrame:
+        s = self.model_sample(force).withColumn("_s", model(F.substring("text", 1, 512)))
+        return tn.toxicity_from_scores(s.select("room_id", "_s.label", "_s.score"))
+
+    def model_clusters(self, model, force: bool = False) -> DataFrame:
+        """k-means inside every room; ``model`` maps a text column to an array of floats."""
+        s = self.model_sample(force).withColumn("embedding", model(F.substring("text", 1, 512)))
+        return vec.kmeans_per_room(s.select("room_id", "line", "embedding"), "line")
+
     def tables(self) -> dict[str, DataFrame]:
         """Every gold table; senders are replaced by their public names."""
         o = self.options

@@ -42,3 +42,16 @@ def test_since_is_inclusive(spark):
     r = Report(one, AnalysisOptions(since="2026-03-01"))
     assert r.summary.first().total_messages == 60
     assert Report(one, AnalysisOptions(since="2026-03-02")).messages.count() == 0
+
+
+def test_model_hooks(spark):
+    one, _ = rooms(spark)
+    r = Report(one)
+    good = lambda c: F.struct(F.when(c.contains("좋"), "positive").otherwise("negative").alias("label"), F.lit(0.9).alias("score"))
+    per_room, per_sender = r.model_sentiment(good, force=True)
+    sample = r.model_sample(force=True).count()
+    assert per_room.first().sample == sample > 0
+    assert per_sender.count() > 0
+    assert r.model_toxicity(good, force=True).first().sample == sample
+    vector = lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float"))
+    assert r.model_clusters(vector, force=True).count() == sample
