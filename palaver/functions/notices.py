@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import lexicon as lex
+from palaver.functions.frames import once
 from palaver.functions.text import squeeze, trim_all
 
 
@@ -33,45 +34,42 @@ def search_tag(line: Column) -> Column:
     return F.when((raw != "") & (F.length(tag) >= 2), tag)
 
 
-def split_message(message: Column) -> Column:
-    """STRUCT<user_text, notices ARRAY, tags ARRAY> of one message, line by line.
+def marked_lines(message: Column) -> Column:
+    """ARRAY<STRUCT<raw, line, kind>> of the non-blank lines of a message.
 
     The line-wise path costs a dozen regexes, so it runs only when the message
     has several lines or a word that every notice contains.
     """
-    raw = F.split(message, "\n", -1)
     clean = lambda l: normalise_line(
         F.regexp_replace(F.regexp_replace(l, f',[{lex.BLANK}]*"",[{lex.BLANK}]*"', ""), '"$', "")
     )
+    entry = lambda raw, line, kind: F.struct(raw.alias("raw"), line.alias("line"), kind.alias("kind"))
     lines = F.filter(
-        F.transform(raw, lambda l: F.struct(l.alias("raw"), clean(l).alias("line"))),
+        F.transform(F.split(message, "\n", -1), lambda l: F.struct(l.alias("raw"), clean(l).alias("line"))),
         lambda s: s["line"] != "",
     )
-    marked = F.transform(
-        lines,
-        lambda s: F.struct(
-            s["raw"].alias("raw"), s["line"].alias("line"), notice_kind(s["line"]).alias("kind")
-        ),
-    )
-    found = F.filter(marked, lambda s: s["kind"].isNotNull())
-    kinds = F.transform(found, lambda s: s["kind"])
-    tags = F.filter(
-        F.transform(F.filter(found, lambda s: s["kind"] == "shopSearch"), lambda s: search_tag(s["line"])),
-        lambda t: t.isNotNull(),
-    )
-    user = trim_all(
-        F.array_join(F.transform(F.filter(marked, lambda s: s["kind"].isNull()), lambda s: s["raw"]), "\n")
-    )
-    full = F.struct(
-        user.alias("user_text"), collapse_tails(kinds, user != "").alias("notices"), tags.alias("tags")
-    )
-    none = F.array().cast("array<string>")
-    plain = F.struct(
-        F.when(clean(message) != "", trim_all(message)).otherwise(F.lit("")).alias("user_text"),
-        none.alias("notices"), none.alias("tags"),
+    full = F.transform(lines, lambda s: entry(s["raw"], s["line"], notice_kind(s["line"])))
+    none = F.lit(None).cast("string")
+    plain = F.array_compact(F.array(F.when(clean(message) != "", entry(message, message, none))))
+    return F.when(message.contains("\n") | message.rlike(lex.NOTICE_HINT), full).otherwise(plain)
+
+
+def with_split(rows: DataFrame, message: str = "message") -> DataFrame:
+    """Add user_text, notices and tags. Each step is a column of its own, computed once."""
+    d = once(rows, "_marked", marked_lines(F.col(message)))
+    found = F.filter("_marked", lambda s: s["kind"].isNotNull())
+    user = trim_all(F.array_join(F.transform(F.filter("_marked", lambda s: s["kind"].isNull()), lambda s: s["raw"]), "\n"))
+    tags = F.array_compact(F.transform(
+        found, lambda s: F.when(s["kind"] == "shopSearch", search_tag(s["line"]))
+    ))
+    d = once(d, "_parts", F.struct(
+        user.alias("user_text"), F.transform(found, lambda s: s["kind"]).alias("kinds"), tags.alias("tags")
+    ))
+    p = F.col("_parts")
+    return d.select(
+        *rows.columns, p["user_text"].alias("user_text"),
+        collapse_tails(p["kinds"], p["user_text"] != "").alias("notices"), p["tags"].alias("tags"),
     )
-    needs_lines = message.contains("\n") | message.rlike(lex.NOTICE_HINT)
-    return F.when(needs_lines, full).otherwise(plain)
 
 
 def collapse_tails(kinds: Column, has_user_text: Column) -> Column:

@@ -12,15 +12,7 @@ from palaver.functions import lexicon as lex
 from palaver.functions import notices as notice_fn
 from palaver.functions import text as text_fn
 from palaver.functions import tone as tone_fn
-
-
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a costly column behind a one-row generator.
-
-    A filter on it (or on columns derived from it) is then not copied below the
-    projection, so the value is computed once per row.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+from palaver.functions.frames import once
 
 
 def attachment_markers(text: Column) -> Column:
@@ -53,14 +45,11 @@ def since(messages: DataFrame, day: str | None) -> DataFrame:
 
 def message_features(messages: DataFrame) -> DataFrame:
     """messages(room_id, line, ts, sender, message) -> one row per message with flags."""
-    d = once(messages, "_split", notice_fn.split_message(F.col("message")))
-    d = d.withColumn("notices", F.col("_split.notices")).withColumn("tags", F.col("_split.tags"))
-    d = d.withColumn(
-        "msg", F.when(F.col("_split.user_text") != "", F.col("_split.user_text")).otherwise(F.col("message"))
+    d = notice_fn.with_split(messages)
+    user = F.col("user_text")
+    d = d.withColumn("msg", F.when(user != "", user).otherwise(F.col("message"))).withColumn(
+        "is_system", (F.size("notices") > 0) & (user == "")
     )
-    d = d.withColumn(
-        "is_system", (F.size("notices") > 0) & (F.col("_split.user_text") == "")
-    ).drop("_split")
     msg, trimmed = F.col("msg"), text_fn.trim_all(F.col("msg"))
     d = d.withColumn("markers", attachment_markers(msg)).withColumn("domains", text_fn.domains(msg))
     size = text_fn.utf16_length(msg)

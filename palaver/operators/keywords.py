@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from palaver.functions import lexicon as lex
 from palaver.functions import tokens as tok
+from palaver.functions.frames import once
 from palaver.functions.numeric import half_up, percent_or_null
 from palaver.functions.text import hashtags, script_counts, squeeze, trim_all
-from palaver.operators.features import once
 from palaver.operators.topk import top_k
 from palaver.session import materialise
 

@@ -35,10 +35,11 @@ def test_search_tags(spark):
 
 def test_split_collapses_moderation_tails(spark):
     data = ["본문\n관리자가 메시지를 가렸습니다.\n메시지가 삭제되었습니다.", "메시지가 삭제되었습니다.", "한 줄", '글,"","관리자가 메시지를 가렸습니다."']
-    got = value(spark, notices.split_message, data)
+    got = notices.with_split(spark.createDataFrame([(d,) for d in data], "message string")).collect()
     assert (got[0].user_text, got[0].notices) == ("본문", ["hidden"])
     assert (got[1].user_text, got[1].notices) == ("", ["deleted"])
     assert (got[2].user_text, got[2].notices) == ("한 줄", [])
+    assert got[3].notices == []  # the tail sits on the same line, so the line is user text
 
 
 def test_boilerplate(spark):
