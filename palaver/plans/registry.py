@@ -16,7 +16,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+        def in_utc(spark: SparkSession, folder: str) -> DataFrame:
+            # zone-free timestamps are read as UTC; the zone is fixed when a plan is built
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, folder)
+
+        QUERIES[name] = in_utc
         if sql is not None:
             ORACLES[name] = sql
         return fn
