@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.session import materialise
 
-__all__ = ["materialise", "table", "text_of", "columns_of"]
+__all__ = ["materialise", "table", "text_of", "columns_of", "digest", "only"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,3 +22,28 @@ def text_of(name: str = "text"):
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can clash with nothing."""
     return df.select(*[df[name] for name in names])
+
+
+def digest(text=None):
+    """64-bit hash of the whole text; null counts as empty."""
+    return F.xxhash64(text_of() if text is None else text)
+
+
+def only(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, digest of the text) is in ``keepers``, one row each.
+
+    Null ids match null ids. The rows keep their columns; one shuffle of the texts.
+    """
+    keys = [
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"),
+        F.col("doc_id").isNull().alias("__no_id"),
+    ]
+    wanted = keepers.select(*keys, F.col("digest").alias("__digest")).distinct()
+    keyed = docs.select("*", *keys, digest().alias("__digest"))
+    found = keyed.join(wanted, ["__id", "__no_id", "__digest"], "left_semi")
+    order = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and kind.split("(")[0] in ORDERED]
+    first = Window.partitionBy("__id", "__no_id", "__digest").orderBy(*(order or [F.col("__id")]))
+    return found.withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns)
+
+
+ORDERED = {"string", "bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "decimal"}

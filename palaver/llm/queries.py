@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, mixing, packing, secrets, token_counts, tokens
+from palaver.llm import chat, exact_dedup, mixing, packing, secrets, simhash, token_counts, tokens
 from palaver.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = exact_dedup.exact_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), tokens.vocabulary(VOCABULARY))
 
@@ -48,6 +53,11 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     scanned = secrets.scan_secrets(table(spark, folder, "documents"))
     live = F.filter("found", lambda s: s["live"])
@@ -61,8 +71,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_chat_format": op8_chat_format,
+    "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
-ORACLES = {"op3_mixing": mixing.SQL, "op8_chat_format": chat.SQL}
+ORACLES = {"op3_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
