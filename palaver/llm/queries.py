@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, exact_dedup, mixing, packing, secrets, simhash, token_counts, tokens
+from palaver.llm import chat, exact_dedup, mixing, packing, secrets, simhash, token_counts, tokens, topk
 from palaver.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
 CHAT_PROBE = "\\### Assistant: </turn> ok"
 
 
+def op1_block_max_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokens.vocabulary(VOCABULARY))
 
@@ -69,6 +73,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_block_max_topk": op1_block_max_topk,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op6_exact_dedup": op6_exact_dedup,
@@ -77,4 +82,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
-ORACLES = {"op3_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
+ORACLES = {
+    "op1_block_max_topk": topk.SQL,
+    "op3_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
