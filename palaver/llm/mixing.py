@@ -7,8 +7,9 @@ documents the whole number of times and, for the fraction, takes documents in a
 until the words come nearest to the target.
 
 Sources are ranked without a global sort in one task (ranges of sources, then offsets of the
-ranges); the seeded order is cut by sums over 65,536 hash buckets of each source, so only the
-documents of one bucket of a source are ever sorted. Column functions only.
+ranges); the seeded order is cut by sums over 256 hash buckets of each source, then over 256
+parts of the bucket that is cut, so only the documents of one part (1 in 65,536) of a source
+are ever sorted. The decision is a comparison with the source's row. Column functions only.
 
 Cases: null text has no words; a null source is a source of its own, last in order; a null
 id is hashed as the empty string; repeated rows are rows of their own; documents without
@@ -28,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 20240
-BUCKET_DIGITS = 4  # hexadecimal digits of the seeded order that name a bucket
+LEVELS = (2, 4)  # hexadecimal digits of the seeded order that name a bucket, level by level
 
 
 def words_in(text: Column) -> Column:
@@ -81,53 +82,94 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs
     return ranked.select("source", "source_size", F.when(over, stop).otherwise(level).alias("target"))
 
 
-def mix(
-    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats, taken: one row per document."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = columns_of(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", words_in(F.col("text")).alias("size"), order.alias("ticket")
-    )
-    sized = materialise(sized.withColumn("bucket", F.substring("ticket", 1, BUCKET_DIGITS)), "mix-sizes")
+TICKET = "__ticket"
+
+
+def ticket(seed: int = SEED) -> Column:
+    """Place of a document in the seeded order: 32 hexadecimal digits."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
 
-    cells = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """One row per source: source_size, target, whole repeats, and the end of the seeded order
+
+    up to which documents are repeated once more: all tickets below ``edge``, and in that
+    bucket those up to (``last.ticket``, ``last.size``).
+    """
+    sized = materialise(
+        columns_of(docs, "doc_id", "source", "text").select("source", words_in(F.col("text")).alias("size"), ticket(seed).alias("ticket")),
+        "mix-sizes",
+    )
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("double")
     goals = goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-
-    # the bucket in which the words taken in seeded order pass the fraction's budget
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    running = cells.select("source", "bucket", "words", F.sum("words").over(upto).alias("upto"))
-    same = F.col("r.source").eqNullSafe(F.col("g.source"))
-    cut = (
-        running.alias("r").join(goals.alias("g"), same).where(F.col("upto") > F.col("rest"))
-        .groupBy(F.col("g.source").alias("source"))
-        .agg(F.min(F.struct(F.col("r.bucket").alias("bucket"), (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
+    goals = goals.withColumn("edge", F.lit("")).withColumn("before", F.lit(0).cast("long"))
+    same = F.col("d.source").eqNullSafe(F.col("g.source"))
+    for digits in LEVELS:
+        # the bucket, at this many digits, in which the words taken in seeded order pass the budget
+        inside = sized.alias("d").join(goals.alias("g"), same).where(F.col("d.ticket").startswith(F.col("g.edge")))
+        cells = inside.groupBy("g.source", F.substring("ticket", 1, digits).alias("bucket")).agg(
+            F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before")
+        )
+        upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        running = cells.withColumn("upto", F.col("before") + F.sum("words").over(upto)).where("upto > rest")
+        cut = running.groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
+        goals = materialise(
+            goals.drop("before", "edge").alias("g")
+            .join(cut.alias("d"), same, "left").select("g.*", F.col("cut.bucket").alias("edge"), F.col("cut.before").alias("before")),
+            "mix-goals",
+        )
+    order = Window.partitionBy("d.source").orderBy("d.ticket", "d.size").rowsBetween(Window.unboundedPreceding, 0)
+    border = sized.alias("d").join(goals.alias("g"), same).where(F.substring("d.ticket", 1, LEVELS[-1]) == F.col("g.edge"))
+    middle = F.col("before") + F.sum("d.size").over(order) - F.col("d.size") / 2.0
+    last = border.select("d.source", "d.ticket", "d.size", "rest", middle.alias("middle")).where("middle <= rest").groupBy("source").agg(
+        F.max(F.struct("ticket", "size")).alias("last")
     )
-    goals = materialise(
-        goals.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
-        .select("g.*", F.col("cut.bucket").alias("edge"), F.col("cut.before").alias("before")),
-        "mix-goals",
+    return materialise(
+        goals.alias("g").join(last.alias("d"), same, "left").select("g.source", "source_size", "target", "whole", "edge", "last"), "mix-plan"
     )
-    dealt = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select(
-        "d.doc_id", "d.source", "d.size", "d.ticket", "d.bucket", "g.source_size", "g.target", "g.whole", "g.rest", "g.edge", "g.before"
-    )
-    inside = F.col("bucket") == F.col("edge")
-    clear = dealt.where(~F.coalesce(inside, F.lit(False))).withColumn(
-        "more", F.when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), 1).otherwise(0)
+
+
+def _repeats(seed: int) -> Column:
+    """Repeats of a row with ``__size`` and ``__ticket`` joined to its source's plan as ``g``."""
+    bucket = F.substring(TICKET, 1, LEVELS[-1])
+    more = (
+        F.when(F.col("g.edge").isNull() | (bucket < F.col("g.edge")), 1)
+        .when((bucket == F.col("g.edge")) & (F.struct(F.col(TICKET).alias("ticket"), F.col("__size").alias("size")) <= F.col("g.last")), 1)
+        .otherwise(0)
     )
-    step = Window.partitionBy("source", "bucket").orderBy("ticket", "size").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("before") + F.sum("size").over(step) - F.col("size") / 2.0
-    border = dealt.where(inside).withColumn("more", F.when(middle <= F.col("rest"), 1).otherwise(0))
-    both = clear.unionByName(border)
-    repeats = F.when(F.col("size") > 0, F.col("whole").cast("long") + F.col("more")).otherwise(0)
-    return both.select(
-        "doc_id", "source", "size", "source_size", "target", repeats.cast("long").alias("repeats"),
-        (repeats * F.col("size")).cast("long").alias("taken"),
+    return F.when(F.col("__size") > 0, F.col("g.whole").cast("long") + more).otherwise(0).cast("long")
+
+
+def _dealt(docs: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
+    sized = docs.withColumn("__size", words_in(F.col("text"))).withColumn(TICKET, ticket(seed))
+    return sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+
+
+def mix(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats, taken: one row per document."""
+    goals = plan(docs, weights, share, max_epochs, seed)
+    return _dealt(columns_of(docs, "doc_id", "source", "text"), goals, seed).select(
+        "d.doc_id", "d.source", F.col("__size").alias("size"), "g.source_size", "g.target", _repeats(seed).alias("repeats"),
+        (_repeats(seed) * F.col("__size")).alias("taken"),
     )
 
 
+def mixed_rows(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED
+) -> DataFrame:
+    """The mix itself: each document as often as it is repeated, in its own columns.
+
+    A document without words is kept once: it has no words to weigh.
+    """
+    goals = plan(docs, weights, share, max_epochs, seed)
+    times = F.when(F.col("__size") == 0, F.lit(1).cast("long")).otherwise(_repeats(seed))
+    copies = F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("__copy")
+    return _dealt(docs, goals, seed).select("d.*", copies).select(*docs.columns)
+
+
 SQL = f"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) size,

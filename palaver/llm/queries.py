@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, exact_dedup, mixing, packing, secrets, simhash, token_counts, tokens, topk
+from palaver.llm import chat, exact_dedup, mixing, packing, secrets, simhash, sitetree, token_counts, tokens, topk, toxicity
 from palaver.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -25,6 +25,14 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_site_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return sitetree.extract_text(table(spark, folder, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -76,6 +84,8 @@ QUERIES = {
     "op1_block_max_topk": op1_block_max_topk,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_site_tree": op4_site_tree,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_chat_format": op8_chat_format,
