@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.session import materialise
 
-__all__ = ["materialise", "table", "text_of", "columns_of", "digest", "only"]
+__all__ = ["materialise", "table", "text_of", "columns_of", "digest", "boxed", "unboxed", "only"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,21 +29,30 @@ def digest(text=None):
     return F.xxhash64(text_of() if text is None else text)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct ``doc``: columns of its own that are added clash with none."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+
+
+def unboxed(boxes: DataFrame, docs: DataFrame) -> DataFrame:
+    return boxes.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+
+
 def only(docs: DataFrame, keepers: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, digest of the text) is in ``keepers``, one row each.
 
     Null ids match null ids. The rows keep their columns; one shuffle of the texts.
     """
-    keys = [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"),
-        F.col("doc_id").isNull().alias("__no_id"),
-    ]
-    wanted = keepers.select(*keys, F.col("digest").alias("__digest")).distinct()
-    keyed = docs.select("*", *keys, digest().alias("__digest"))
-    found = keyed.join(wanted, ["__id", "__no_id", "__digest"], "left_semi")
-    order = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and kind.split("(")[0] in ORDERED]
-    first = Window.partitionBy("__id", "__no_id", "__digest").orderBy(*(order or [F.col("__id")]))
-    return found.withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns)
+    def keys(doc_id, hash_):
+        return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), hash_.alias("hash")]
+
+    wanted = keepers.select(*keys(F.col("doc_id"), F.col("digest"))).distinct()
+    box = F.col("doc")
+    keyed = boxed(docs).select("doc", *keys(box["doc_id"], digest(F.coalesce(box["text"].cast("string"), F.lit("")))))
+    found = keyed.join(wanted, ["id", "no_id", "hash"], "left_semi")
+    order = [box[c] for c, kind in docs.dtypes if c not in ("doc_id", "text") and kind.split("(")[0] in ORDERED]
+    first = Window.partitionBy("id", "no_id", "hash").orderBy(*(order or [F.col("id")]))
+    return unboxed(found.withColumn("place", F.row_number().over(first)).where("place = 1"), docs)
 
 
 ORDERED = {"string", "bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "decimal"}

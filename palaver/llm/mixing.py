@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import columns_of, materialise
+from palaver.llm.common import boxed, columns_of, materialise, unboxed
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -82,12 +82,9 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs
     return ranked.select("source", "source_size", F.when(over, stop).otherwise(level).alias("target"))
 
 
-TICKET = "__ticket"
-
-
-def ticket(seed: int = SEED) -> Column:
+def ticket(doc_id: Column, seed: int = SEED) -> Column:
     """Place of a document in the seeded order: 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -97,7 +94,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: flo
     bucket those up to (``last.ticket``, ``last.size``).
     """
     sized = materialise(
-        columns_of(docs, "doc_id", "source", "text").select("source", words_in(F.col("text")).alias("size"), ticket(seed).alias("ticket")),
+        columns_of(docs, "doc_id", "source", "text").select("source", words_in(F.col("text")).alias("size"), ticket(F.col("doc_id"), seed).alias("ticket")),
         "mix-sizes",
     )
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
@@ -130,20 +127,21 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: flo
     )
 
 
-def _repeats(seed: int) -> Column:
-    """Repeats of a row with ``__size`` and ``__ticket`` joined to its source's plan as ``g``."""
-    bucket = F.substring(TICKET, 1, LEVELS[-1])
+def _dealt(docs: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
+    """(doc, size, source_size, target, repeats): documents against their source's plan."""
+    box = F.col("doc")
+    sized = boxed(docs).select(
+        "doc", box["source"].alias("source"), words_in(box["text"]).alias("size"), ticket(box["doc_id"], seed).alias("ticket")
+    )
+    both = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+    bucket = F.substring("ticket", 1, LEVELS[-1])
     more = (
-        F.when(F.col("g.edge").isNull() | (bucket < F.col("g.edge")), 1)
-        .when((bucket == F.col("g.edge")) & (F.struct(F.col(TICKET).alias("ticket"), F.col("__size").alias("size")) <= F.col("g.last")), 1)
+        F.when(F.col("edge").isNull() | (bucket < F.col("edge")), 1)
+        .when((bucket == F.col("edge")) & (F.struct("ticket", "size") <= F.col("last")), 1)
         .otherwise(0)
     )
-    return F.when(F.col("__size") > 0, F.col("g.whole").cast("long") + more).otherwise(0).cast("long")
-
-
-def _dealt(docs: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
-    sized = docs.withColumn("__size", words_in(F.col("text"))).withColumn(TICKET, ticket(seed))
-    return sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+    repeats = F.when(F.col("size") > 0, F.col("whole").cast("long") + more).otherwise(0).cast("long")
+    return both.select("doc", "size", "source_size", "target", repeats.alias("repeats"))
 
 
 def mix(
@@ -152,8 +150,7 @@ def mix(
     """doc_id, source, size, source_size, target, repeats, taken: one row per document."""
     goals = plan(docs, weights, share, max_epochs, seed)
     return _dealt(columns_of(docs, "doc_id", "source", "text"), goals, seed).select(
-        "d.doc_id", "d.source", F.col("__size").alias("size"), "g.source_size", "g.target", _repeats(seed).alias("repeats"),
-        (_repeats(seed) * F.col("__size")).alias("taken"),
+        "doc.doc_id", "doc.source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken")
     )
 
 
@@ -165,9 +162,9 @@ def mixed_rows(
     A document without words is kept once: it has no words to weigh.
     """
     goals = plan(docs, weights, share, max_epochs, seed)
-    times = F.when(F.col("__size") == 0, F.lit(1).cast("long")).otherwise(_repeats(seed))
-    copies = F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("__copy")
-    return _dealt(docs, goals, seed).select("d.*", copies).select(*docs.columns)
+    times = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.col("repeats"))
+    copies = F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy")
+    return unboxed(_dealt(docs, goals, seed).select("doc", copies), docs)
 
 
 SQL = f"""

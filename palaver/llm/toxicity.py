@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import columns_of, materialise, text_of
+from palaver.llm.common import boxed, columns_of, materialise, text_of, unboxed
 
 TRAIN_ROWS = 20_000
 FEATURES = 4096
@@ -270,4 +270,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, in their own columns."""
     model = train(docs, labels)
-    return docs.withColumn("__toxicity", score(F.col("text"), model)).where(F.col("__toxicity") < threshold).drop("__toxicity")
+    scored = boxed(docs).withColumn("score", score(F.col("doc")["text"], model))
+    return unboxed(scored.where(F.col("score") < threshold), docs)
