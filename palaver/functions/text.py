@@ -85,8 +85,7 @@ def emojis(text: Column) -> Column:
 
 
 def _category_map() -> Column:
-    pairs = [F.lit(x) for cat, marks in lex.EMOJI_CATEGORY.items() for mark in marks.split() for x in (mark, cat)]
-    return F.create_map(*pairs)
+    return F.create_map(*[F.lit(x) for pair in lex.EMOJI_CATEGORY.items() for x in pair])
 
 
 def emoji_category(emoji: Column) -> Column:

@@ -23,8 +23,8 @@ def speech_level(text: Column) -> Column:
 
 def sentiment_hits(text: Column) -> tuple[Column, Column, Column]:
     """(positive, negative, neutral) lexicon hits; neutral is 1 when there is no hit."""
-    positive = F.regexp_count(text, F.lit(lex.POSITIVE_REACTION)) + F.regexp_count(text, F.lit(lex.POSITIVE_WORDS))
-    negative = F.regexp_count(text, F.lit(lex.NEGATIVE_WORDS))
+    positive = F.regexp_count(text, F.lit(lex.POSITIVE_REACTION)) + F.regexp_count(text, F.lit("|".join(lex.POSITIVE_WORDS)))
+    negative = F.regexp_count(text, F.lit("|".join(lex.NEGATIVE_WORDS)))
     return positive, negative, ((positive == 0) & (negative == 0)).cast("int")
 
 

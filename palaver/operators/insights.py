@@ -431,9 +431,10 @@ def stat_tokens(room: DataFrame) -> DataFrame:
 def is_garbage(text: Column) -> Column:
     """Left-overs of templates, error messages, bare numbers."""
     t = text_fn.trim_all(text)
+    lowered = F.lower(t)
     return (
-        (F.length(t) < 4) | t.rlike(r"[\]}{]") | t.rlike(lex.GARBAGE_PHRASES) | t.rlike(r"^[\d\s,%.]+$") | ~t.rlike(r"\p{L}")
-        | t.rlike(r"^```|^\[")
+        (F.length(t) < 4) | t.rlike(r"[\]}{]") | lowered.rlike("|".join([*lex.FAILED_ANSWER, *lex.TEMPLATE_REST])) | t.rlike(r"^[\d\s,%.]+$") | ~t.rlike(r"\p{L}")
+        | t.rlike(r"^```|^\[") | lowered.isin(*[f.lower() for f in lex.ANSWER_FIELDS])
     )
 
 

@@ -1,265 +1,171 @@
-"""Greedy merging of topic cards: at most a few dozen rows per room, one group each."""
+"""Topic cards: seeds, near-repeats, fusion of lanes, proposals. All rooms at once, as sets.
 
-from __future__ import annotations
-
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from palaver.functions import lexicon as lex
-
-SCHEMA = "room_id string, place int, id string, kind string, title string, terms array<string>, percent double"
-MERGE, DROP, SEED = 0.42, 0.55, 0.45
-
-
-def norm(term: str) -> str:
-    t = term.strip()
-    if re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*", t):
-        t = lex.CANONICAL_TERMS.get(t.lower(), t.lower())
-    if t in lex.TERM_ALIASES:
-        return lex.TERM_ALIASES[t]
-    stem = re.sub(lex.PARTICLE, "", t)
-    if len(t) > 2 and len(stem) >= 2:
-        t = stem
-    return lex.TERM_ALIASES.get(t, t)
-
-
-def norm_all(terms) -> list[str]:
-    return [t for t in dict.fromkeys(norm(x) for x in terms) if len(t) >= 2]
+A card is (room_id, id, kind, title, terms, percent); lanes also carry ``place``. Cards are
+compared through an index on their normalised terms, so only cards that share a term meet.
 
+* A card repeats a better one if they overlap by more than a threshold; "better" is an order
+  fixed beforehand, so the outcome does not depend on the sequence of comparisons.
+* Cards of several lanes are fused into one theme per connected component of the overlap
+  graph; a theme's score is the sum of reciprocal ranks of its cards.
+"""
 
-def generic(label: str) -> bool:
-    words = label.strip().split()
-    return label in lex.GENERIC_LEADS or bool(words) and words[0].lower() in lex.GENERIC_LEADS
-
+from __future__ import annotations
 
-def lead(card: dict) -> str:
-    return norm(re.split(r"\s*·\s*", card["title"])[0] or (card["terms"] or [""])[0])
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from palaver.functions import tokens as tok
+from palaver.functions.numeric import half_up
+from palaver.operators.components import components
+from palaver.operators.topics import card_title
 
-def title_key(title: str) -> str:
-    """Same key for ``a · b`` and ``b · a``."""
-    parts = {p for p in (norm(x) for x in re.split(r"\s*·\s*", title)) if len(p) >= 2}
-    return "|".join(sorted(parts)) or norm(title)
+ROOM = ["room_id"]
+FUSE, REPEAT, SEED = 0.42, 0.55, 0.45  # overlaps from which cards are one theme, a repeat, a known seed
+RANK_SHIFT = 60.0
+LANES = {"graph": 1.0, "seed": 1.15, "semantic": 1.05}
+TERMS = 8  # terms of a card
 
 
-def similarity(x: dict, y: dict) -> float:
-    """0-1; equal title pairs are the same theme, shared anchors lift the Jaccard value."""
-    if x["kind"] != "theme" or y["kind"] != "theme":
-        return 0.0
-    if title_key(x["title"]) == title_key(y["title"]):
-        return 1.0
-    a, b = set(norm_all(x["terms"])), set(norm_all(y["terms"]))
-    both = len(a & b)
-    jaccard = both / len(a | b) if a and b else 0.0
-    if jaccard >= MERGE:
-        return jaccard
-    if lead(x) == lead(y) and jaccard >= 0.3:
-        return max(jaccard, 0.45)
-    if both >= 2 and both == min(len(a), len(b)):
-        return max(jaccard, 0.5)
-    return jaccard
+def normal_terms(terms: Column) -> Column:
+    """Distinct topic forms of at least two characters, in order."""
+    return F.filter(F.array_distinct(F.transform(terms, tok.normalise_term)), lambda t: F.length(t) >= 2)
 
 
-def absorb(main: dict, other: dict) -> dict:
-    """One card out of two: joined terms, the larger share, the lead of the larger one."""
-    terms = norm_all([*main["terms"], *other["terms"]])[:8]
-    head = lead(main if main["percent"] >= other["percent"] else other)
-    sub = next((t for t in terms if t != head and not generic(t)), None)
-    return {
-        **main, "terms": terms, "percent": max(main["percent"], other["percent"]),
-        "title": f"{head} · {sub}" if sub else head,
-    }
+def title_words(title: Column) -> Column:
+    """The same for ``a · b`` and ``b · a``."""
+    return F.array_join(F.sort_array(normal_terms(F.split(title, r"\s*·\s*"))), "|")
 
 
-def _first_pair(cards: list[dict], least: float):
-    return next(
-        ((i, j) for i in range(len(cards)) for j in range(i + 1, len(cards)) if similarity(cards[i], cards[j]) >= least), None
+def overlaps(cards: DataFrame, key: str = "id") -> DataFrame:
+    """(room_id, one, two, overlap): Jaccard values of cards that share a normalised term."""
+    words = cards.select("room_id", F.col(key).alias("one"), normal_terms(F.col("terms")).alias("w"))
+    words = words.select("room_id", "one", F.size("w").alias("n"), F.explode("w").alias("term"))
+    other = words.select("room_id", F.col("one").alias("two"), F.col("n").alias("m"), "term")
+    shared = words.join(other, ["room_id", "term"]).filter("one <> two").groupBy("room_id", "one", "two").agg(
+        F.count("*").alias("k"), F.max("n").alias("n"), F.max("m").alias("m")
     )
+    return shared.select("room_id", "one", "two", half_up(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6).alias("overlap"))
 
 
-def drop_similar(cards: list[dict]) -> list[dict]:
-    cards = list(cards)
-    while pair := _first_pair(cards, DROP):
-        i, j = pair
-        del cards[j if cards[i]["percent"] >= cards[j]["percent"] else i]
-    return cards
-
-
-def join_similar(cards: list[dict]) -> list[dict]:
-    themes = [c for c in cards if c["kind"] == "theme"]
-    while pair := _first_pair(themes, MERGE):
-        i, j = pair
-        x, y = themes[i], themes[j]
-        themes[i] = absorb(x, y) if x["percent"] >= y["percent"] else absorb(y, x)
-        del themes[j]
-    return themes + [c for c in cards if c["kind"] != "theme"]
-
-
-def _by_share(cards: list[dict]) -> list[dict]:
-    return sorted(cards, key=lambda c: (-c["percent"], -len(c["terms"])))
-
-
-def collapse_anchor(cards: list[dict], total: int) -> list[dict]:
-    """In large rooms more than three cards with one lead shrink to the two largest."""
-    if total < 10_000:
-        return cards
-    gone: set[int] = set()
-    by_lead: dict[str, list[dict]] = {}
-    for c in cards:
-        by_lead.setdefault(lead(c), []).append(c)
-    for group in by_lead.values():
-        if len(group) <= 3:
-            continue
-        keep, second, *rest = _by_share(group)
-        for other in rest:
-            keep.update(absorb(keep, other))
-            gone.add(id(other))
-        if similarity(keep, second) >= MERGE:
-            keep.update(absorb(keep, second))
-            gone.add(id(second))
-    return [c for c in cards if id(c) not in gone]
-
+def _ranked(cards: DataFrame, order: list[Column], name: str) -> DataFrame:
+    return cards.withColumn(name, F.row_number().over(Window.partitionBy(*ROOM).orderBy(*order)).cast("int"))
 
-def refine(cards: list[dict]) -> list[dict]:
-    """Graph cards: drop themes whose terms mostly repeat an earlier theme's."""
-    out: list[dict] = []
-    for c in _by_share(cards):
-        terms = set(norm_all(c["terms"]))
-        seen = [set(norm_all(o["terms"])) for o in out if o["kind"] == "theme"]
-        if c["kind"] == "theme" and any(terms and len(terms & s) / len(terms | s) > DROP for s in seen):
-            continue
-        out.append(c)
-    return out[:16]
 
+def without_repeats(cards: DataFrame, order: str, least: float) -> DataFrame:
+    """Cards that overlap by ``least`` or more with none that comes before them."""
+    rank = lambda c, n: cards.select("room_id", F.col("id").alias(c), F.col(order).alias(n))
+    close = overlaps(cards).filter(F.col("overlap") >= least)
+    later = close.join(rank("one", "p"), ["room_id", "one"]).join(rank("two", "q"), ["room_id", "two"]).filter("q < p")
+    return cards.join(later.select("room_id", F.col("one").alias("id")).distinct(), ["room_id", "id"], "left_anti")
 
-def seed_cards(seeds: pd.DataFrame) -> list[dict]:
-    """Cards of keyword seeds; a seed close to an earlier card or word is skipped."""
-    frequent = seeds[seeds["rank"] <= 12].sort_values("rank")
-    special = seeds[seeds["distinctive_rank"] <= 8].sort_values("distinctive_rank")
-    chosen: dict[str, dict] = {}
-    for s in frequent.to_dict("records"):
-        if len(chosen) < 6 or s["distinctive_rank"] <= 8:
-            chosen[s["label"]] = s
-    for s in special.to_dict("records"):
-        chosen.setdefault(s["label"], s)
-    cards: list[dict] = []
-    words: set[str] = set()
-    for s in chosen.values():
-        label = norm(s["label"])
-        close = any(
-            label == w or label.startswith(w) and len(label) <= len(w) + 2 or w.startswith(label) and len(w) <= len(label) + 2
-            for w in words
-        )
-        own = norm_all(s["label"].split())
-        if close or not own or s["percent"] < 0.5 or generic(s["label"]) and s["distinctive_rank"] > 8:
-            continue
-        terms = norm_all([*own, *s["neighbours"]])[:8]
-        sub = own[1] if len(own) > 1 else next((t for t in terms if t != own[0] and not generic(t)), None)
-        card = {
-            "id": f"kw-{len(cards)}", "kind": "theme", "title": f"{own[0]} · {sub}" if sub else own[0],
-            "terms": terms, "percent": float(s["percent"]),
-        }
-        if any(similarity(c, card) >= SEED for c in cards):
-            continue
-        cards.append(card)
-        words.update([*terms, label])
-    return sorted(cards, key=lambda c: -c["percent"])
-
-
-def merge_lanes(graph: list[dict], seeds: list[dict], semantic: list[dict], total: int, top: int = 12, least: int = 4) -> list[dict]:
-    """Reciprocal-rank fusion of three card lanes, then de-duplication and caps."""
-    merged: dict[str, dict] = {}
-    for lane, weight in ((graph, 1.0), (seeds, 1.15), (semantic, 1.05)):
-        cards = [c for c in lane if c["kind"] == "theme"]
-        for rank, c in enumerate(cards, 1):
-            key = title_key(c["title"]) + "|" + "\t".join(sorted(norm_all(c["terms"]))[:5])
-            penalty = 0.35 if generic(c["title"].split(" · ")[0]) else 1.0
-            score = c["percent"] * weight * penalty + (len(cards) - rank + 1) * 0.02
-            if key not in merged:
-                merged[key] = {"card": dict(c), "rrf": weight / (60 + rank), "score": score}
-                continue
-            m = merged[key]
-            m["rrf"] += weight / (60 + rank)
-            m["score"] = max(m["score"], score)
-            m["card"]["percent"] = max(m["card"]["percent"], c["percent"])
-            m["card"]["terms"] = norm_all([*m["card"]["terms"], *c["terms"]])[:8]
-    order = sorted(merged.values(), key=lambda m: (-m["rrf"], -m["score"], -m["card"]["percent"]))
-    cards = collapse_anchor(join_similar(drop_similar([m["card"] for m in order])), total)
-    cards = _by_share([c for c in cards if not generic(c["title"]) or c["percent"] >= 2])
-    periods = _by_share([c for c in graph if c["kind"] == "period"])[:4]
-    wanted = least if total >= 10_000 else 2
-    if len(cards) < wanted and seeds:
-        for c in seeds:
-            if len(cards) < wanted and all(similarity(o, c) < MERGE for o in cards):
-                cards.append(dict(c))
-        cards = sorted(join_similar(cards), key=lambda c: -c["percent"])
-    return (cards[: max(top - len(periods), 6)] + periods)[:top]
-
-
-def _cards(frame: pd.DataFrame) -> list[dict]:
-    cards = frame[["id", "kind", "title", "terms", "percent"]].to_dict("records")
-    return [{**c, "terms": list(c["terms"])} for c in cards]
-
-
-def _frame(room: str, cards: list[dict]) -> pd.DataFrame:
-    rows = [(room, i + 1, c["id"], c["kind"], c["title"], c["terms"], c["percent"]) for i, c in enumerate(cards)]
-    return pd.DataFrame(rows, columns=["room_id", "place", "id", "kind", "title", "terms", "percent"])
 
+def refined_topics(cards: DataFrame) -> DataFrame:
+    """Graph cards without themes that repeat a larger theme; ``place`` by share."""
+    themes = _ranked(cards.filter("kind = 'theme'"), [F.desc("percent"), F.asc("id")], "p")
+    kept = without_repeats(themes, "p", REPEAT).drop("p").unionByName(cards.filter("kind <> 'theme'"))
+    return _ranked(kept, [F.desc("percent"), F.asc("id")], "place").select(
+        "room_id", "place", "id", "kind", "title", "terms", "percent"
+    )
 
-def seed_topics(seeds: DataFrame) -> DataFrame:
-    return seeds.groupBy("room_id").applyInPandas(lambda p: _frame(p["room_id"].iloc[0], seed_cards(p)), SCHEMA)
 
+def seed_topics(seeds: DataFrame, least_percent: float = 0.5) -> DataFrame:
+    """Cards of keyword seeds: the seed's words and its neighbours.
 
-def refined_topics(cards: DataFrame) -> DataFrame:
-    ordered = lambda p: p.sort_values(["kind", "id"])
-    return cards.groupBy("room_id").applyInPandas(
-        lambda p: _frame(p["room_id"].iloc[0], refine(_cards(ordered(p)))), SCHEMA
+    A seed is left out if it is rare, a generic word that is not distinctive, or close to a
+    seed that ranks before it: equal words among the other's terms, or overlapping terms.
+    """
+    own = normal_terms(F.split("label", " "))
+    cards = seeds.select(
+        "room_id", F.concat(F.lit("kw-"), F.col("rank").cast("string")).alias("id"), F.lit("theme").alias("kind"), "rank",
+        tok.normalise_term(F.col("label")).alias("word"), own.alias("own"), "percent",
+        F.slice(normal_terms(F.concat(F.split("label", " "), "neighbours")), 1, TERMS).alias("terms"),
+        (tok.is_generic_lead(F.col("label")) & (F.col("distinctive_rank") > 8)).alias("dull"),
+    ).filter((F.size("own") > 0) & (F.col("percent") >= least_percent) & ~F.col("dull"))
+    named = cards.select("room_id", F.explode("terms").alias("word"), F.col("rank").alias("r"))
+    known = cards.select("room_id", "id", "word", "rank").join(named, ["room_id", "word"]).filter("r < rank")
+    fresh = cards.join(known.select("room_id", "id").distinct(), ["room_id", "id"], "left_anti")
+    kept = without_repeats(fresh, "rank", SEED)
+    return _ranked(kept, [F.desc("percent"), F.asc("rank")], "place").select(
+        "room_id", "place", "id", "kind", card_title(F.col("terms")).alias("title"), "terms", "percent"
     )
 
 
-def merged_topics(graph: DataFrame, seeds: DataFrame, semantic: DataFrame, totals: DataFrame, top: int = 12, least: int = 4) -> DataFrame:
-    lanes = [
-        d.select("room_id", F.lit(name).alias("lane"), "place", "id", "kind", "title", "terms", "percent")
-        for name, d in (("graph", graph), ("seed", seeds), ("semantic", semantic))
-    ]
-    d = lanes[0].unionByName(lanes[1]).unionByName(lanes[2]).join(totals.select("room_id", "total_messages"), ["room_id"])
-
-    def per_room(p: pd.DataFrame) -> pd.DataFrame:
-        lane = lambda name: _cards(p[p["lane"] == name].sort_values("place"))
-        total = int(p["total_messages"].iloc[0])
-        return _frame(p["room_id"].iloc[0], merge_lanes(lane("graph"), lane("seed"), lane("semantic"), total, top, least))
+def fused_themes(cards: DataFrame, least: float = FUSE) -> DataFrame:
+    """(room_id, id, terms, percent, score): one theme per component of overlapping cards.
 
-    return d.groupBy("room_id").applyInPandas(per_room, SCHEMA)
+    ``cards`` have room_id, id (unique in the room), terms, percent, title and ``weight``, the
+    card's reciprocal rank. A theme has the id of its first card, the largest share, the sum
+    of weights, and the terms that weigh most.
+    """
+    node = lambda c: F.concat_ws("\t", "room_id", c)
+    close = overlaps(cards).filter(F.col("overlap") >= least).select(node("one").alias("a"), node("two").alias("b"))
+    titled = cards.select(node("id").alias("b"), "room_id", title_words(F.col("title")).alias("key"))
+    same = titled.groupBy("room_id", "key").agg(F.min("b").alias("a"))
+    same = titled.join(same, ["room_id", "key"]).select("a", "b")
+    stars = components(close.unionByName(same), "a", "b")
+    placed = cards.withColumn("node", node("id")).join(stars, "node", "left").withColumn("theme", F.coalesce("root", "node"))
+    sums = placed.groupBy("room_id", "theme").agg(
+        half_up(F.sum("weight"), 9).alias("score"), F.max("percent").alias("percent"),
+        F.min_by("id", F.struct((-F.col("weight")).alias("w"), "id")).alias("id"),
+    )
+    words = placed.select("room_id", "theme", "weight", F.explode(normal_terms(F.col("terms"))).alias("term"))
+    words = words.groupBy("room_id", "theme", "term").agg(half_up(F.sum("weight"), 9).alias("w"))
+    top = Window.partitionBy("room_id", "theme").orderBy(F.desc("w"), "term")
+    listed = words.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= TERMS).groupBy("room_id", "theme").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("r", "term"))), lambda s: s["term"]).alias("terms")
+    )
+    return sums.join(listed, ["room_id", "theme"]).drop("theme")
 
 
-def accepted_proposals(topics: DataFrame, proposals: DataFrame, keywords: DataFrame, totals: DataFrame, top: int = 12) -> DataFrame:
-    """Proposed cards(room_id, proposal, title, terms, evidence) join the topics only if
+def merged_topics(graph: DataFrame, seeds: DataFrame, semantic: DataFrame, top: int | None = None, periods: int | None = None) -> DataFrame:
+    """Themes of all lanes, fused, best first, then the period cards of the graph lane.
 
-    a piece of their evidence is a keyword of the room (semi join on the evidence).
+    ``top`` and ``periods`` limit what a report shows; without them all cards stay.
+    """
+    lanes = None
+    for lane, cards in zip(LANES, (graph, seeds, semantic)):
+        d = _ranked(cards.filter("kind = 'theme'"), [F.col("place")], "p").select(
+            "room_id", F.concat_ws(":", F.lit(lane), "id").alias("id"), "title", "terms", "percent",
+            (F.lit(LANES[lane]) / (RANK_SHIFT + F.col("p"))).alias("weight"),
+        )
+        lanes = d if lanes is None else lanes.unionByName(d)
+    themes = _ranked(fused_themes(lanes), [F.desc("score"), F.desc("percent"), F.asc("id")], "n")
+    months = _ranked(graph.filter("kind = 'period'"), [F.desc("percent"), F.asc("id")], "n")
+    if periods is not None:
+        months = months.filter(F.col("n") <= periods)
+    if top is not None:
+        held = months.groupBy("room_id").agg(F.count("*").alias("held"))
+        themes = themes.join(held, ROOM, "left").filter(F.col("n") <= top - F.coalesce("held", F.lit(0))).drop("held")
+    both = themes.select(
+        "room_id", F.lit(0).alias("part"), "n", "id", F.lit("theme").alias("kind"), card_title(F.col("terms")).alias("title"), "terms", "percent"
+    ).unionByName(months.select("room_id", F.lit(1).alias("part"), "n", "id", "kind", "title", "terms", "percent"))
+    return _ranked(both, [F.col("part"), F.col("n")], "place").select("room_id", "place", "id", "kind", "title", "terms", "percent")
+
+
+def accepted_proposals(
+    topics: DataFrame, proposals: DataFrame, keywords: DataFrame, totals: DataFrame, top: int | None = None
+) -> DataFrame:
+    """Proposed cards(room_id, proposal, title, terms, evidence) join the topics in front, if
+
+    a piece of their evidence is a keyword of the room, they have two terms, and they overlap
+    with no topic and no earlier proposal.
     """
     proof = proposals.select("room_id", "proposal", F.explode(F.coalesce("evidence", "terms")).alias("label"))
     hits = proof.join(keywords.select("room_id", "label", "count"), ["room_id", "label"]).groupBy("room_id", "proposal").agg(
-        F.max("count").alias("_hits")
+        F.max("count").alias("hits")
     )
-    good = proposals.join(hits, ["room_id", "proposal"]).join(totals.select("room_id", "total_messages"), ["room_id"])
-    share = F.floor(F.least(F.lit(100.0), F.col("_hits") / F.greatest(F.col("total_messages"), F.lit(1)) * 100.0) * 10 + 0.5) / 10
+    good = proposals.join(hits, ["room_id", "proposal"]).join(totals.select("room_id", "total_messages"), ROOM)
+    share = half_up(F.least(F.lit(100.0), F.col("hits") / F.greatest(F.col("total_messages"), F.lit(1)) * 100.0), 1)
     new = good.select(
-        "room_id", F.lit("new").alias("lane"), F.col("proposal").cast("int").alias("place"),
-        F.concat(F.lit("proposal-"), F.col("proposal").cast("string")).alias("id"), F.lit("theme").alias("kind"),
-        F.substring("title", 1, 48).alias("title"), F.concat(F.coalesce("evidence", "terms"), "terms").alias("terms"),
+        "room_id", F.lit(1).alias("part"), F.col("proposal").cast("int").alias("n"),
+        F.concat(F.lit("proposal-"), F.col("proposal").cast("string")).alias("id"), F.lit("theme").alias("kind"), "title",
+        F.slice(normal_terms(F.concat(F.coalesce("evidence", "terms"), "terms")), 1, TERMS).alias("terms"),
         F.greatest(share, F.lit(1.2)).alias("percent"),
-    )
-    d = topics.select("room_id", F.lit("old").alias("lane"), "place", "id", "kind", "title", "terms", "percent").unionByName(new)
-
-    def per_room(p: pd.DataFrame) -> pd.DataFrame:
-        cards = _cards(p[p["lane"] == "old"].sort_values("place"))
-        for c in _cards(p[p["lane"] == "new"].sort_values("place")):
-            c["terms"] = norm_all(c["terms"])[:8]
-            if len(c["terms"]) >= 2 and all(similarity(o, c) < MERGE for o in cards):
-                cards.insert(0, c)
-        return _frame(p["room_id"].iloc[0], join_similar(cards)[:top])
-
-    return d.groupBy("room_id").applyInPandas(per_room, SCHEMA)
+    ).filter(F.size("terms") >= 2)
+    old = topics.select("room_id", F.lit(0).alias("part"), F.col("place").alias("n"), "id", "kind", "title", "terms", "percent")
+    ranked = _ranked(old.unionByName(new), [F.col("part"), F.col("n")], "p")
+    themes = ranked.filter("kind = 'theme'")
+    fresh = without_repeats(themes, "p", FUSE).filter("part = 1").unionByName(ranked.filter("part = 0"))
+    out = _ranked(fresh, [F.desc("part"), F.col("n")], "place")
+    out = out if top is None else out.filter(F.col("place") <= top)
+    return out.select("room_id", "place", "id", "kind", "title", "terms", "percent")

@@ -9,8 +9,8 @@ from dataclasses import dataclass, field
 class AnalysisOptions:
     top: int = 30                       # participants, domains, markers
     search_tags: int = 30
-    topics: int = 12
-    min_themes_large: int = 4           # rooms with >= 10 000 messages
+    topics: int | None = 12             # cards shown; None: all
+    period_cards: int | None = 4        # of them months
     burst_method: str = "heuristic"     # or "mad"
     privacy: str = "masked"             # or "anonymous"
     since: str | None = None            # inclusive YYYY-MM-DD

@@ -90,8 +90,8 @@ def features_sql(base: str) -> str:
 CHAT_F = features_sql(src.chat_sql())
 CHAT_F1 = features_sql(src.chat_sql(False))
 
-_pos = f"(len(regexp_extract_all(msg, {q('(?:' + chr(92) + 'b|[^가-힣A-Za-z])(?:ㅋㅋ|ㅎㅎ|ㅋㅎ|ㅎㅋ)(?:' + chr(92) + 'b|[^가-힣A-Za-z])')})) + len(regexp_extract_all(msg, {q(lex.POSITIVE_WORDS)})))"
-_neg = f"len(regexp_extract_all(msg, {q(lex.NEGATIVE_WORDS)}))"
+_pos = f"(len(regexp_extract_all(msg, {q('(?:' + chr(92) + 'b|[^가-힣A-Za-z])(?:ㅋㅋ|ㅎㅎ|ㅋㅎ|ㅎㅋ)(?:' + chr(92) + 'b|[^가-힣A-Za-z])')})) + len(regexp_extract_all(msg, {q('|'.join(lex.POSITIVE_WORDS))})))"
+_neg = f"len(regexp_extract_all(msg, {q('|'.join(lex.NEGATIVE_WORDS))}))"
 _sq = f"lower(regexp_replace(msg, {q(f'[{WS}' + chr(92) + 'x{200B}-' + chr(92) + 'x{200D}]+')}, '', 'g'))"
 _prof = " + ".join(f"cast((length(s) - length(replace(s, '{p}', ''))) / {len(p)} as int)" for p in lex.PROFANITY)
 _t = trim_sql("msg")
@@ -104,9 +104,7 @@ TONE = f"""
    case when hon and not cas then 'honorific' when cas and not hon then 'casual' else 'neutral' end as style from w0)
 """
 
-_cat = "case " + " ".join(
-    f"when emoji in ({', '.join(repr(m) for m in marks.split())}) then '{cat}'" for cat, marks in lex.EMOJI_CATEGORY.items()
-) + " else 'neutral' end"
+_cat = "case emoji " + " ".join(f"when '{m}' then '{cat}'" for m, cat in lex.EMOJI_CATEGORY.items()) + " else 'neutral' end"
 EMO = f"""
 , e0 as (select room_id, sender, unnest(regexp_extract_all(msg, {q(lex.EMOJI)})) as emoji from f where not is_system and has_emoji)
 , e as (select room_id, sender, emoji, {_cat} as category, count(*) as c from e0 group by 1, 2, 3, 4)

@@ -147,16 +147,17 @@ class Report:
         o, docs = self.options, self.topic_docs
         counts = tp.topic_term_counts(docs)
         nodes, sizes = tp.graph_nodes(counts, o.stop_terms), tp.document_counts(docs)
-        links = materialise(tp.cooccurrence(docs), "cooccurrence")
-        groups = tp.communities(nodes, tp.graph_edges(links, nodes, sizes, self.totals), self.totals)
+        nodes = materialise(nodes, "graph-nodes")
+        edges = tp.graph_edges(tp.cooccurrence(docs, nodes), nodes, sizes, self.totals)
+        groups = materialise(tp.communities(nodes, edges), "communities")
         graph = tp.themes(groups, counts, sizes, self.totals, o.stop_terms).unionByName(
             tp.periods(docs, self.totals, o.stop_terms)
         )
+        graph = materialise(cards.refined_topics(materialise(graph, "graph-cards")), "refined")
         labels = self.lanes.filter("rank <= 12 or distinctive_rank <= 8").select("room_id", "label")
-        seeds = cards.seed_topics(tp.seed_candidates(self.lanes, tp.neighbours(links, labels), self.totals))
-        merged = cards.merged_topics(
-            cards.refined_topics(graph), seeds, seeds.filter(F.lit(False)), self.totals, o.topics, o.min_themes_large
-        )
+        seeds = materialise(tp.seed_candidates(self.lanes, tp.neighbours(docs, labels), self.totals), "seeds")
+        seeded = materialise(cards.seed_topics(seeds), "seed-cards")
+        merged = cards.merged_topics(graph, seeded, seeded.filter(F.lit(False)), o.topics, o.period_cards)
         return materialise(merged, "topics")
 
     @cached_property
