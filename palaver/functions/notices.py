@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import lexicon as lex
 from palaver.functions.frames import once
-from palaver.functions.text import squeeze, trim_all
+from palaver.functions.text import squeeze, trim_all, utf16_length
 
 
 def normalise_line(line: Column) -> Column:
@@ -90,6 +90,7 @@ def collapse_tails(kinds: Column, has_user_text: Column) -> Column:
 def is_boilerplate(text: Column) -> Column:
     """Welcome or house-rules copy-paste of open rooms."""
     t = squeeze(trim_all(text))
-    return (F.length(t) >= 24) & (
-        t.rlike(lex.WELCOME_TEXT) | (t.rlike(lex.RULES_TEXT) & (F.length(t) >= 48))
+    size = utf16_length(t)
+    return (size >= 24) & (
+        t.rlike(lex.WELCOME_TEXT) | (t.rlike(lex.RULES_TEXT) & (size >= 48))
     )

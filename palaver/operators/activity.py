@@ -105,10 +105,10 @@ def time_profile(cells: DataFrame) -> DataFrame:
     keys = ["room_id", "day", "month", "hour", "weekday"]
     grouped = d.groupingSets(
         [["room_id", "day"], ["room_id", "month"], ["room_id", "hour"], ["room_id", "weekday"]], *keys
-    ).agg(F.sum("messages").alias("messages"))
+    ).agg(F.sum("messages").alias("messages"), *[F.grouping(c).alias(f"no_{c}") for c in keys[1:4]])
     grain = (
-        F.when(F.col("day").isNotNull(), "day").when(F.col("month").isNotNull(), "month")
-        .when(F.col("hour").isNotNull(), "hour").otherwise("weekday")
+        F.when(F.col("no_day") == 0, "day").when(F.col("no_month") == 0, "month")
+        .when(F.col("no_hour") == 0, "hour").otherwise("weekday")
     )
     bucket = F.coalesce(F.col("day").cast("string"), "month", F.col("hour").cast("string"), F.col("weekday").cast("string"))
     return grouped.select("room_id", grain.alias("grain"), bucket.alias("bucket"), "messages")

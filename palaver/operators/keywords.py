@@ -14,7 +14,7 @@ from palaver.functions import lexicon as lex
 from palaver.functions import tokens as tok
 from palaver.functions.frames import once
 from palaver.functions.numeric import half_up, percent_or_null
-from palaver.functions.text import hashtags, script_counts, squeeze, trim_all
+from palaver.functions.text import hashtags, script_counts, squeeze, trim_all, utf16_length
 from palaver.operators.topk import top_k
 from palaver.session import materialise
 
@@ -78,12 +78,10 @@ def bigram_stats(docs: DataFrame) -> DataFrame:
     return d.groupBy("room_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("df"))
 
 
-def min_count(n: Column, korean_primary: bool = True) -> Column:
-    """Least document frequency of a keyword by number of messages."""
+def min_count(n: Column, korean: Column) -> Column:
+    """Least document frequency of a keyword by number of messages; lower in small Korean rooms."""
     base = F.when(n < 200, 2).when(n < 2_000, 3).when(n < 50_000, 4).when(n < 100_000, 12).otherwise(20)
-    if not korean_primary:
-        return base
-    return F.when((n < 8_000) & (base > 2), base - 1).otherwise(base)
+    return F.when(korean & (n < 8_000) & (base > 2), base - 1).otherwise(base)
 
 
 def min_bigram_count(n: Column, unigram_min: Column) -> Column:
@@ -110,18 +108,23 @@ def pmi_multiplier(df: Column, df_a: Column, df_b: Column, n: Column) -> Column:
     return F.when(ok, 1.0 + F.least(F.lit(0.4), (pmi - least) * 0.05)).otherwise(F.lit(1.0))
 
 
-def thresholds(vocab: DataFrame, totals: DataFrame, korean_primary: bool = True) -> DataFrame:
+def thresholds(vocab: DataFrame, totals: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """Per room: n_docs, avg_len, n_total and the two frequency floors.
 
     The unigram floor uses all messages, the bigram floor the messages with tokens.
+    ``profile`` (``script_profile``) tells which rooms are mainly Korean; without it all are.
     """
     d = corpus_stats(vocab).join(totals.select("room_id", F.col("total_messages").alias("n_total")), ROOM)
-    d = d.withColumn("min_df", min_count(F.col("n_total"), korean_primary))
+    korean = F.lit(True)
+    if profile is not None:
+        d = d.join(profile.select("room_id", "primarily_korean"), ROOM, "left")
+        korean = F.coalesce("primarily_korean", F.lit(True))
+    d = d.withColumn("min_df", min_count(F.col("n_total"), korean)).drop("primarily_korean")
     return d.withColumn("min_bigram_df", min_bigram_count(F.col("n_docs"), F.col("min_df")))
 
 
 def candidates(
-    docs: DataFrame, totals: DataFrame, stop_terms: tuple[str, ...] = (), korean_primary: bool = True
+    docs: DataFrame, totals: DataFrame, stop_terms: tuple[str, ...] = (), profile: DataFrame | None = None
 ) -> DataFrame:
     """(room_id, label, hits, score): unigrams and bigrams that pass all filters.
 
@@ -131,7 +134,7 @@ def candidates(
     """
     stop = tuple(dict.fromkeys([*STOP_TERMS, *stop_terms]))
     vocab = materialise(vocabulary(docs), "vocabulary")
-    limits = thresholds(vocab, totals, korean_primary)
+    limits = thresholds(vocab, totals, profile)
     n, avg = F.col("n_docs"), F.col("avg_len")
     terms = vocab.filter("a is not null and b is null").select("room_id", F.col("a").alias("term"), "df")
     # no keyword occurs once; the parts of a bigram are at least as frequent as the bigram
@@ -311,8 +314,8 @@ def topic_trend(docs: DataFrame, keywords: DataFrame, k: int = 5) -> DataFrame:
 
 
 def head_tail_terms(docs: DataFrame, k: int = 12) -> DataFrame:
-    """Top terms of the earlier and the later half of the months (top 40 per month)."""
-    monthly = top_period_terms(period_terms(docs, "month"), "month", 40)
+    """Top terms of the earlier and the later half of the months."""
+    monthly = period_terms(docs, "month")
     months = monthly.select("room_id", "month").distinct()
     w = Window.partitionBy("room_id")
     months = months.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy("month")))
@@ -332,11 +335,11 @@ def keyword_shift(halves: DataFrame, k: int = 8) -> DataFrame:
 
 
 def phrases(texts: DataFrame, text: str = "keyword_text") -> DataFrame:
-    """Repeated texts of 12-180 characters per day (base of ``repeated_phrases``)."""
+    """Repeated texts of 12-180 UTF-16 units per day (base of ``repeated_phrases``)."""
     d = texts.filter(F.col(text).isNotNull()).select(
         "room_id", F.to_date("ts").alias("day"), squeeze(trim_all(F.col(text))).alias("phrase")
     )
-    d = d.filter(F.length("phrase").between(12, 180))
+    d = d.filter(utf16_length(F.col("phrase")).between(12, 180))
     return d.groupBy("room_id", "phrase", "day").agg(F.count("*").alias("count"))
 
 

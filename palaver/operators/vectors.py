@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,7 +15,9 @@ from pyspark.sql import functions as F
 from palaver.functions import tokens as tok
 from palaver.functions.numeric import half_up
 from palaver.operators.keywords import STOP_TERMS
+from palaver.operators.sampling import hash_sample
 from palaver.operators.topk import top_k
+from palaver.session import materialise
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -78,41 +79,35 @@ def kmeans(vectors: DataFrame, key: str, seed: int = 42, max_iter: int = 24) ->
     return model.transform(d).select(key, "embedding", F.col("prediction").alias("cluster"))
 
 
-def _lloyd(x: np.ndarray, k: int, seed: int, max_iter: int) -> np.ndarray:
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    centres = x[[rng.integers(len(x))]]
-    while len(centres) < k:  # k-means++ on the cosine distance
-        gap = np.maximum(0.0, 1.0 - (x @ centres.T).max(axis=1)) ** 2
-        p = gap / gap.sum() if gap.sum() > 0 else None
-        centres = np.vstack([centres, x[rng.choice(len(x), p=p)]])
-    label = np.full(len(x), -1)
-    for _ in range(max_iter):
-        new = (x @ centres.T).argmax(axis=1)
-        if (new == label).all():
-            break
-        label = new
-        for c in range(k):
-            if (label == c).any():
-                mean = x[label == c].mean(axis=0)
-                centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
-    return label
+def _nearest(v: Column, centres: Column) -> Column:
+    """Number of the centre with the largest dot product (the first of equal ones)."""
+    near = F.transform(centres, lambda c: dot(v, c))
+    return (F.array_position(near, F.array_max(near)) - 1).cast("int")
 
 
-def kmeans_per_room(samples: DataFrame, key: str, seed: int = 42, max_iter: int = 24) -> DataFrame:
-    """Clusters inside every room. ``samples`` must come from ``hash_sample``: at most
+def kmeans_per_room(vectors: DataFrame, key: str, seed: int = 42, max_iter: int = 10) -> DataFrame:
+    """(room_id, <key>, cluster): cosine k-means inside every room, over all of its vectors.
 
-    2 000 vectors of a room form a group, and rooms run in parallel.
+    The first centres are the room's vectors with the smallest hashes. A round joins every
+    vector with its room's few centres and takes means per (room, cluster), which add up
+    before they are shuffled; rooms of any size are spread over all tasks.
     """
-
-    def per_room(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(key)
-        k = min(cluster_count(len(p)), len(p))
-        p = p.assign(cluster=_lloyd(np.stack(p["embedding"].to_list()).astype(float), k, seed, max_iter))
-        return p[["room_id", key, "cluster"]]
-
-    schema = f"room_id string, {key} {dict(samples.dtypes)[key]}, cluster int"
-    return samples.select("room_id", key, "embedding").groupBy("room_id").applyInPandas(per_room, schema)
+    d = materialise(vectors.select("room_id", key, unit(F.col("embedding")).alias("u")), "room-vectors")
+    k = F.greatest(F.lit(4), F.least(F.lit(14), F.floor(F.sqrt(F.floor(F.count("*") / 18)))))
+    caps = d.groupBy("room_id").agg(F.least(k, F.count("*")).alias("cap"))
+    ordered = lambda g, order: g.groupBy("room_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "u"))), lambda s: s["u"]).alias("centres")
+    )
+    centres = materialise(ordered(hash_sample(d, caps, seed, key), "sample_rank"), "centres")
+    for _ in range(max_iter):
+        placed = d.join(centres, "room_id").select("room_id", _nearest(F.col("u"), F.col("centres")).alias("cluster"), "u")
+        means = placed.groupBy("room_id", "cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("u"))).alias("m"))
+        moved = materialise(ordered(means.select("room_id", "cluster", unit(F.col("m")).alias("u")), "cluster"), "centres")
+        same = moved.join(centres.withColumnRenamed("centres", "old"), "room_id").filter(F.col("centres") != F.col("old")).isEmpty()
+        centres = moved
+        if same:
+            break
+    return d.join(centres, "room_id").select("room_id", key, _nearest(F.col("u"), F.col("centres")).alias("cluster"))
 
 
 def cluster_labels(clusters: DataFrame, tokens: DataFrame, key: str, k: int = 4, least: float = 0.32, stop_terms=()) -> DataFrame:
@@ -152,7 +147,7 @@ def embed(texts: DataFrame, model, column: str = "text", batch_size: int = 256)
     from pyspark.ml.functions import predict_batch_udf
 
     run = predict_batch_udf(lambda: _text_batches(model()), return_type="array<float>", batch_size=batch_size)
-    return texts.withColumn("embedding", run(F.substring(column, 1, 512)))
+    return texts.withColumn("embedding", run(F.col(column)))
 
 
 def _text_batches(fn):

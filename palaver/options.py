@@ -16,7 +16,8 @@ class AnalysisOptions:
     since: str | None = None            # inclusive YYYY-MM-DD
     supplement_weight: float = 0.5
     binary_sentiment_floor: float = 0.72
-    korean_primary: bool = True
+    model_sample: bool = False          # models see a sample by room size instead of every text
+    model_least_texts: int = 48         # texts of a room from which models run on it
     stop_terms: tuple[str, ...] = field(default_factory=tuple)
     chunk_rows: int = 200_000           # rows of one room that share a task
 

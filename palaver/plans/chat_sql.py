@@ -79,7 +79,7 @@ def features_sql(base: str) -> str:
    regexp_matches({t}, {q(lex.PURE_LAUGH)}) as is_pure_laugh, {u16_sql(t)} between 1 and 3 as is_short,
    regexp_matches(msg, {q(lex.PLAN_SIGNAL)}) as has_plan, regexp_matches(msg, {q(lex.PICTOGRAPH)}) as has_emoji,
    hour in (23, 0, 1, 2, 3, 4, 5) as is_night, dayofweek(ts) in (0, 6) as is_weekend,
-   length({squeeze_sql(t)}) >= 24 and (regexp_matches({squeeze_sql(t)}, {q(lex.WELCOME_TEXT)}) or (regexp_matches({squeeze_sql(t)}, {q(lex.RULES_TEXT)}) and length({squeeze_sql(t)}) >= 48)) as is_boilerplate,
+   {u16_sql(squeeze_sql(t))} >= 24 and (regexp_matches({squeeze_sql(t)}, {q(lex.WELCOME_TEXT)}) or (regexp_matches({squeeze_sql(t)}, {q(lex.RULES_TEXT)}) and {u16_sql(squeeze_sql(t))} >= 48)) as is_boilerplate,
    {u16_sql("msg")} >= 2 and regexp_matches(msg, {q(lex.LETTER)}) and {t} <> '' and not (len(markers) = 1 and {t} = markers[1])
      and not (len(markers) > 0 and {u16_sql(t)} <= 16 and not regexp_matches(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]', '', 'g'), '[가-힣A-Za-z]{{3,}}')) as eligible
    from f0)

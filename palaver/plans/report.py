@@ -22,6 +22,7 @@ from palaver.operators import keywords as kw
 from palaver.operators import room_events as ev
 from palaver.operators import sampling as smp
 from palaver.operators import series as ser
+from palaver.operators import text_nfc
 from palaver.operators import tone as tn
 from palaver.operators import topic_cards as cards
 from palaver.operators import topics as tp
@@ -36,7 +37,7 @@ ROOM = ["room_id"]
 class Report:
     def __init__(self, messages: DataFrame, options: AnalysisOptions | None = None):
         self.options = options or AnalysisOptions()
-        self.messages = feat.since(messages, self.options.since)
+        self.messages = text_nfc.compose(feat.since(messages, self.options.since))
 
     # ---- frames written once -------------------------------------------------------
     @cached_property
@@ -76,7 +77,7 @@ class Report:
     @cached_property
     def lanes(self) -> DataFrame:
         o = self.options
-        cands = kw.candidates(self.docs, self.totals, o.stop_terms, o.korean_primary)
+        cands = kw.candidates(self.docs, self.totals, o.stop_terms, kw.script_profile(self.messages))
         supplement = kw.hashtag_counts(self.features, self.people)
         lanes = kw.dual_lane(cands, supplement, self.totals, o.keyword_limit, o.supplement_weight, o.stop_terms)
         return materialise(lanes, "lanes")
@@ -246,25 +247,31 @@ class Report:
         return ins.evidence_pool(self.keywords, self.topics, self.hot_topics)
 
     # ---- model hooks ---------------------------------------------------------------------
-    def model_sample(self, force: bool = False) -> DataFrame:
-        """Texts a model may see: gated rooms, capped sample (room_id, line, sender, text)."""
-        gate = smp.model_gate(kw.script_profile(self.messages), force=force)
-        return smp.text_sample(smp.gated(self.features, gate), self.totals)
+    def model_texts(self, force: bool = False) -> DataFrame:
+        """Texts a model sees: all of the gated rooms (room_id, line, sender, text).
+
+        With ``options.model_sample`` only a uniform sample by room size.
+        """
+        gate = smp.model_gate(kw.script_profile(self.messages), self.options.model_least_texts, force)
+        rows = smp.gated(self.features, gate)
+        if self.options.model_sample:
+            return smp.text_sample(rows, self.totals)
+        return rows.filter(F.col("keyword_text").isNotNull()).select("room_id", "line", "sender", F.col("keyword_text").alias("text"))
 
     def model_sentiment(self, model, force: bool = False, binary: bool = True) -> tuple[DataFrame, DataFrame]:
         """(per room, per sender) sentiment; ``model`` maps a text column to a struct(label, score)."""
-        s = self.model_sample(force).withColumn("_s", model(F.substring("text", 1, 512)))
+        s = self.model_texts(force).withColumn("_s", model(F.col("text")))
         label = tone_fn.sentiment_label(F.col("_s.label"), F.col("_s.score"), binary, self.options.binary_sentiment_floor)
         scored = materialise(s.select("room_id", "sender", label.alias("label")), "scored")
         return tn.sentiment_stats(scored), tn.sentiment_by_sender(scored)
 
     def model_toxicity(self, model, force: bool = False) -> DataFrame:
-        s = self.model_sample(force).withColumn("_s", model(F.substring("text", 1, 512)))
+        s = self.model_texts(force).withColumn("_s", model(F.col("text")))
         return tn.toxicity_from_scores(s.select("room_id", "_s.label", "_s.score"))
 
     def model_clusters(self, model, force: bool = False) -> DataFrame:
         """k-means inside every room; ``model`` maps a text column to an array of floats."""
-        s = self.model_sample(force).withColumn("embedding", model(F.substring("text", 1, 512)))
+        s = self.model_texts(force).withColumn("embedding", model(F.col("text")))
         return vec.kmeans_per_room(s.select("room_id", "line", "embedding"), "line")
 
     def tables(self) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palaver.functions import lexicon as lex
@@ -10,7 +12,7 @@ from palaver.operators import features as feat
 from palaver.operators import keywords as kw
 from palaver.operators import text_nfc
 from palaver.plans import text_sql as t
-from palaver.plans.chat_sql import CHAT_F, q, squeeze_sql, trim_sql
+from palaver.plans.chat_sql import CHAT_F, q, squeeze_sql, trim_sql, u16_sql
 from palaver.plans.registry import query, round_sql
 from palaver.sources import tables as src
 
@@ -35,8 +37,16 @@ def chat_docs(spark, folder):
     return kw.token_docs(chat_features(spark, folder))
 
 
+def doc_profile(spark, folder):
+    return kw.script_profile(src.document_messages(spark, folder, "lang"))
+
+
+def chat_profile(spark, folder):
+    return kw.script_profile(src.chat_messages(spark, folder))
+
+
 def doc_candidates(spark, folder):
-    return kw.candidates(doc_tokens(spark, folder), doc_totals(spark, folder))
+    return kw.candidates(doc_tokens(spark, folder), doc_totals(spark, folder), profile=doc_profile(spark, folder))
 
 
 def hashtag_supplement(spark, folder):
@@ -46,7 +56,7 @@ def hashtag_supplement(spark, folder):
 
 def chat_lanes(spark, folder):
     totals = chat_totals(spark, folder)
-    cands = kw.candidates(chat_docs(spark, folder), totals)
+    cands = kw.candidates(chat_docs(spark, folder), totals, profile=chat_profile(spark, folder))
     return kw.dual_lane(cands, hashtag_supplement(spark, folder), totals)
 
 
@@ -83,7 +93,7 @@ def bigram_stats(spark, folder):
 def keyword_thresholds(spark, folder):
     from palaver.functions.numeric import half_up
 
-    d = kw.thresholds(kw.vocabulary(doc_tokens(spark, folder)), doc_totals(spark, folder))
+    d = kw.thresholds(kw.vocabulary(doc_tokens(spark, folder)), doc_totals(spark, folder), doc_profile(spark, folder))
     return d.withColumn("avg_len", half_up(F.col("avg_len"), 6))
 
 
@@ -123,7 +133,7 @@ def keyword_shares(spark, folder):
 , fz as (select br.room_id, br.label, hits, {round_sql('1.0 / (60 + r) + coalesce(0.85 / (60 + sr), 0)', 9)} as rrf from br left join s2 using (room_id, label))
 select room_id, label, hits as count, rrf, row_number() over (partition by room_id order by hits desc, rrf desc, length(label) desc, label) as rank from fz qualify rank <= 100""")
 def lane_fusion_legacy(spark, folder):
-    cands = kw.candidates(chat_docs(spark, folder), chat_totals(spark, folder))
+    cands = kw.candidates(chat_docs(spark, folder), chat_totals(spark, folder), profile=chat_profile(spark, folder))
     return kw.legacy_fusion(cands, hashtag_supplement(spark, folder))
 
 
@@ -148,9 +158,8 @@ def topic_trend(spark, folder):
 
 
 HALVES = """, mo as (select room_id, strftime(ts, '%Y-%m') as month, term, count(*) as count from tk group by 1, 2, 3)
-, mt as (select * from mo qualify row_number() over (partition by room_id, month order by count desc, length(term) desc, term) <= 40)
-, mi as (select room_id, month, row_number() over (partition by room_id order by month) as i, count(*) over (partition by room_id) as n from (select distinct room_id, month from mt))
-, hv as (select mt.room_id, case when i <= n // 2 then 'head' else 'tail' end as half, term, cast(sum(count) as bigint) as count from mt join mi using (room_id, month) where n >= 2 group by 1, 2, 3)
+, mi as (select room_id, month, row_number() over (partition by room_id order by month) as i, count(*) over (partition by room_id) as n from (select distinct room_id, month from mo))
+, hv as (select mo.room_id, case when i <= n // 2 then 'head' else 'tail' end as half, term, cast(sum(count) as bigint) as count from mo join mi using (room_id, month) where n >= 2 group by 1, 2, 3)
 , ht as (select *, row_number() over (partition by room_id, half order by count desc, length(term) desc, term) as rank from hv qualify rank <= 12)
 """
 
@@ -165,7 +174,7 @@ def keyword_shift(spark, folder):
     return kw.keyword_shift(kw.head_tail_terms(doc_tokens(spark, folder)))
 
 
-LINES = f"with m as ({src.documents_sql('lang')}), ln as (select room_id, cast(ts as date) as day, {squeeze_sql(trim_sql('unnest(string_split(message, chr(10)))'))} as phrase from m), pd as (select room_id, phrase, day, count(*) as count from ln where length(phrase) between 12 and 180 group by 1, 2, 3)"
+LINES = f"with m as ({src.documents_sql('lang')}), ln as (select room_id, cast(ts as date) as day, {squeeze_sql(trim_sql('unnest(string_split(message, chr(10)))'))} as phrase from m), pd as (select room_id, phrase, day, count(*) as count from ln where {u16_sql('phrase')} between 12 and 180 group by 1, 2, 3)"
 
 
 @query("repeated_phrases", LINES + ", p as (select room_id, phrase, cast(sum(count) as bigint) as count, arg_max(day, count * 100000 - date_diff('day', date '1970-01-01', day)) as peak_day from pd group by 1, 2 having sum(count) >= 3) select room_id, case when length(phrase) > 72 then substr(phrase, 1, 69) || '…' else phrase end as label, count, peak_day, row_number() over (partition by room_id order by count desc, phrase) as rank from p qualify rank <= 8")
@@ -175,7 +184,7 @@ def repeated_phrases(spark, folder):
     return kw.repeated_phrases(kw.phrases(lines, "message"))
 
 
-@query("repeated_phrases_chat", CHAT_F + f", pz as (select room_id, day, {squeeze_sql(trim_sql('msg'))} as phrase from f where not is_system and not is_boilerplate and eligible), pd as (select room_id, phrase, day, count(*) as count from pz where length(phrase) between 12 and 180 group by 1, 2, 3), p as (select room_id, phrase, cast(sum(count) as bigint) as count, arg_max(day, count * 100000 - date_diff('day', date '1970-01-01', day)) as peak_day from pd group by 1, 2 having sum(count) >= 3) select room_id, case when length(phrase) > 72 then substr(phrase, 1, 69) || '…' else phrase end as label, count, peak_day, row_number() over (partition by room_id order by count desc, phrase) as rank from p qualify rank <= 8")
+@query("repeated_phrases_chat", CHAT_F + f", pz as (select room_id, day, {squeeze_sql(trim_sql('msg'))} as phrase from f where not is_system and not is_boilerplate and eligible), pd as (select room_id, phrase, day, count(*) as count from pz where {u16_sql('phrase')} between 12 and 180 group by 1, 2, 3), p as (select room_id, phrase, cast(sum(count) as bigint) as count, arg_max(day, count * 100000 - date_diff('day', date '1970-01-01', day)) as peak_day from pd group by 1, 2 having sum(count) >= 3) select room_id, case when length(phrase) > 72 then substr(phrase, 1, 69) || '…' else phrase end as label, count, peak_day, row_number() over (partition by room_id order by count desc, phrase) as rank from p qualify rank <= 8")
 def repeated_phrases_chat(spark, folder):
     return kw.repeated_phrases(kw.phrases(chat_features(spark, folder)))
 
@@ -198,7 +207,7 @@ def user_words(spark, folder):
 @query("tokenizer_diff", t.CHAT_TK + t.CANDS + """, a as (select room_id, label, row_number() over (partition by room_id order by score desc, hits desc, length(label) desc, label) as rank_a from cd qualify rank_a <= 50), b as (select room_id, label, row_number() over (partition by room_id order by hits desc, score desc, length(label) desc, label) as rank_b from cd qualify rank_b <= 50)
 select coalesce(a.room_id, b.room_id) as room_id, coalesce(a.label, b.label) as label, rank_a, rank_b, case when rank_b is null then 'only_a' when rank_a is null then 'only_b' when rank_a = rank_b then 'same' else 'shared' end as status from a full join b on a.room_id = b.room_id and a.label = b.label""")
 def tokenizer_diff(spark, folder):
-    cands = kw.candidates(chat_docs(spark, folder), chat_totals(spark, folder))
+    cands = kw.candidates(chat_docs(spark, folder), chat_totals(spark, folder), profile=chat_profile(spark, folder))
     by_hits = kw.top_k(cands, ["room_id"], kw._by_hits(), 50)
     return kw.compare_rankings(kw.bm25_keywords(cands, 50), by_hits)
 
@@ -234,6 +243,51 @@ def record_assembly(spark, folder):
     return messages_from_lines(lines).drop("line")
 
 
+def _export_files(spark, folder, spoil=False):
+    """The conversations as one export file per room in the shared folder; returns its lines."""
+    from palaver.session import work_dir
+    from palaver.sources import export_lines as ex
+
+    m = src.conversation_messages(spark, folder)
+    odd = F.col("room_id").cast("long") % 10 if spoil else F.lit(-1)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    body = F.when(F.col("message").contains("\n"), F.col("message")).otherwise(quoted(F.col("message")))
+    day = F.when(odd == 5, F.lit("2024-13-01 00:00:00")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    sender = F.when(odd == 6, F.concat(F.lit('"'), "sender")).otherwise(quoted(F.col("sender")))
+    text = F.concat(day, F.lit(","), sender, F.lit(","), F.when(odd == 6, "x").otherwise(body))
+    parts = m.select("room_id", "line", F.posexplode(F.split(text, "\n", -1)).alias("i", "value"))
+    rooms = m.select("room_id").distinct()
+    head = rooms.select("room_id", F.lit(-2).cast("long").alias("line"), F.lit(0).alias("i"), F.when(odd == 3, "Datum,User,Message").otherwise("Date,User,Message").alias("value"))
+    stray = rooms.filter(odd == 4).select("room_id", F.lit(-1).cast("long").alias("line"), F.lit(0).alias("i"), F.lit("stray line").alias("value"))
+    base = f"{work_dir(spark)}/exports-{uuid.uuid4().hex}"
+    every = parts.unionByName(head).unionByName(stray).repartition("room_id").sortWithinPartitions("room_id", "line", "i")
+    every.select("room_id", "value").write.partitionBy("room_id").text(base)
+    return ex.text_lines(ex.raw_lines(spark, base))
+
+
+def _room(path, pattern, group):
+    return F.regexp_extract(path, pattern, group)
+
+
+@query("export_scan", f"select room_id, ts, sender, message from ({src.CONVERSATIONS_SQL})")
+def export_scan(spark, folder):
+    """Conversations written as export files, read back through Spark's file layer."""
+    from palaver.sources import export_lines as ex
+
+    return ex.records(_export_files(spark, folder), _room("path", "room_id=([^/]+)", 1)).drop("line")
+
+
+@query("export_warnings", f"""with m as ({src.CONVERSATIONS_SQL}), r as (select room_id, cast(room_id as bigint) % 10 as odd, count(*) as n from m group by 1, 2)
+select room_id, 'unexpected_header' as code, cast(1 as bigint) as count from r where odd = 3 union all select room_id, 'continuation_without_record', 1 from r where odd = 4
+union all select room_id, 'invalid_date', n from r where odd = 5 union all select room_id, 'sender_parse_error', n from r where odd = 6""")
+def export_warnings(spark, folder):
+    """The same with spoilt headers, dates, senders and stray lines in some rooms."""
+    from palaver.sources import export_lines as ex
+
+    found = ex.warnings(_export_files(spark, folder, True), _room("path", "room_id=([^/]+)", 1))
+    return found.groupBy("room_id", "code").agg(F.count("*").alias("count"))
+
+
 @query("export_profile", f"with m as ({src.CONVERSATIONS_SQL}) select room_id, count(*) as messages, count(distinct sender) as participants, arg_min(ts, line) as first_ts, arg_max(ts, line) as last_ts, cast(count(*) filter (where contains(message, chr(10))) as bigint) as multiline from m group by 1")
 def export_profile(spark, folder):
     from palaver.sources.chat_export import export_profile as profile

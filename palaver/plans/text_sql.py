@@ -69,12 +69,14 @@ DOC_TK = DOCS + tokens_sql("m", "message")
 CHAT_TK = CHAT_F + ", kt as (select *, case when not is_system and not is_boilerplate and eligible then msg end as keyword_text from f)" + tokens_sql("kt", "keyword_text")
 
 STATS = """
+, kp0 as (select room_id, count(*) as n, sum(len(regexp_extract_all(message, '[가-힣]'))) as h, sum(len(regexp_extract_all(message, '[A-Za-z]'))) as l from m where regexp_matches(message, '[가-힣A-Za-z]') group by 1)
+, kp as (select room_id, case when n < 8 then true when h < 24 then false when l = 0 then true else h >= l * 0.85 end as korean from kp0)
 , df as (select room_id, term, count(*) as df from tk group by 1, 2)
 , bg as (select x.room_id, x.term as a, y.term as b, count(*) as df from tk x join tk y on x.room_id = y.room_id and x.line = y.line and y.i = x.i + 1
   where length(x.term) >= 2 and length(y.term) >= 2 and length(x.term) + length(y.term) <= 28 and not regexp_matches(x.term, '^\\d+$') and not regexp_matches(y.term, '^\\d+$') group by 1, 2, 3)
 , cs as (select room_id, count(distinct line) as n_docs, greatest(1.0, count(*) / cast(count(distinct line) as double)) as avg_len from tk group by 1)
-, lim0 as (select room_id, n_docs, avg_len, total_messages as n_total, case when total_messages < 200 then 2 when total_messages < 2000 then 3 when total_messages < 50000 then 4 when total_messages < 100000 then 12 else 20 end as b from cs join tot using (room_id))
-, lim1 as (select *, cast(case when n_total < 8000 and b > 2 then b - 1 else b end as int) as min_df from lim0)
+, lim0 as (select room_id, n_docs, avg_len, total_messages as n_total, case when total_messages < 200 then 2 when total_messages < 2000 then 3 when total_messages < 50000 then 4 when total_messages < 100000 then 12 else 20 end as b, coalesce(korean, true) as korean from cs join tot using (room_id) left join kp using (room_id))
+, lim1 as (select *, cast(case when korean and n_total < 8000 and b > 2 then b - 1 else b end as int) as min_df from lim0)
 , lim as (select room_id, n_docs, avg_len, n_total, min_df, cast(case when n_docs < 500 then greatest(2, min_df - 1) when n_docs < 10000 then greatest(3, min_df) else greatest(min_df + 2, cast(floor(sqrt(n_docs) / 30.0) as int), 4) end as int) as min_bigram_df from lim1)
 """
 _idf = "ln(1.0 + (n_docs - df + 0.5) / (df + 0.5))"

@@ -332,8 +332,7 @@ def kmeans_sizes(spark, folder):
 @query("kmeans_per_room")
 def kmeans_per_room(spark, folder):
     rows = src.table(spark, folder, "embeddings").select(F.col("label").cast("string").alias("room_id"), F.col("vec_id").alias("line"), "embedding")
-    caps = rows.groupBy("room_id").agg(F.count("*").alias("n")).select("room_id", smp.sample_cap(F.col("n")).alias("cap"))
-    return vec.kmeans_per_room(smp.hash_sample(rows, caps), "line").groupBy("room_id", "cluster").agg(F.count("*").alias("size"))
+    return vec.kmeans_per_room(rows, "line").groupBy("room_id", "cluster").agg(F.count("*").alias("size"))
 
 
 def _cluster_items(spark, folder):

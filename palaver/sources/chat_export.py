@@ -45,12 +45,11 @@ def detect_encoding(head: bytes) -> str:
     """utf-8-bom, utf-8, cp949 or euc-kr from the first bytes of a file."""
     if head.startswith(b"\xef\xbb\xbf"):
         return "utf-8-bom"
-    found = []
     try:
-        # a sample may end inside a character
-        found.append(("utf-8", encoding_score(head[: _whole_utf8(head)].decode("utf-8"))))
+        head[: _whole_utf8(head)].decode("utf-8")  # a sample may end inside a character
+        return "utf-8"  # texts in Korean code pages are no valid UTF-8
     except UnicodeDecodeError:
-        pass
+        found = []
     for name in ("cp949", "euc-kr"):
         found.append((name, encoding_score(head.decode(name, errors="replace"))))
     return max(found, key=lambda f: f[1])[0]
@@ -159,7 +158,7 @@ def read_range(part: FileRange):
             if offset >= part.end:
                 break
             raw, sender, message, problems = parse_start(data.decode(codec, errors="replace"), offset)
-            if _timestamp(raw) is None:
+            if _timestamp(raw).year == 1970 and not raw.startswith("1970-01-01 00:00:00"):
                 problems.append((offset, "invalid_date", "Could not parse message date."))
             current = (offset, raw, sender, [message], early + problems)
             early = []
@@ -182,7 +181,7 @@ def _timestamp(raw: str):
     try:
         return dt.datetime.strptime(raw, "%Y-%m-%d %H:%M:%S")
     except ValueError:
-        return None
+        return dt.datetime(1970, 1, 1)
 
 
 class ChatExportSource(DataSource):
@@ -243,9 +242,10 @@ def messages_from_lines(lines: DataFrame) -> DataFrame:
 
     d = lines.select("room_id", "line", "value", F.col("value").rlike(lex.RECORD_START).alias("starts"))
     d = link_rows(d, ["starts"], {"record": lambda cur, prev: cur["starts"]})
-    # the first island holds the lines before the first record, unless it starts with one
+    # lines before the first record belong to none: they are left out before lines are gathered
+    d = d.join(d.filter("starts").select("room_id", "record_id").distinct(), ["room_id", "record_id"], "left_semi")
     body = F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda s: s["value"])
-    r = d.groupBy("room_id", "record_id").agg(body.alias("v"), F.min("line").alias("line"), F.bool_or("starts").alias("ok"))
+    r = d.groupBy("room_id", "record_id").agg(body.alias("v"), F.min("line").alias("line"))
     head = F.col("v")[0]
     quoted = '^[^,]*,"((?:[^"]|"")*)",?(.*)$'
     plain = "^[^,]*,([^,]*),?(.*)$"
@@ -256,8 +256,9 @@ def messages_from_lines(lines: DataFrame) -> DataFrame:
     whole = F.regexp_extract(text, '^"((?:[^"]|"")*)"$', 1)
     text = F.when(text.rlike('^"((?:[^"]|"")*)"$'), unquote(whole)).otherwise(text)
     rest = F.slice("v", 2, F.size("v"))
-    return r.filter("ok").select(
-        "room_id", "line", F.try_to_timestamp(F.substring(head, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
+    ts = F.try_to_timestamp(F.substring(head, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return r.select(
+        "room_id", "line", F.coalesce(ts, F.timestamp_seconds(F.lit(0))).cast("timestamp_ntz").alias("ts"),
         unquote(pick(1)).alias("sender"), F.concat_ws("\n", text, F.array_join(rest, "\n")).alias("message"),
         F.size("v").alias("lines"),
     ).withColumn("message", F.when(F.col("lines") == 1, F.regexp_replace("message", "\n$", "")).otherwise(F.col("message"))).drop("lines")

@@ -40,10 +40,15 @@ def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None
 
 # ---- running a query over what is there --------------------------------------------
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+def _base(spark: SparkSession, name: str, resume: str | None) -> str:
+    """Folder of a stream: ``resume`` names one that goes on where it stopped."""
+    return f"{work_dir(spark)}/{name}-{resume or uuid.uuid4().hex}"
+
+
+def run_append(stream: DataFrame, name: str, resume: str | None = None) -> DataFrame:
     """Process all available data, append finished rows to a table, read it back."""
     spark = stream.sparkSession
-    base = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = _base(spark, name, resume)
     schema = stream.schema
     query = (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
@@ -53,9 +58,15 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
-def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
-    """Process all available data with ``handle(batch, id, base)``; returns the base folder."""
-    base = f"{work_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def run_batches(
+    stream: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None], mode: str = "append", resume: str | None = None
+) -> str:
+    """Process all available data with ``handle(batch, id, base)``; returns the base folder.
+
+    Batches of a resumed stream go on counting; a batch that was cut off is repeated and
+    overwrites what it had written.
+    """
+    base = _base(stream.sparkSession, name, resume)
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
         .foreachBatch(lambda d, i: handle(d, i, base)).trigger(availableNow=True).start()
@@ -96,23 +107,23 @@ def sessions(messages: DataFrame, gap: str = "30 minutes", delay: str = "1 hour"
 
 # ---- update logs: the newest value of a key wins when the table is read ------------------
 
-def _log(stream: DataFrame, name: str) -> DataFrame:
-    base = run_batches(stream, name, lambda d, i, b: _put(d, b, "log", i), mode="update")
+def _log(stream: DataFrame, name: str, resume: str | None = None) -> DataFrame:
+    base = run_batches(stream, name, lambda d, i, b: _put(d, b, "log", i), "update", resume)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/log")
 
 
-def first_seen(messages: DataFrame) -> DataFrame:
+def first_seen(messages: DataFrame, resume: str | None = None) -> DataFrame:
     """New senders per day; state is one row per (room, sender)."""
     state = messages.groupBy("room_id", "sender").agg(F.min(F.struct("line", F.to_date("ts").alias("day"))).alias("first"))
-    log = _log(state, "first-seen")
+    log = _log(state, "first-seen", resume)
     best = log.groupBy("room_id", "sender").agg(F.min("first").alias("first"))
     return best.groupBy("room_id", F.col("first.day").alias("day")).agg(F.count("*").alias("new_senders"))
 
 
-def term_counts(texts: DataFrame, text: str = "message") -> DataFrame:
+def term_counts(texts: DataFrame, text: str = "message", resume: str | None = None) -> DataFrame:
     """Document frequency per term; state is keyed by (room, term)."""
     terms = token_docs(texts, text).select("room_id", F.explode("tokens").alias("term"))
-    log = _log(terms.groupBy("room_id", "term").agg(F.count("*").alias("df")), "terms")
+    log = _log(terms.groupBy("room_id", "term").agg(F.count("*").alias("df")), "terms", resume)
     return log.groupBy("room_id", "term").agg(F.max("df").alias("df"))
 
 
@@ -154,7 +165,7 @@ def flow_step(batch: DataFrame, carry: DataFrame | None, chunk_rows: int = CHUNK
     return d.filter(~F.col("_old")).drop("_old"), late, state.select("room_id", "s.*")
 
 
-def flow(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+def flow(messages: DataFrame, chunk_rows: int = CHUNK_ROWS, resume: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(flow, late) tables of a message stream: gaps, previous speaker, runs, sessions."""
     def handle(batch: DataFrame, number: int, base: str) -> None:
         spark = batch.sparkSession
@@ -164,7 +175,7 @@ def flow(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame,
         _put(late, base, "late", number)
         _put(state, base, "carry", number)
 
-    base = run_batches(messages, "flow", handle)
+    base = run_batches(messages, "flow", handle, resume=resume)
     read = lambda t, s: messages.sparkSession.read.schema(s).parquet(f"{base}/{t}")
     return read("flow", FLOW), read("late", "room_id string, line bigint, sender string, us bigint")
 
@@ -175,10 +186,9 @@ def stream_gap_histogram(messages: DataFrame) -> DataFrame:
     return gap_histogram(gaps(rows))
 
 
-def sample(messages: DataFrame, cap: int = 480, seed: int = 42) -> DataFrame:
+def sample(messages: DataFrame, cap: int = 480, seed: int = 42, resume: str | None = None) -> DataFrame:
     """Uniform sample of all rows so far; version n is drawn from version n - 1 and the batch."""
     schema = "room_id string, line bigint, sender string"
-    final = []
 
     def handle(batch: DataFrame, number: int, base: str) -> None:
         rows = batch.select("room_id", "line", "sender")
@@ -186,7 +196,8 @@ def sample(messages: DataFrame, cap: int = 480, seed: int = 42) -> DataFrame:
             rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{base}/sample/batch={number - 1}"))
         caps = rows.select("room_id").distinct().withColumn("cap", F.lit(cap))
         _put(hash_sample(rows, caps, seed).drop("sample_rank"), base, "sample", number)
-        final.append(number)
 
-    base = run_batches(messages, "sample", handle)
-    return messages.sparkSession.read.schema(schema).parquet(f"{base}/sample/batch={max(final)}")
+    base = run_batches(messages, "sample", handle, resume=resume)
+    versions = messages.sparkSession.read.schema(f"{schema}, batch int").parquet(f"{base}/sample")
+    last = versions.agg(F.max("batch")).first()[0]
+    return versions.filter(F.col("batch") == last).drop("batch")

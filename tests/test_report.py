@@ -49,7 +49,7 @@ def test_model_hooks(spark):
     r = Report(one)
     good = lambda c: F.struct(F.when(c.contains("좋"), "positive").otherwise("negative").alias("label"), F.lit(0.9).alias("score"))
     per_room, per_sender = r.model_sentiment(good, force=True)
-    sample = r.model_sample(force=True).count()
+    sample = r.model_texts(force=True).count()
     assert per_room.first().sample == sample > 0
     assert per_sender.count() > 0
     assert r.model_toxicity(good, force=True).first().sample == sample

@@ -1,5 +1,6 @@
 """Export reader, discovery, word lists, sinks."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -36,7 +37,7 @@ def test_reader_finds_the_encoding(spark, tmp_path, encoding, seen):
     rows = exports.orderBy("line").collect()
     assert [(r.sender, r.message) for r in rows] == WANT
     assert {r.encoding for r in rows} == {seen}
-    assert rows[3].ts is None
+    assert rows[3].ts == dt.datetime(1970, 1, 1)
     assert {r.room_id for r in ce.messages_of(exports).collect()} == {"방"}
     assert [r.code for r in ce.warnings_of(exports).collect()] == ["invalid_date"]
 
@@ -63,7 +64,7 @@ def test_plain_text_form_matches_the_reader(spark, tmp_path):
     lines = [("a", i, v) for i, v in enumerate(open(path, encoding="utf-8").read().splitlines())]
     d = ce.messages_from_lines(spark.createDataFrame(lines, "room_id string, line bigint, value string"))
     assert [(r.sender, r.message) for r in d.orderBy("line").collect()] == WANT
-    assert d.filter(F.col("ts").isNull()).count() == 1
+    assert d.filter(F.year("ts") == 1970).count() == 1
 
 
 def test_profile_and_estimate(spark, tmp_path):
@@ -94,3 +95,33 @@ def test_word_lists_and_sinks(spark, tmp_path):
     assert lexicons.reference_bands(spark, str(tmp_path / "ref.json")) == {"gini": [0.1, 0.2]}
     sinks.write_tables({"t": spark.range(3)}, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/t")).count() == 3
+
+
+@pytest.mark.parametrize("encoding,seen", [("utf-8", "utf-8"), ("utf-8-sig", "utf-8-bom"), ("cp949", "cp949")])
+def test_lines_through_the_file_layer(spark, tmp_path, encoding, seen):
+    from palaver.sources import export_lines as ex
+
+    put(tmp_path, "AbcTalk_Chat_방_2026-05-16-15-03-41.csv", TEXT, encoding)
+    put(tmp_path, "AbcTalk_Chat_b_2026-05-16-15-03-41.csv", "Datum,User,Message\r\nstray\r\n2026-05-01 09:00:00,Bob,hi\r\n")
+    lines = ex.text_lines(ex.raw_lines(spark, str(tmp_path)))
+    rows = ex.records(lines).orderBy("room_id", "line").collect()
+    assert [(r.sender, r.message) for r in rows if r.room_id == "b"] == [("Bob", "hi")]
+    mine = [r for r in rows if r.room_id == "방"]
+    assert [(r.sender, r.message) for r in mine] == WANT and mine[3].ts == dt.datetime(1970, 1, 1)
+    assert {r.encoding for r in lines.filter(~F.col("path").contains("_b_")).collect()} == {seen}
+    assert {(r.room_id, r.code) for r in ex.warnings(lines).collect()} == {
+        ("방", "invalid_date"), ("b", "unexpected_header"), ("b", "continuation_without_record"),
+    }
+
+
+def test_lines_of_a_file_read_in_many_splits(spark, tmp_path):
+    from palaver.sources import export_lines as ex
+
+    text = "Date,User,Message\n" + "".join(f"2026-05-01 09:00:{i % 60:02},u{i},m{i}\nmore {i}\n" for i in range(4000))
+    put(tmp_path, "a.csv", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = ex.records(ex.text_lines(ex.raw_lines(spark, str(tmp_path)))).orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.sender, r.message) for r in rows] == [(f"u{i}", f"m{i}\nmore {i}") for i in range(4000)]

@@ -12,6 +12,7 @@ from palaver.streaming import rooms as st
 
 def split_events(spark, folder, target, parts):
     """Files of consecutive events, with rising modification times."""
+    os.makedirs(target, exist_ok=True)
     d = table(spark, folder, "events").toPandas().sort_values("event_id")
     step = -(-len(d) // parts)
     for i in range(parts):
@@ -57,3 +58,22 @@ def test_sample_and_first_seen_over_batches(spark, folder, tmp_path):
     assert {(r.room_id, r.line) for r in st.sample(stream(), 20).collect()} == want
     per_day = st.first_seen(stream()).agg(F.sum("new_senders")).first()[0]
     assert per_day == messages.select("room_id", "sender").distinct().count()
+
+
+def test_a_stopped_stream_goes_on(spark, folder, tmp_path):
+    split_events(spark, folder, tmp_path / "all", 4)
+    live = tmp_path / "live"
+    live.mkdir()
+    stream = lambda: st.event_stream(spark, str(live), files_per_trigger=1)
+    for part in ((0, 1), (2, 3)):
+        for i in part:
+            os.link(tmp_path / "all" / f"events-{i}.parquet", live / f"events-{i}.parquet")
+        name = f"again-{tmp_path.name}-{os.getpid()}"
+        rows, late = st.flow(stream(), 50, resume=name)
+        seen = st.first_seen(stream(), resume=name)
+        held = st.sample(stream(), 20, resume=name)
+    want = fl.conversation_flow(event_messages(spark, folder))
+    cols = ["room_id", "line", "sender", "prev_sender", "gap_ms", "run_id", "session_id"]
+    assert {tuple(r) for r in rows.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
+    assert late.count() == 0 and held.count() == 20 * want.select("room_id").distinct().count()
+    assert seen.agg(F.sum("new_senders")).first()[0] == want.select("room_id", "sender").distinct().count()
