@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from palaver.llm import tokens
 from palaver.llm.common import columns_of, materialise, text_of
 
-BLOCK = 1024  # lengths in a block of the suffix sums
+BLOCK = 128  # lengths in a block of the suffix sums
 
 
 def _counter(path: str):
