@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import columns_of, digest, materialise, only, text_of
+from palaver.operators.components import components
 
 SHINGLE = 3
 SEED = 42
@@ -247,40 +248,6 @@ def links(nodes: DataFrame, budget: int = BUDGET, limit: int = LIMIT, step: int
     return dealt.select(*UNIT, "side", "rest", "fp").mapInArrow(_joiner(budget), "fp long, to long").distinct()
 
 
-# ---- components --------------------------------------------------------------
-
-
-def components(edges: DataFrame, a: str = "fp", b: str = "to") -> DataFrame:
-    """(node, root): every node that has a link, with the smallest node it reaches.
-
-    Alternating stars: neighbours move to the smallest node in sight until only stars are
-    left, in a number of rounds that grows with the logarithm of the longest path. Minima
-    are written first, so that the joins on hot nodes can be split.
-    """
-    def smallest(pairs: DataFrame) -> DataFrame:
-        return materialise(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "stars-least")
-
-    def measure(pairs: DataFrame):
-        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    pairs = materialise(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "stars"
-    )
-    before = measure(pairs)
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = materialise(large.where("u <> v").distinct(), "stars")
-        least = smallest(pairs)
-        small = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        after = measure(pairs)
-        if after == before:
-            break
-        before = after
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 # ---- documents -----------------------------------------------------------------
 
 
@@ -290,7 +257,7 @@ def near_groups(docs: DataFrame, budget: int = BUDGET, limit: int = LIMIT) -> Da
     prints = materialise(source.mapInArrow(_fingerprints, "doc_id long, digest long, fp long"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     nodes = materialise(prints.groupBy("fp").agg(first), "fingerprint-nodes")
-    stars = components(links(nodes.select("fp"), budget, limit))
+    stars = components(links(nodes.select("fp"), budget, limit), "fp", "to")
     members = materialise(
         stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct()),
         "near-members",

