@@ -291,11 +291,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     )
     seen = materialise(source.select("url", "html", "page_key").mapInArrow(_observe, SEEN), "site-seen")
     site = materialise(importance(seen), "site-tree")
-    on_page = materialise(
-        seen.where(F.col("kind") == ON_PAGE).select("host", "node", F.col("value").alias("page_key")).distinct(), "site-pages"
-    )
+    on_page = seen.where(F.col("kind") == ON_PAGE).select("host", "node", F.col("value").alias("page_key"))
+    # a set of a page's nodes: copies of a page add nothing, in whatever task they are found
     known = on_page.join(site, ["host", "node"]).groupBy("page_key").agg(
-        F.collect_list(F.struct("node", "style", "content")).alias("known")
+        F.collect_set(F.struct("node", "style", "content")).alias("known")
     )
     return source.join(known, "page_key", "left").select("page_id", "url", "html", "known").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
