@@ -314,8 +314,25 @@ class Report:
         names = self.aliases.select("room_id", "sender", "alias")
         for name, d in named.items():
             tables[name] = d.join(names, ["room_id", "sender"]).drop("sender")
-        tables["reply_pairs"] = self.public_pairs(names)
-        return tables
+        pairs = materialise(self.public_pairs(names), "reply-pairs")
+        tables["reply_pairs"] = pairs
+        return tables | self.story(names, pairs)
+
+    def story(self, names: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+        """Facts of the room's story, with public names in place of senders."""
+        public = lambda d, column: d.join(
+            names.select("room_id", F.col("sender").alias(column), F.col("alias").alias("_name")), ["room_id", column], "left"
+        ).withColumn(column, F.col("_name")).drop("_name")
+        first = pairs.filter("rank = 1").select("room_id", F.concat_ws("→", "source", "target").alias("top_pair"))
+        room = materialise(public(self.room_row.drop("top_pair"), "top_sender").join(first, ROOM, "left"), "public-room")
+        people = public(self.personas, "sender")
+        return {
+            "chapters": public(ser.chapters(self.days, self.cells), "top_sender"),
+            "milestones": ser.milestones(self.days), "streaks": ser.streaks(self.days), "silence": ser.silence(self.days),
+            "gap_quantiles": fl.gap_quantiles(self.gaps), "month_peaks": ser.month_peaks(self.days),
+            "highlights": ins.highlights(room), "wrapped": ins.wrapped_cards(room),
+            "narrative": ins.narrative(room, self.topics, people, self.timeline),
+        }
 
     def public_pairs(self, names: DataFrame) -> DataFrame:
         d = fl.top_pairs(self.edges, self.members)
