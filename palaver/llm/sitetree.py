@@ -43,7 +43,7 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 # fixed values: parts of HTML and of common class names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,7 +85,10 @@ def _names(attributes: str) -> tuple[str, set[str], bool]:
         value = (a or b or c).lower()
         name = name.lower()
         if name == "hidden":
-            hidden = not value or value == "hidden"
+            hidden = hidden or not value or value == "hidden"
+            continue
+        if name == "style":
+            hidden = hidden or "display:none" in re.sub(r"\s", "", value)
             continue
         if name == "class":
             label = ".".join(sorted(value.split()))

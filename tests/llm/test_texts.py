@@ -100,7 +100,7 @@ def test_main_text_of_odd_pages():
         page("<article><header><h1>Head</h1></header><p>Body</p><footer>foot</footer></article>", "<div class='cookie-notice'>ok?</div>"): "Head Body",
         "<p>only text": "only text", "": "", "plain &eacute;": "plain é", "<article>cut <b": "cut <b", "<!-- <p>no</p> --><p>yes</p>": "yes",
         "<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>": "a b c d",
-        "<p title='a>b'>quoted</p></div></p>": "quoted",
+        "<p title='a>b'>quoted</p></div></p>": "quoted", "<article>a<span style='color:red; display: none'>b</span><i hidden>c</i></article>": "a",
     }
     for html, text in cases.items():
         assert sitetree.main_text(html, {}) == text, html
