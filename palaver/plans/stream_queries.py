@@ -12,17 +12,19 @@ from palaver.plans.registry import query
 from palaver.sources import tables as src
 from palaver.streaming import rooms as st
 
-CLOSED = ", mx as (select max(ts) as mx from m)"
+@query("stream_daily", EV + " select room_id, cast(ts as date) as day, count(*) as messages from m group by 1, 2")
+def stream_daily(spark, folder):
+    return st.latest_counts(st.daily_counts(st.event_stream(spark, folder)), "stream-daily", ["room_id", "day"])
 
 
-@query("stream_daily", EV + CLOSED + " select room_id, cast(ts as date) as day, count(*) as messages from m, mx where cast(ts as date) + interval 1 day <= mx - interval 1 day group by 1, 2")
-def stream_daily(spark, folder):
-    return st.run_append(st.daily_counts(st.event_stream(spark, folder)), "stream-daily")
+@query("stream_hourly", EV + " select room_id, strftime(ts, '%Y-%m-%d %H') as hour, count(*) as messages from m group by 1, 2")
+def stream_hourly(spark, folder):
+    return st.latest_counts(st.hourly_counts(st.event_stream(spark, folder)), "stream-hourly", ["room_id", "hour"])
 
 
-@query("stream_sliding", EV + CLOSED + ", c as (select room_id, cast(ts as date) - cast(i as int) as from_day, count(*) as messages from m, range(7) r(i) group by 1, 2) select room_id, cast(from_day as date) as from_day, messages from c, mx where from_day + interval 7 days <= mx - interval 1 day")
+@query("stream_sliding", EV + ", c as (select room_id, cast(ts as date) - cast(i as int) as from_day, count(*) as messages from m, range(7) r(i) group by 1, 2) select room_id, cast(from_day as date) as from_day, messages from c")
 def stream_sliding(spark, folder):
-    return st.run_append(st.sliding_activity(st.event_stream(spark, folder)), "stream-sliding")
+    return st.latest_counts(st.sliding_activity(st.event_stream(spark, folder)), "stream-sliding", ["room_id", "from_day"])
 
 
 @query("stream_sessions", EV + SESS + ", mx as (select epoch_us(max(ts)) as mx from m) select room_id, start_us, messages from s, mx where end_us + 1800000000 <= mx - 3600000000")

@@ -81,6 +81,22 @@ def _put(d: DataFrame, base: str, table: str, batch: int) -> None:
 
 # ---- windowed counts ------------------------------------------------------------------
 
+def latest_counts(counts: DataFrame, name: str, keys: list[str], resume: str | None = None) -> DataFrame:
+    """All windows so far, open ones too: the log of updates, of which the largest count is the newest.
+
+    State is bounded by the watermark; closed windows live in the log only.
+    """
+    log = _log(counts, name, resume)
+    return log.groupBy(*keys).agg(F.max("messages").alias("messages"))
+
+
+def hourly_counts(messages: DataFrame, delay: str = "1 day") -> DataFrame:
+    w = F.window("ts", "1 hour")
+    return messages.withWatermark("ts", delay).groupBy("room_id", w.alias("w")).agg(F.count("*").alias("messages")).select(
+        "room_id", F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "messages"
+    )
+
+
 def daily_counts(messages: DataFrame, delay: str = "1 day") -> DataFrame:
     w = F.window("ts", "1 day")
     return messages.withWatermark("ts", delay).groupBy("room_id", w.alias("w")).agg(F.count("*").alias("messages")).select(
