@@ -10,7 +10,9 @@ so a host with a large part of all pages is never in one task.
 A page then weighs its branches bottom-up: content nodes by their content's entropy and
 length, presentation nodes by their own entropy and, more and more with depth, their
 children's. Known roles correct the weight: menus, footers, forms, adverts, comments and the
-like weigh nothing, links count against a branch, and ``article`` or ``main`` weigh in full.
+like weigh nothing unless they hold the page's main content, links count against a branch, and
+``article`` or ``main`` weigh in full. A class or id is a role if its whole name is one or is
+made of role names only; on headings and sections of main content, if its whole name is one.
 Branches below the threshold go; what stays is the text.
 
 Cases: null html is empty and gives an empty text; a null or odd URL is a host of its own
@@ -58,6 +60,8 @@ CLOSES = {
 LISTS = frozenset("ul ol dl table div section article main body aside nav form header footer td th".split())
 WORTHLESS = frozenset("head title nav footer aside form button dialog menu header noscript template".split())
 MAIN = frozenset("article main".split())
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+NEVER_SHOWN = frozenset("head title noscript template".split())
 WORTHLESS_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments "
     "complementary consent contentinfo cookie cookies copyright disqus footer form gdpr header login masthead menu "
@@ -69,17 +73,18 @@ MAIN_NAMES = frozenset("main articlebody".split())
 
 
 class Node:
-    __slots__ = ("label", "tag", "key", "parent", "children", "text", "linked", "prior", "main", "breaks")
+    __slots__ = ("label", "tag", "key", "parent", "children", "text", "linked", "prior", "main", "breaks", "hidden")
 
     def __init__(self, label, tag, key, parent, prior, main):
         self.label, self.tag, self.key, self.parent, self.prior, self.main = label, tag, key, parent, prior, main
         self.children: list = []  # nodes and texts in page order
         self.text = self.linked = 0
         self.breaks = tag not in INLINE
+        self.hidden = False  # shown to nobody, whatever lies below
 
 
 def _names(attributes: str) -> tuple[str, set[str], bool]:
-    """Classes as a label, all names in the attributes, and whether the element is hidden."""
+    """Classes as a label, the whole names in the attributes, and whether the element is hidden."""
     label, names, hidden = "", set(), False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
@@ -92,10 +97,26 @@ def _names(attributes: str) -> tuple[str, set[str], bool]:
             continue
         if name == "class":
             label = ".".join(sorted(value.split()))
-        names.update(re.split(r"[^a-z0-9]+", value))
+        names.update(value.split())
     return label, names, hidden
 
 
+def _is_role(name: str) -> bool:
+    """A name made of role names only (``cookie-notice``, but not ``has-sidebar``)."""
+    pieces = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    return bool(pieces) and all(p in WORTHLESS_NAMES for p in pieces)
+
+
+def _lift(mains: list[Node]) -> None:
+    """Branches that hold the page's main content are no menus or forms, whatever they are called."""
+    for main in mains:
+        above = main.parent
+        while above is not None:
+            if not above.hidden:
+                above.prior = 1.0
+            above = above.parent
+
+
 _KEYS: dict[tuple[int, str], int] = {}
 
 
@@ -113,6 +134,7 @@ def parse(page: str) -> Node:
     """A forgiving DOM: unclosed and stray tags are allowed, scripts and comments left out."""
     root = Node("", "", 0, None, 1.0, False)
     at, here = root, 0
+    mains: list[Node] = []
 
     def add(text: str) -> None:
         if text:
@@ -141,21 +163,26 @@ def parse(page: str) -> Node:
                 at = node.parent
         label, names, hidden = _names(m[4]) if "=" in m[4] or "hidden" in m[4] else ("", set(), False)
         label = f"{tag}.{label}" if label else tag
-        main = tag in MAIN or bool(names & MAIN_NAMES and tag not in INLINE)
+        pieces = {p for n in names for p in re.split(r"[^a-z0-9]+", n)}
+        main = tag in MAIN or bool(pieces & MAIN_NAMES and tag not in INLINE)
         inside = at
         while inside is not root and not inside.main:
             inside = inside.parent
         own_head = tag == "header" and inside is not root
-        worthless = hidden or (tag in WORTHLESS and not own_head) or (
-            bool(names & WORTHLESS_NAMES) and tag not in ("html", "body") and not main
-        )
+        whole = inside is not root and tag in TITLED  # an id here is a slug of the heading's words
+        role = any(n in WORTHLESS_NAMES or (not whole and _is_role(n)) for n in names)
+        worthless = hidden or (tag in WORTHLESS and not own_head) or (role and tag not in ("html", "body") and not main)
         node = Node(label, tag, _key(at.key, label), at, 0.0 if worthless else 1.0, main)
+        node.hidden = hidden or tag in NEVER_SHOWN
+        if (tag in MAIN or main and names & MAIN_NAMES) and inside is root and not role and not node.hidden:
+            mains.append(node)
         at.children.append(node)
         if tag not in VOID and not m[4].endswith("/"):
             at = node
         elif tag not in VOID:
             at = node
     add(page[here:])
+    _lift(mains)
     return root
 
 

@@ -106,6 +106,16 @@ def test_main_text_of_odd_pages():
         assert sitetree.main_text(html, {}) == text, html
 
 
+def test_roles_are_whole_names_and_hold_no_main_content():
+    art = "<article><h2 id='social-impact'>Impact</h2><section id='search-methods'><p>Methods</p></section></article>"
+    for around in ("<div class='layout has-sidebar'>{}</div>", "<div class='no-comments'>{}</div>", "<form id='aspnetForm'>{}</form>", "<div class='widget'>{}</div>"):
+        assert sitetree.main_text(page(around.format(art)), {}) == "Impact Methods", around
+    assert sitetree.main_text(page("<article><p>a</p><section class='related'><p>b</p></section></article>"), {}) == "a"
+    assert sitetree.main_text(page("<main><p>a</p><div class='comments'><article>b</article></div></main>"), {}) == "a"
+    assert sitetree.main_text(page("<article>a</article>", "<template><article>b</article></template>"), {}) == "a"
+    assert sitetree.main_text(page("<article>a</article>", "<div style='display:none'><article>b</article></div>"), {}) == "a"
+
+
 def test_site_tree_drops_what_repeats(spark):
     rows = []
     for k in range(12):
