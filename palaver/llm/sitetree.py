@@ -40,7 +40,7 @@ DAMPING = 0.9
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|object|select|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|iframe)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -51,17 +51,22 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b(?:\s*=\s*(?
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mfenced "
+    "semantics annotation svg object select".split()
 )
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "p": {"p"},
 }
 LISTS = frozenset("ul ol dl table div section article main body aside nav form header footer td th".split())
-WORTHLESS = frozenset("head title nav footer aside form button dialog menu header noscript template".split())
+WORTHLESS = frozenset("head title nav footer aside form button dialog menu header annotation".split())
+#: Worth nothing once their end tag is found: without one, the text behind them is the page's.
+CLOSED = frozenset("noscript template svg object select".split())
+FOREIGN = frozenset("svg math".split())
 MAIN = frozenset("article main".split())
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
-NEVER_SHOWN = frozenset("head title noscript template".split())
+NEVER_SHOWN = frozenset("head title noscript template svg select".split())
 WORTHLESS_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments "
     "complementary consent contentinfo cookie cookies copyright disqus footer form gdpr header login masthead menu "
@@ -107,14 +112,23 @@ def _is_role(name: str) -> bool:
     return bool(pieces) and all(p in WORTHLESS_NAMES for p in pieces)
 
 
+def _in_foreign(node: Node) -> bool:
+    while node is not None and node.tag not in FOREIGN:
+        node = node.parent
+    return node is not None
+
+
 def _lift(mains: list[Node]) -> None:
     """Branches that hold the page's main content are no menus or forms, whatever they are called."""
     for main in mains:
-        above = main.parent
-        while above is not None:
-            if not above.hidden:
-                above.prior = 1.0
-            above = above.parent
+        above = []
+        node = main.parent
+        while node is not None:
+            above.append(node)
+            node = node.parent
+        if not any(n.hidden for n in above):
+            for n in above:
+                n.prior = 1.0
 
 
 _KEYS: dict[tuple[int, str], int] = {}
@@ -152,6 +166,8 @@ def parse(page: str) -> Node:
             while node is not root and node.tag != tag:
                 node = node.parent
             if node is not root:
+                if tag in CLOSED:
+                    node.prior, node.hidden = 0.0, tag in NEVER_SHOWN
                 at = node.parent
             continue
         closing = CLOSES.get(tag) or (CLOSES["p"] if tag not in INLINE and tag not in VOID else None)
@@ -173,13 +189,11 @@ def parse(page: str) -> Node:
         role = any(n in WORTHLESS_NAMES or (not whole and _is_role(n)) for n in names)
         worthless = hidden or (tag in WORTHLESS and not own_head) or (role and tag not in ("html", "body") and not main)
         node = Node(label, tag, _key(at.key, label), at, 0.0 if worthless else 1.0, main)
-        node.hidden = hidden or tag in NEVER_SHOWN
+        node.hidden = hidden or (tag in NEVER_SHOWN and tag not in CLOSED)
         if (tag in MAIN or main and names & MAIN_NAMES) and inside is root and not role and not node.hidden:
             mains.append(node)
         at.children.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
-            at = node
-        elif tag not in VOID:
+        if tag not in VOID and not (m[4].endswith("/") and (tag in FOREIGN or _in_foreign(at))):
             at = node
     add(page[here:])
     _lift(mains)

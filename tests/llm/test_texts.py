@@ -116,6 +116,21 @@ def test_roles_are_whole_names_and_hold_no_main_content():
     assert sitetree.main_text(page("<article>a</article>", "<div style='display:none'><article>b</article></div>"), {}) == "a"
 
 
+def test_embedded_elements_do_not_swallow_text():
+    cases = {
+        "<svg width='1'/><p>a</p>": "a", "<math/><p>a</p>": "a", "<object data='x'><p>a</p>": "a",
+        "<object-card><p>a</p></object-card><p>b</p>": "a b", "<template-part>a</template-part><p>b</p>": "a b",
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>": "Let x=2 hold",
+        "<p>a</p><svg><path d='m'/><text>no</text></svg><p>b</p>": "a b", "<p>a <object>no</object>b</p>": "a b",
+        "<p>a</p><template><p>no</p></template><noscript>no</noscript><select><option>no</select><p>b</p>": "a b",
+        "<p>a</p><iframe src='x'><p>no</p></iframe><script>no<p></script><p>b</p>": "a b",
+    }
+    for html, text in cases.items():
+        assert sitetree.main_text(page(f"<article>{html}</article>"), {}) == text, html
+    for stray in ("<template><article>no</article></template>", "<noscript><article>no</article></noscript>"):
+        assert sitetree.main_text(page("<article>a</article>", stray), {}) == "a"
+
+
 def test_site_tree_drops_what_repeats(spark):
     rows = []
     for k in range(12):
