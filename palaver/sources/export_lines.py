@@ -3,8 +3,8 @@
 Files are read as lines by the text source, which cuts large files into splits. A line's
 number is the start of its split plus its place in the split: splits are never longer in
 lines than in bytes, so numbers are unique and rise through the file, and no task counts the
-lines before it. The lines are written once, then encodings are told from the first lines of
-each file, lines are decoded, and records are put together by ``messages_from_lines``.
+lines before it. The lines are written once, then encodings are told from all lines of each
+file, lines are decoded, and records are put together by ``messages_from_lines``.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from palaver.functions import lexicon as lex
 from palaver.functions.text import room_name_from_file
 from palaver.session import materialise
-from palaver.sources.chat_export import detect_encoding, messages_from_lines
+from palaver.sources.chat_export import encoding_score, messages_from_lines
 
-HEAD_LINES = 2000  # lines that tell a file's encoding
+KOREAN = ("cp949", "euc-kr")
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -33,15 +33,29 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encodings(lines: DataFrame) -> DataFrame:
-    """(path, encoding) from the first lines of each file."""
+    """(path, encoding) from all lines of each file that are not ASCII.
 
-    @F.pandas_udf("string")
-    def told(heads: pd.Series) -> pd.Series:
-        return heads.map(lambda head: detect_encoding(b"\n".join(bytes(b) for b in head)))
+    A file is UTF-8 if no more of them are invalid than valid, so a damaged line does not
+    turn a whole file. Others are scored by line, and the better Korean code page is taken.
+    """
 
-    head = F.transform(F.sort_array(F.collect_list(F.struct("line", "bytes"))), lambda s: s["bytes"])
-    heads = lines.filter(F.col("line") < HEAD_LINES).groupBy("path").agg(head.alias("head"))
-    return heads.select("path", told("head").alias("encoding"))
+    @F.pandas_udf("array<bigint>")
+    def scores(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: [encoding_score(bytes(b).decode(name, errors="replace")) for name in KOREAN])
+
+    text = F.col("bytes").cast("string")
+    valid = F.is_valid_utf8(text)
+    beyond = ~valid | (F.octet_length(text) != F.char_length(text))
+    d = lines.select("path", "bytes", valid.alias("valid"), beyond.alias("beyond"), F.hex(F.substring("bytes", 1, 3)).alias("mark"), "line")
+    files = materialise(d.groupBy("path").agg(
+        (F.count_if(F.col("valid") & F.col("beyond")) >= F.count_if(~F.col("valid"))).alias("unicode"),
+        F.bool_or((F.col("line") == 0) & (F.col("mark") == "EFBBBF")).alias("marked"),
+    ), "export-files")
+    unicode = F.col("unicode") | F.col("marked")
+    plain = files.where(unicode).select("path", F.when(F.col("marked"), "utf-8-bom").otherwise("utf-8").alias("encoding"))
+    other = d.where("beyond").join(files.where(~unicode).select("path"), "path", "left_semi")
+    scored = other.select("path", scores("bytes").alias("s")).groupBy("path").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(2)])
+    return plain.unionByName(scored.select("path", F.when(F.col("s0") >= F.col("s1"), KOREAN[0]).otherwise(KOREAN[1]).alias("encoding")))
 
 
 def text_lines(lines: DataFrame) -> DataFrame:

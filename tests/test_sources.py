@@ -115,6 +115,23 @@ def test_lines_through_the_file_layer(spark, tmp_path, encoding, seen):
     }
 
 
+def test_encoding_of_a_file_with_a_long_ascii_start(spark, tmp_path):
+    from palaver.sources import export_lines as ex
+
+    start = "Date,User,Message\n" + "".join(f"2026-05-01 09:00:{i % 60:02},u,hello {i}\n" for i in range(2500))
+    korean = "2026-05-02 09:00:00,u,안녕하세요 반갑습니다\n2026-05-02 09:01:00,u,두번째 줄\n"
+    put(tmp_path, "a.csv", start + korean, "cp949")
+    put(tmp_path, "b.csv", start + korean)
+    with open(os.path.join(tmp_path, "c.csv"), "wb") as f:  # UTF-8 with one damaged line
+        f.write((start + korean).encode() + b"2026-05-02 09:02:00,u,cut \xec\n")
+    put(tmp_path, "d.csv", start)
+    lines = ex.text_lines(ex.raw_lines(spark, str(tmp_path)))
+    seen = {r["path"][-5]: r["encoding"] for r in lines.select("path", "encoding").distinct().collect()}
+    assert seen == {"a": "cp949", "b": "utf-8", "c": "utf-8", "d": "utf-8"}
+    last = lines.filter(F.col("value").startswith("2026-05-02 09:00")).collect()
+    assert [r["value"].split(",")[2] for r in last] == ["안녕하세요 반갑습니다"] * 3
+
+
 def test_lines_of_a_file_read_in_many_splits(spark, tmp_path):
     from palaver.sources import export_lines as ex
 
