@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, exact_dedup, mixing, packing, secrets, simhash, sitetree, token_counts, tokens, topk, toxicity
+from palaver.llm import chat, exact_dedup, hard_negatives, mixing, packing, secrets, simhash, sitetree, token_counts, tokens, topk, toxicity
 from palaver.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -80,6 +80,12 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_block_max_topk": op1_block_max_topk,
     "op2_packing": op2_packing,
@@ -91,7 +97,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {
-    "op1_block_max_topk": topk.SQL,
+    "op1_block_max_topk": topk.SQL, "op13_hard_negatives": hard_negatives.SQL,
     "op3_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
