@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, exact_dedup, hard_negatives, mixing, packing, secrets, simhash, sitetree, token_counts, tokens, topk, toxicity
+from palaver.llm import chat, exact_dedup, hard_negatives, mixing, packing, periodic, secrets, simhash, sitetree, token_counts, tokens, topk, toxicity
 from palaver.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -80,6 +80,16 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", periodic.repeating_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs).withColumn("best", periodic.greatest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, folder, "embeddings").withColumn("label", moved)
@@ -97,6 +107,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {
