@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, exact_dedup, hard_negatives, mixing, packing, periodic, secrets, simhash, sitetree, token_counts, tokens, topk, toxicity
+from palaver.llm import chat, exact_dedup, hard_negatives, mixing, packing, periodic, quality, secrets, simhash, sitetree, token_counts, tokens, topk, toxicity
 from palaver.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -90,6 +90,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, folder, "embeddings").withColumn("label", moved)
@@ -108,6 +112,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality": op12_quality,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {
