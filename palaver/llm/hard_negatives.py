@@ -10,9 +10,9 @@ score from both sides. Only rows whose bounds overlap what is still wanted are s
 * Negatives: rows of other labels whose bounds overlap the window ``low * p <= 100 * score <=
   high * p`` of one of its positives ``p``, above the kth negative of that window so far.
 
-Rows are kept in the order of label, nearest reference and angle to it, in shards of at most
+Rows are kept in the order of label, nearest reference and angle to it, in shards of about
 ``SHARD`` rows and blocks of ``BLOCK``, each with the extremes of its labels, norms and angles;
-anchors in groups of at most ``GROUP``. Extremes of groups and shards meet first, in tiles, and
+anchors in groups of about ``GROUP``. Extremes of groups and shards meet first, in tiles, and
 only pairs whose bounds overlap become lanes, which carry the vectors. A lane holds one group
 and one shard, so neither all anchors nor all rows are in one place, and gives at most
 ``negatives`` rows for a positive.
@@ -47,11 +47,12 @@ LOW, HIGH = 50, 95  # hundredths of the positive's score
 REFERENCES = 16
 SAMPLE = 2048
 BLOCK = 128
-SHARD = 8192
-GROUP = 2048
+SHARD = 4096
+GROUP = 1024
 PACK = 256  # anchors in one stored row
 TILE = 1024  # groups or shards whose extremes meet in one task
 LANES = 4096  # tasks among which lanes are dealt
+PARTITION = 32  # bits of a stored row's number below its partition's
 EXACT = 2.0**53
 LONG = np.iinfo(np.int64)
 
@@ -323,10 +324,10 @@ def _placer(references: np.ndarray, scale: float):
     return run
 
 
-def _builder(references: np.ndarray, scale: float, k: int, shard_rows: int, group_rows: int, block: int):
+def _builder(references: np.ndarray, scale: float, k: int, shard_rows: int, block: int):
+    """Stored rows; ``unit`` is the number of rows (or anchors) before it in its partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        state = {"shard": base, "row": base, "anchors": 0}
+        state = {"row": TaskContext.get().partitionId() << PARTITION, "rows": 0, "anchors": 0}
         names = [c.split()[0] for c in INDEX.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6]
 
@@ -337,17 +338,16 @@ def _builder(references: np.ndarray, scale: float, k: int, shard_rows: int, grou
             blocks = [every.take(slice(at, at + block)) for at in range(0, len(every), block)]
             out = []
             for part in blocks:
-                out.append(_stored(part, 0, state["shard"], state["row"]))
+                out.append(_stored(part, 0, state["rows"], state["row"]))
+                state["rows"] += len(part)
                 state["row"] += 1
             asking = np.flatnonzero(asks)
             for at in range(0, len(asking), PACK):
                 some = every.take(asking[at: at + PACK])
                 floors = find_positives(some, blocks, k).kth()  # reached inside the own shard
-                group = base + state["anchors"] // group_rows
-                out.append(_stored(some, 1, group, state["row"], floors.tobytes()))
+                out.append(_stored(some, 1, state["anchors"], state["row"], floors.tobytes()))
                 state["row"] += 1
                 state["anchors"] += len(some)
-            state["shard"] += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
         held: list[list] = [[], [], [], []]
@@ -365,6 +365,18 @@ def _builder(references: np.ndarray, scale: float, k: int, shard_rows: int, grou
     return run
 
 
+def _numbered(index: DataFrame, shard_rows: int, group_rows: int) -> DataFrame:
+    """The index with units numbered over all partitions, so that they are full however many there are."""
+    part = F.shiftright("row", PARTITION).alias("part")
+    sizes = index.groupBy("kind", part).agg(F.sum("n").alias("held"))  # a row per partition
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = materialise(sizes.select("kind", "part", before.alias("before")), "hard-sizes")
+    placed = index.withColumn("part", part).join(sizes, ["kind", "part"])
+    at = F.col("before") + F.col("unit")
+    unit = F.floor(at / F.when(F.col("kind") == 0, shard_rows).otherwise(group_rows)).cast("long")
+    return placed.withColumn("unit", unit).select(*index.columns)
+
+
 # ---- lanes -----------------------------------------------------------------------
 
 
@@ -558,9 +570,10 @@ def hard_negatives(
     placed = rows.mapInArrow(_placer(away, scale), "vec_id long, embedding array<double>, label long, asks boolean, near int, angle double")
     ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     index = materialise(
-        ordered.select("vec_id", "embedding", "label", "asks").mapInArrow(_builder(away, scale, positives, shard_rows, group_rows, block), INDEX),
+        ordered.select("vec_id", "embedding", "label", "asks").mapInArrow(_builder(away, scale, positives, shard_rows, block), INDEX),
         "hard-index",
     )
+    index = _numbered(index, shard_rows, group_rows)
     found_none = F.lit(None).cast("array<struct<at:int,place:int,positive_id:bigint,positive_score:bigint>>").alias("positives")
     blocks, asking = [index.where(f"kind = {kind}").select("*", found_none) for kind in (0, 1)]
     found = _meet(asking, blocks, True, tile, _answer_positives(positives), "row long, at int, anchor_id long, positive_id long, positive_score long")
