@@ -22,6 +22,7 @@ from palaver.operators.flow import IDLE_MS, gap_histogram, gaps
 from palaver.operators.keywords import token_docs
 from palaver.operators.ordered import CHUNK_ROWS, link_rows
 from palaver.operators.sampling import hash_sample
+from palaver.operators.sketches import TRACKED, count_items, merge_items
 from palaver.session import work_dir
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -143,6 +144,30 @@ def term_counts(texts: DataFrame, text: str = "message", resume: str | None = No
     return log.groupBy("room_id", "term").agg(F.max("df").alias("df"))
 
 
+def top_terms(texts: DataFrame, text: str = "message", tracked: int = TRACKED, resume: str | None = None) -> DataFrame:
+    """(room, items, rows): counters of the frequent terms of each room.
+
+    The state is one sketch per room, whatever the size of the vocabulary; version n of it is
+    version n - 1 merged with the batch.
+    """
+    def handle(batch: DataFrame, number: int, base: str) -> None:
+        terms = token_docs(batch, text).select("room_id", F.explode("tokens").alias("term"))
+        counted = count_items(terms, ["room_id"], "term", tracked)
+        if number > 0:
+            held = batch.sparkSession.read.schema(counted.schema).parquet(f"{base}/terms/batch={number - 1}")
+            counted = merge_items(held.unionByName(counted), ["room_id"], tracked)
+        _put(counted, base, "terms", number)
+
+    return _newest(texts.sparkSession, run_batches(texts, "top-terms", handle, resume=resume), "terms")
+
+
+def _newest(spark: SparkSession, base: str, table: str, schema: str | None = None) -> DataFrame:
+    """The last version of a state table."""
+    versions = spark.read.schema(f"{schema}, batch int").parquet(f"{base}/{table}") if schema else spark.read.parquet(f"{base}/{table}")
+    last = versions.agg(F.max("batch")).first()[0]
+    return versions.filter(F.col("batch") == last).drop("batch")
+
+
 # ---- order-dependent state ----------------------------------------------------------------
 
 FLOW = "room_id string, line bigint, sender string, us bigint, prev_sender string, gap_ms bigint, run_id bigint, session_id bigint"
@@ -214,6 +239,4 @@ def sample(messages: DataFrame, cap: int = 480, seed: int = 42, resume: str | No
         _put(hash_sample(rows, caps, seed).drop("sample_rank"), base, "sample", number)
 
     base = run_batches(messages, "sample", handle, resume=resume)
-    versions = messages.sparkSession.read.schema(f"{schema}, batch int").parquet(f"{base}/sample")
-    last = versions.agg(F.max("batch")).first()[0]
-    return versions.filter(F.col("batch") == last).drop("batch")
+    return _newest(messages.sparkSession, base, "sample", schema)
