@@ -21,13 +21,22 @@ from palaver.sources.chat_export import encoding_score, messages_from_lines
 KOREAN = ("cp949", "euc-kr")
 
 
+def line_columns() -> list[Column]:
+    """What is kept of a text source's rows: file, split and bytes of the line."""
+    return [
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").cast("binary").alias("bytes"),
+    ]
+
+
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, bytes) of all files under ``path``."""
-    d = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.col("value").cast("binary").alias("bytes"), F.monotonically_increasing_id().alias("at"),
-    )
-    d = materialise(d, "export-lines")
+    return numbered(spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(*line_columns()))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """(path, line, bytes) of lines(path, block, bytes) in the order of a scan."""
+    d = materialise(lines.withColumn("at", F.monotonically_increasing_id()), "export-lines")
     first = d.groupBy("path", "block").agg(F.min("at").alias("first"))
     return d.join(first, ["path", "block"]).select("path", (F.col("block") + F.col("at") - F.col("first")).alias("line"), "bytes")
 
@@ -73,11 +82,13 @@ def text_lines(lines: DataFrame) -> DataFrame:
     return plain.unionByName(other).select("path", "line", value.alias("value"), "encoding")
 
 
-def records(lines: DataFrame, room: Column | None = None) -> DataFrame:
+def records(lines: DataFrame, room: Column | None = None, keep_path: bool = False) -> DataFrame:
     """messages(room_id, line, ts, sender, message); the room is taken from the path."""
     found = messages_from_lines(lines.select(F.col("path").alias("room_id"), "line", "value"))
     name = room_name_from_file(F.col("path")) if room is None else room
-    return found.withColumnRenamed("room_id", "path").select(name.alias("room_id"), "line", "ts", "sender", "message")
+    return found.withColumnRenamed("room_id", "path").select(
+        name.alias("room_id"), "line", "ts", "sender", "message", *(["path"] if keep_path else [])
+    )
 
 
 def warnings(lines: DataFrame, room: Column | None = None) -> DataFrame:

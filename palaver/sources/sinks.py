@@ -18,3 +18,16 @@ def write_silver(messages: DataFrame, folder: str) -> None:
     """
     d = messages.withColumn("month", F.date_format("ts", "yyyy-MM"))
     d.write.mode("overwrite").partitionBy("month").parquet(folder)
+
+
+def write_exports(messages: DataFrame, folder: str) -> None:
+    """Messages as chat export files, one folder per room (``room_id=...``)."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    body = F.when(F.col("message").contains("\n"), F.col("message")).otherwise(quoted(F.col("message")))
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(","), quoted(F.col("sender")), F.lit(","), body)
+    lines = messages.select("room_id", "line", F.posexplode(F.split(text, "\n", -1)).alias("i", "value"))
+    head = messages.select("room_id").distinct().select(
+        "room_id", F.lit(-1).cast("long").alias("line"), F.lit(0).alias("i"), F.lit("Date,User,Message").alias("value")
+    )
+    every = lines.unionByName(head).repartition("room_id").sortWithinPartitions("room_id", "line", "i")
+    every.select("room_id", "value").write.partitionBy("room_id").text(folder)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,17 +47,41 @@ def _base(spark: SparkSession, name: str, resume: str | None) -> str:
     return f"{work_dir(spark)}/{name}-{resume or uuid.uuid4().hex}"
 
 
-def run_append(stream: DataFrame, name: str, resume: str | None = None) -> DataFrame:
-    """Process all available data, append finished rows to a table, read it back."""
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings while a stream is started and runs; the former values come back."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+#: Touching rows of a session merge before they are shuffled; state is kept on the executors' disks.
+LOCAL_SESSIONS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+ON_DISK = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def append(stream: DataFrame, name: str, resume: str | None = None, **options: str) -> tuple[DataFrame, int]:
+    """(finished rows so far, rows behind the watermark in this run) over all available data."""
     spark = stream.sparkSession
     base = _base(spark, name, resume)
-    schema = stream.schema
-    query = (
-        stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    with settings(spark, **options):
+        query = (
+            stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    late = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(f"{base}/out"), late
+
+
+def run_append(stream: DataFrame, name: str, resume: str | None = None, **options: str) -> DataFrame:
+    """Process all available data, append finished rows to a table, read it back."""
+    return append(stream, name, resume, **options)[0]
 
 
 def run_batches(
@@ -114,8 +139,7 @@ def sliding_activity(messages: DataFrame, size: str = "7 days", step: str = "1 d
 
 
 def sessions(messages: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Closed sessions; touching rows merge locally before they are shuffled."""
-    messages.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Closed sessions."""
     w = F.session_window("ts", gap)
     return messages.withWatermark("ts", delay).groupBy("room_id", w.alias("w")).agg(F.count("*").alias("messages")).select(
         "room_id", F.unix_micros("w.start").alias("start_us"), "messages"
@@ -129,11 +153,29 @@ def _log(stream: DataFrame, name: str, resume: str | None = None) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/log")
 
 
+SEEN = "room_id string, sender string, line bigint, day date"
+
+
 def first_seen(messages: DataFrame, resume: str | None = None) -> DataFrame:
-    """New senders per day; state is one row per (room, sender)."""
-    state = messages.groupBy("room_id", "sender").agg(F.min(F.struct("line", F.to_date("ts").alias("day"))).alias("first"))
-    log = _log(state, "first-seen", resume)
-    best = log.groupBy("room_id", "sender").agg(F.min("first").alias("first"))
+    """New senders per day, without streaming state.
+
+    A batch keeps one row per sender it holds, drops those that older batches know with an earlier
+    line, and seals the rest under its own number: a sender is written once, unless rows arrive out
+    of order.
+    """
+    def handle(batch: DataFrame, number: int, base: str) -> None:
+        first = F.min(F.struct("line", F.to_date("ts").alias("day"))).alias("first")
+        seen = batch.groupBy("room_id", "sender").agg(first).select("room_id", "sender", "first.*")
+        if number > 0:
+            sealed = batch.sparkSession.read.schema(f"{SEEN}, batch int").parquet(f"{base}/sealed").filter(F.col("batch") < number)
+            old = sealed.select("room_id", "sender", F.col("line").alias("_line"))
+            same = F.col("s.room_id").eqNullSafe(F.col("o.room_id")) & F.col("s.sender").eqNullSafe(F.col("o.sender"))
+            seen = seen.alias("s").join(old.alias("o"), same & (F.col("o._line") <= F.col("s.line")), "left_anti")
+        _put(seen, base, "sealed", number)
+
+    base = run_batches(messages, "first-seen", handle, resume=resume)
+    sealed = messages.sparkSession.read.schema(SEEN).parquet(f"{base}/sealed")
+    best = sealed.groupBy("room_id", "sender").agg(F.min(F.struct("line", "day")).alias("first"))
     return best.groupBy("room_id", F.col("first.day").alias("day")).agg(F.count("*").alias("new_senders"))
 
 

@@ -77,3 +77,103 @@ def test_a_stopped_stream_goes_on(spark, folder, tmp_path):
     assert {tuple(r) for r in rows.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
     assert late.count() == 0 and held.count() == 20 * want.select("room_id").distinct().count()
     assert seen.agg(F.sum("new_senders")).first()[0] == want.select("room_id", "sender").distinct().count()
+
+
+# ---- keyed state, bounded state, export folders --------------------------------------
+
+from palaver.streaming import exports, slots  # noqa: E402
+
+CHAT = "room_id string, line bigint, ts timestamp, sender string, message string"
+
+
+def hours(rows, upto):
+    """Rows of the closed hours: those that end at or before ``upto`` (seconds)."""
+    return [r for r in rows if (r[2] // 3600 + 1) * 3600 <= upto]
+
+
+def plain_sessions(rows):
+    out = []
+    for room in sorted({r[0] for r in rows}):
+        last = None
+        for _, line, at, _ in sorted((r for r in rows if r[0] == room), key=lambda r: (r[2], r[1])):
+            if last is None or at - last > 1800:
+                out.append([room, at, at, 0])
+            out[-1][2], out[-1][3], last = at, out[-1][3] + 1, at
+    return sorted(map(tuple, out))
+
+
+def plain_switches(rows):
+    out = {}
+    for room in {r[0] for r in rows}:
+        mine = [r[3] for r in sorted((r for r in rows if r[0] == room), key=lambda r: (r[2], r[1]))]
+        out[room] = (len(mine), sum(a != b for a, b in zip(mine, mine[1:])))
+    return out
+
+
+def test_slots_close_go_on_and_count_late_rows(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"r{k % 2}", k, 400 * k + rng.randrange(300) + (7200 if k > 60 else 0), rng.choice("abc")) for k in range(120)]
+    name, seen, late = f"slots-{tmp_path.name}-{os.getpid()}", [], 0
+    for batch in range(4):
+        mine = rows[30 * batch: 30 * batch + 30]
+        if batch == 3:
+            mine = [*mine, ("r0", 999, 10, "z")]  # its hour is closed
+        start = dt.datetime(1970, 1, 1)
+        d = spark.createDataFrame([(r, n, start + dt.timedelta(seconds=s), who, "x") for r, n, s, who in mine], CHAT)
+        d.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{batch}"))
+        seen += mine[:30]
+        if batch % 2:
+            stream = spark.readStream.schema(CHAT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+            found, dropped = slots.run(stream, "30 minutes", resume=name)
+            late += dropped
+            closed = hours(seen, max(r[2] for r in seen) - 1800)
+            got = {(r.room_id, r.slot_ms): r.messages for r in found.collect()}
+            want = {}
+            for r in closed:
+                want[r[0], r[2] // 3600 * 3_600_000] = want.get((r[0], r[2] // 3600 * 3_600_000), 0) + 1
+            assert got == want
+            assert {r.room_id: (r.messages, r.switches) for r in slots.switches(found).collect()} == plain_switches(closed)
+            us = 1_000_000
+            assert sorted((r.room_id, r.start_us // us, r.end_us // us, r.messages) for r in slots.sessions(found).collect()) == plain_sessions(closed)
+    assert late == 1
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != next(iter(st.ON_DISK.values()))
+
+
+def test_senders_are_sealed_once(spark, folder, tmp_path):
+    split_events(spark, folder, tmp_path, 4)
+    name = f"sealed-{tmp_path.name}-{os.getpid()}"
+    days = st.first_seen(st.event_stream(spark, str(tmp_path), files_per_trigger=1), resume=name)
+    messages = event_messages(spark, folder)
+    first = messages.groupBy("room_id", "sender").agg(F.min_by(F.to_date("ts"), "line").alias("day"))
+    want = {(r.room_id, r.day): r["count"] for r in first.groupBy("room_id", "day").count().collect()}
+    assert {(r.room_id, r.day): r.new_senders for r in days.collect()} == want
+    from palaver.session import work_dir
+
+    sealed = spark.read.parquet(f"{work_dir(spark)}/first-seen-{name}/sealed")
+    assert sealed.count() == first.count() and sealed.select("batch").distinct().count() > 1
+
+
+def test_export_folder_as_a_stream(spark, tmp_path):
+    """Snapshots that grow, repeat and cut a second in two; files arrive between triggers."""
+    head = "Date,User,Message\n"
+    line = lambda s, who, text: f'2026-05-01 09:00:{s:02d},"{who}",{text}\n'
+    one = [line(1, "a", "hi"), line(1, "a", "hi"), line(2, "b", "two\nlines"), line(5, "a", "x")]
+    two = [*one, line(5, "b", "same second"), line(5, "a", "x"), line(9, "c", "later")]
+    other = [line(3, "z", "alone")]
+    put = lambda n, rows: (tmp_path / n).write_text(head + "".join(rows), encoding="utf-8")
+    run = lambda: exports.new_messages(exports.export_lines_stream(spark, str(tmp_path)), resume=f"ex-{tmp_path.name}-{os.getpid()}")
+    put("QTalk_Chat_r1_2026-05-16-15-03-41.csv", one)
+    assert [r.message for r in run().orderBy("line").collect()] == ["hi", "hi", "two\nlines", "x"]
+    put("QTalk_Chat_r1_2026-05-17-15-03-41.csv", two)
+    put("QTalk_Chat_r2_2026-05-17-15-03-41.csv", other)
+    put("QTalk_Chat_r1_2026-05-18-15-03-41.csv", two)
+    got = run().orderBy("room_id", "line").collect()
+    assert [(r.room_id, r.sender, r.message) for r in got] == [
+        ("r1", "a", "hi"), ("r1", "a", "hi"), ("r1", "b", "two\nlines"), ("r1", "a", "x"), ("r1", "b", "same second"), ("r1", "a", "x"),
+        ("r1", "c", "later"), ("r2", "z", "alone"),
+    ]
+    assert len({(r.room_id, r.line) for r in got}) == 8
+    assert run().count() == 8
