@@ -6,7 +6,6 @@ and windows are bounded by the calendar or by the list sizes.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from palaver.functions import text as text_fn
 from palaver.functions import tokens as tok
 from palaver.functions.numeric import half_up
 from palaver.operators.topk import top_k
+from palaver.session import materialise
 
 ROOM = ["room_id"]
 DAY = ["room_id", "day"]
@@ -73,24 +73,25 @@ def role_candidates(people: DataFrame, runs: DataFrame) -> DataFrame:
 def participant_roles(candidates: DataFrame, limit: int = 6) -> DataFrame:
     """Each role once per room, given in order of first appearance.
 
-    Of participants with the same ranked role list only the first eight can still
-    find a free role, so everybody else is cut before the sequential step.
+    A round gives one role in every room: the earliest participant behind the last one served who
+    still finds a free role. That is a minimum per room, so no room is gathered anywhere.
     """
-    key = F.concat_ws(",", "roles")
-    few = top_k(candidates.withColumn("_k", key), ["room_id", "_k"], [F.asc("first_line")], len(ROLES))
-
-    def per_room(p: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[str, str] = {}
-        for row in p.sort_values("first_line").itertuples():
-            role = next((r for r in row.roles if r not in taken), None)
-            if role is not None and len(taken) < limit:
-                taken[role] = row.sender
-        rows = [(p["room_id"].iloc[0], i + 1, s, r) for i, (r, s) in enumerate(taken.items())]
-        return pd.DataFrame(rows, columns=["room_id", "place", "sender", "role"])
-
-    return few.select("room_id", "sender", "first_line", "roles").groupBy("room_id").applyInPandas(
-        per_room, "room_id string, place int, sender string, role string"
+    d = materialise(candidates.select("room_id", "sender", "first_line", "roles"), "role-candidates")
+    none = F.array().cast("array<string>")
+    given = d.select("room_id").distinct().select(
+        "room_id", none.alias("taken"), none.alias("senders"), F.lit(None).cast("bigint").alias("last")
     )
+    for _ in range(limit):
+        free = F.filter("roles", lambda r: ~F.array_contains("taken", r))
+        behind = F.col("last").isNull() | (F.col("first_line") > F.col("last"))
+        open_ = d.join(given, ROOM).where(behind).select("room_id", "first_line", "sender", free.alias("free")).where(F.size("free") > 0)
+        next_ = open_.groupBy("room_id").agg(F.min(F.struct("first_line", "sender", F.col("free")[0].alias("role"))).alias("n"))
+        more = lambda c, v: F.when(F.col("n").isNull(), F.col(c)).otherwise(F.array_append(c, v)).alias(c)
+        given = materialise(given.join(next_, ROOM, "left").select(
+            "room_id", more("taken", F.col("n.role")), more("senders", F.col("n.sender")), F.coalesce("n.first_line", "last").alias("last")
+        ), "roles-given")
+    pairs = F.posexplode(F.arrays_zip(F.col("taken").alias("role"), F.col("senders").alias("sender"))).alias("at", "p")
+    return given.select("room_id", pairs).select("room_id", (F.col("at") + 1).alias("place"), "p.sender", "p.role")
 
 
 def persona_candidates(top: DataFrame, runs: DataFrame) -> DataFrame:
@@ -123,22 +124,21 @@ def persona_candidates(top: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def personas(candidates: DataFrame) -> DataFrame:
-    """One title per participant, every title at most twice while there is a choice."""
-
-    def per_room(p: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, int] = {}
-        rows = []
-        for row in p.sort_values("rank").itertuples():
-            titles = list(row.titles)
-            pick = next((t for t in titles if used.get(t, 0) < 2), titles[0] if titles else None)
-            if pick:
-                used[pick] = used.get(pick, 0) + 1
-            rows.append((row.room_id, row.rank, row.sender, pick or "all_rounder"))
-        return pd.DataFrame(rows, columns=["room_id", "rank", "sender", "persona"])
-
-    return candidates.groupBy("room_id").applyInPandas(
-        per_room, "room_id string, rank int, sender string, persona string"
-    )
+    """One title per participant, every title at most twice while there is a choice.
+
+    The at most eight participants of a room are one array, which is folded from the first rank on.
+    """
+    eight = candidates.groupBy("room_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sender", "titles"))).alias("people"))
+    start = F.array().cast("array<struct<rank:int,sender:string,persona:string>>")
+
+    def step(done, p):
+        often = lambda t: F.size(F.filter(done, lambda x: x["persona"] == t))
+        free = F.filter(p["titles"], lambda t: often(t) < 2)
+        pick = F.coalesce(F.try_element_at(free, F.lit(1)), F.try_element_at(p["titles"], F.lit(1)), F.lit("all_rounder"))
+        return F.array_append(done, F.struct(p["rank"].cast("int").alias("rank"), p["sender"].alias("sender"), pick.alias("persona")))
+
+    folded = eight.select("room_id", F.inline(F.aggregate("people", start, step)))
+    return folded.select("room_id", "rank", "sender", "persona")
 
 
 # ---- timeline ---------------------------------------------------------------------------

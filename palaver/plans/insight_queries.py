@@ -141,12 +141,7 @@ def hot_topics(spark, folder):
     return _report(spark, folder).hot_topics
 
 
-@query("roles")
-def roles(spark, folder):
-    return _report(spark, folder).roles
-
-
-@query("role_candidates", CHAT_F + """
+ROLES = CHAT_F + """
 , pp as (select room_id, sender, min(line) as first_line, count(*) as am, count(*) filter (where not is_system) as n, coalesce(sum(chars) filter (where not is_system), 0) as ch, count(*) filter (where not is_system and is_night) as ni, count(*) filter (where not is_system and has_attachment) as atm, count(*) filter (where not is_system and has_link) as li, count(*) filter (where not is_system and is_laugh) as la, count(*) filter (where not is_system and is_short) as sh from f group by 1, 2)
 """ + USER + f""", rn as (select *, sum(case when ps is null or ps <> sender then 1 else 0 end) over (partition by room_id order by line rows unbounded preceding) as run from u), rl as (select room_id, sender, max(c) as run from (select room_id, sender, run, count(*) as c from rn group by 1, 2, 3) group by 1, 2)
 , pq as (select pp.*, {round_sql('ch / greatest(n, 1)', 1)} as avl, {pct_sql('n', 'sum(am) over (partition by pp.room_id)')} as share, row_number() over (partition by pp.room_id order by n desc, first_line) as rk, coalesce(run, 0) as run, greatest(n, 1) as msg from pp left join rl using (room_id, sender))
@@ -155,14 +150,56 @@ def roles(spark, folder):
  case when rk = 1 and share >= 18 then {{'s': share + 30, 'i': 0, 'r': 'leader'}} end, case when avl >= greatest(28, ma * 1.45) then {{'s': avl, 'i': 1, 'r': 'long_writer'}} end,
  case when la / msg >= 0.12 and la >= 8 then {{'s': la / msg * 100, 'i': 2, 'r': 'mood_maker'}} end, case when sh / msg >= 0.22 and sh >= 12 then {{'s': sh / msg * 100, 'i': 3, 'r': 'reactor'}} end,
  case when li / msg >= 0.08 and li >= 8 then {{'s': li / msg * 100, 'i': 4, 'r': 'link_sharer'}} end, case when atm / msg >= 0.1 and atm >= 8 then {{'s': atm / msg * 100, 'i': 5, 'r': 'attachment_sharer'}} end,
- case when ni / msg >= 0.25 and ni >= 10 then {{'s': ni / msg * 100, 'i': 6, 'r': 'night_owl'}} end, case when run >= 10 then {{'s': cast(run * 3 as double), 'i': 7, 'r': 'chain_talker'}} end]) as x from pr)
-select room_id, sender, first_line, string_agg(x.r, ',' order by x.s desc, x.i) as roles from rc where x is not null group by 1, 2, 3""")
+ case when ni / msg >= 0.25 and ni >= 10 then {{'s': ni / msg * 100, 'i': 6, 'r': 'night_owl'}} end, case when run >= 10 then {{'s': cast(run * 3 as double), 'i': 7, 'r': 'chain_talker'}} end]) as x from pr)"""
+
+
+@query("role_candidates", ROLES + " select room_id, sender, first_line, string_agg(x.r, ',' order by x.s desc, x.i) as roles from rc where x is not null group by 1, 2, 3")
 def role_candidates(spark, folder):
     r = _report(spark, folder)
     return ins.role_candidates(r.people, r.runs).withColumn("roles", F.array_join("roles", ","))
 
 
-@query("personas")
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@query("roles", _recursive(ROLES) + """
+, ro as (select room_id, sender, first_line, list(x.r order by x.s desc, x.i) as roles from rc where x is not null group by 1, 2, 3)
+, oi as (select *, row_number() over (partition by room_id order by first_line) as i from ro)
+, st as (select room_id, cast(0 as bigint) as i, cast([] as varchar[]) as taken, cast(null as varchar) as sender, cast(null as varchar) as role from (select distinct room_id from oi)
+  union all select room_id, i, case when f is null then taken else list_append(taken, f) end, sender, f from (
+    select st.room_id, oi.i, st.taken, oi.sender, case when len(st.taken) < 6 then list_filter(oi.roles, lambda r: not list_contains(st.taken, r))[1] end as f
+    from st join oi on oi.room_id = st.room_id and oi.i = st.i + 1))
+select room_id, cast(len(taken) as int) as place, sender, role from st where role is not null""")
+def roles(spark, folder):
+    return _report(spark, folder).roles
+
+
+PERSONAS = ROLES + f"""
+, pt as (select room_id, sender, rk as "rank", msg, n, share, run, avl, {round_sql('ni / msg * 100.0', 1)} as ni, {round_sql('100.0 - ' + round_sql('ni / msg * 100.0', 1), 1)} as da,
+  {round_sql('atm / msg * 100.0', 1)} as ap, {round_sql('li / msg * 100.0', 1)} as lp, {round_sql('la / msg * 100.0', 1)} as gp, {round_sql('sh / msg * 100.0', 1)} as sp from pq where rk <= 8)
+, pc as (select room_id, sender, "rank", unnest([
+ case when share >= 22 then {{'s': cast(share as double), 'i': 0, 'r': 'centre'}} end, case when ni >= 18 then {{'s': ni, 'i': 1, 'r': 'night_owl'}} end,
+ case when da >= 88 and ni <= 8 then {{'s': da, 'i': 2, 'r': 'day_person'}} end, case when ap >= 12 then {{'s': ap, 'i': 3, 'r': 'attachment_master'}} end,
+ case when lp >= 8 then {{'s': lp, 'i': 4, 'r': 'link_curator'}} end, case when run >= 8 then {{'s': cast(run * 3 as double), 'i': 5, 'r': 'chain_talker'}} end,
+ case when avl >= 36 then {{'s': avl, 'i': 6, 'r': 'long_writer'}} end, case when avl <= 12 and msg >= 30 then {{'s': 100 - avl, 'i': 7, 'r': 'one_liner'}} end,
+ case when gp >= 8 then {{'s': gp, 'i': 8, 'r': 'mood_maker'}} end, case when sp >= 18 then {{'s': sp, 'i': 9, 'r': 'short_answers'}} end,
+ case when n >= 40 and share < 12 and run <= 4 then {{'s': n * 0.4, 'i': 10, 'r': 'quiet_observer'}} end]) as x from pt)
+, ti as (select pt.room_id, pt.sender, pt."rank", coalesce(list(x.r order by x.s desc, x.i) filter (where x is not null), cast([] as varchar[])) as titles from pt left join pc using (room_id, sender, "rank") group by 1, 2, 3)"""
+
+
+@query("persona_candidates", PERSONAS + """ select room_id, "rank", sender, array_to_string(titles, ',') as titles from ti""")
+def persona_candidates(spark, folder):
+    r = _report(spark, folder)
+    return ins.persona_candidates(r.top_people, r.runs).withColumn("titles", F.array_join("titles", ","))
+
+
+@query("personas", _recursive(PERSONAS) + """
+, st as (select room_id, cast(0 as bigint) as "rank", cast([] as varchar[]) as used, cast(null as varchar) as sender, cast(null as varchar) as persona from (select distinct room_id from ti)
+  union all select st.room_id, ti."rank", list_append(st.used, coalesce(list_filter(ti.titles, lambda t: len(list_filter(st.used, lambda u: u = t)) < 2)[1], ti.titles[1], 'all_rounder')), ti.sender,
+    coalesce(list_filter(ti.titles, lambda t: len(list_filter(st.used, lambda u: u = t)) < 2)[1], ti.titles[1], 'all_rounder')
+  from st join ti on ti.room_id = st.room_id and ti."rank" = st."rank" + 1)
+select room_id, "rank", sender, persona from st where sender is not null""")
 def personas(spark, folder):
     return _report(spark, folder).personas
 
