@@ -185,22 +185,29 @@ def timeline(
 # ---- hot topics and moments ----------------------------------------------------------------
 
 def hot_topics(
-    days: DataFrame, day_terms: DataFrame, samples: DataFrame, sender_days: DataFrame, bursts: DataFrame, k: int = 10
+    days: DataFrame, day_terms: DataFrame, samples: DataFrame, sender_days: DataFrame, bursts: DataFrame, k: int = 10,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
-    """The busiest days with keywords, signals, main speakers and scrubbed evidence."""
+    """The busiest days with keywords, signals, main speakers and scrubbed evidence.
+
+    Signals and spare keywords come from all ``scored`` messages of these days (without it: from
+    the samples), added up by room and day; the samples give the evidence.
+    """
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("rank", c))), lambda s: s[c])
     mean = F.avg("messages").over(Window.partitionBy("room_id"))
     busy = top_k(days.withColumn("_mean", mean), ROOM, [F.desc("messages"), F.asc("day")], k)
     some = samples.join(busy.select(*DAY), DAY, "left_semi")
+    every = some if scored is None else scored.join(busy.select(*DAY), DAY, "left_semi")
 
     terms = day_terms.filter("rank <= 4").groupBy(*DAY).agg(ordered("term").alias("_terms"))
-    words = some.filter("rank <= 10").select(*DAY, F.explode(F.slice(tok.tokens(F.col("text")), 1, 12)).alias("term"))
+    bare = every.join(terms.select(*DAY), DAY, "left_anti")  # days without keywords of their own
+    words = bare.select(*DAY, F.explode(tok.tokens(F.col("text"))).alias("term"))
     words = words.filter(~F.col("term").isin(*lex.CONTEXT_STOP_TERMS) & ~tok.is_noise(F.col("term")))
     counts = words.groupBy(*DAY, "term").agg(F.count("*").alias("c"))
     spare = top_k(counts, DAY, [F.desc("c"), F.desc(F.length("term")), F.asc("term")], 4).groupBy(*DAY).agg(
         ordered("term").alias("_spare")
     )
-    signals = some.groupBy(*DAY).agg(
+    signals = every.groupBy(*DAY).agg(
         F.count_if("has_plan").alias("plans"), F.count_if("has_question").alias("questions"),
         F.count_if(F.col("has_attachment") | F.col("has_link")).alias("shares"), F.count_if("is_laugh").alias("laughs"),
     )
@@ -438,23 +445,26 @@ def is_garbage(text: Column) -> Column:
     )
 
 
-def evidence_gate(texts: DataFrame, pool: DataFrame, stats: DataFrame, longest: int = 180) -> DataFrame:
+def evidence_gate(texts: DataFrame, pool: DataFrame, stats: DataFrame, shown: int = 180, matched: int | None = None) -> DataFrame:
     """texts(room_id, item, text): keep what names a known term or statistic of its room.
 
+    Whole texts are tested (``matched``: their first characters only); ``shown`` characters are handed on.
+
     Pool and statistics are short lists, one row per room, so each text is tested in
     place after a join on the room.
     """
     d = texts.join(stats, ROOM, "left").join(pool, ROOM, "left")
-    cut = F.substring(text_fn.trim_all(F.col("text")), 1, longest)
-    norm = F.lower(text_fn.squeeze(cut))
+    trimmed = text_fn.trim_all(F.col("text"))
+    whole = trimmed if matched is None else F.substring(trimmed, 1, matched)
+    norm = F.lower(text_fn.squeeze(whole))
     names = F.exists("pool", lambda t: F.contains(norm, t))
     numbers = F.exists(
         F.regexp_extract_all(norm, F.lit(r"\d+(?:\.\d+)?"), 0),
         lambda n: F.array_contains("stats", n) | F.array_contains("stats", F.element_at(F.split(n, r"\."), 1)),
     )
     tiny = (F.col("total_messages") < 100) & F.col("pool").isNull()
-    good = ~is_garbage(cut) & (F.coalesce(names, F.lit(False)) | F.coalesce(numbers, F.lit(False)) | F.coalesce(tiny, F.lit(False)))
-    return d.select("room_id", "item", cut.alias("text"), good.alias("accepted"))
+    good = ~is_garbage(whole) & (F.coalesce(names, F.lit(False)) | F.coalesce(numbers, F.lit(False)) | F.coalesce(tiny, F.lit(False)))
+    return d.select("room_id", "item", F.substring(trimmed, 1, shown).alias("text"), good.alias("accepted"))
 
 
 def archetype_fallback(topics: DataFrame, keywords: DataFrame, k: int = 4) -> DataFrame:

@@ -181,16 +181,20 @@ def supplement_hits(cands: DataFrame, supplement: DataFrame, limit: int, stop_te
 
 
 def dual_lane(
-    cands: DataFrame, supplement: DataFrame, totals: DataFrame, limit: int = 120, weight: float = 0.5, stop_terms=()
+    cands: DataFrame, supplement: DataFrame, totals: DataFrame, limit: int = 120, weight: float = 0.5, stop_terms=(),
+    most: tuple[int | None, int | None] = (80, 200),
 ) -> DataFrame:
     """Frequency lane and BM25 lane fused; one row per kept label with both final ranks.
 
-    Every lane is cut to a fixed size per room before the fusion.
+    Lanes hold as many labels as the room's size allows, ``most`` at most; a lane whose bound is
+    None holds all candidates.
     """
     n = totals.select("room_id", F.col("total_messages").alias("_n"))
     freq_cap, score_cap = lane_caps(F.col("_n"))
-    freq = top_k(cands, ROOM, _by_hits(), 80, "freq_rank").join(n, ROOM).filter(F.col("freq_rank") <= freq_cap)
-    best = top_k(cands, ROOM, _by_score(), 200, "score_rank").join(n, ROOM).filter(F.col("score_rank") <= score_cap)
+    lane = lambda order, k, rank, cap: top_k(cands, ROOM, order, k, rank).join(n, ROOM).filter(
+        F.lit(True) if k is None else F.col(rank) <= cap
+    )
+    freq, best = lane(_by_hits(), most[0], "freq_rank", freq_cap), lane(_by_score(), most[1], "score_rank", score_cap)
     supp = supplement_hits(cands, supplement, limit, stop_terms).join(n, ROOM)
     none = F.lit(None).cast("int")
     cols = ["room_id", "label", "hits", "_n"]
@@ -199,7 +203,7 @@ def dual_lane(
         .unionByName(best.select(*cols, "score", none.alias("freq_rank"), "score_rank", none.alias("supp_rank")))
         .unionByName(supp.select(*cols, F.lit(0.0).alias("score"), none.alias("freq_rank"), none.alias("score_rank"), "supp_rank"))
     )
-    room = Window.partitionBy("room_id")  # at most 80 + 200 + 24 rows
+    room = Window.partitionBy("room_id")  # at most 80 + 200 + 24 rows, unless the lanes are unbounded
     fused = lanes.groupBy("room_id", "label").agg(
         F.max("hits").alias("hits"), F.max("score").alias("score"), F.max("_n").alias("_n"),
         F.max("freq_rank").alias("freq_rank"), F.max("score_rank").alias("score_rank"), F.max("supp_rank").alias("supp_rank"),

@@ -1,7 +1,8 @@
 """Deterministic samples: the rows with the smallest hashes, per room and cap.
 
-A histogram of the hash values tells which hash bins can hold sampled rows, so only
-about ``cap`` rows of a room reach the ranking step, however large the room is.
+The hash is the MD5 of seed and key as text, which any engine can compute, so a sample can be
+drawn again elsewhere. A histogram of its first digits tells which bins can hold sampled rows,
+so only about ``cap`` rows of a room reach the ranking step, however large the room is.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from palaver.operators.topk import top_k
 
 ROOM = ["room_id"]
-BIN_BITS = 18
+BIN_DIGITS = 5  # hexadecimal
 
 
 def sample_cap(n: Column) -> Column:
@@ -22,8 +23,8 @@ def sample_cap(n: Column) -> Column:
 
 def hash_sample(rows: DataFrame, caps: DataFrame, seed: int = 42, key: str = "line") -> DataFrame:
     """rows(room_id, <key>, ...), caps(room_id, cap): uniform sample, same for every run."""
-    d = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    d = d.withColumn("_bin", F.shiftrightunsigned("_h", 64 - BIN_BITS))
+    d = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
+    d = d.withColumn("_bin", F.substring("_h", 1, BIN_DIGITS))
     ahead = Window.partitionBy("room_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (
         d.groupBy("room_id", "_bin").agg(F.count("*").alias("_c"))

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
+def top_k(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """The first k rows of each group with their ranks (``k`` of None: all rows)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    ranked = rows.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def count_top(rows: DataFrame, keys: Sequence[str], label: str, k: int, longer_first: bool = False) -> DataFrame:

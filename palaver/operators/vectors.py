@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from palaver.functions import tokens as tok
 from palaver.functions.numeric import half_up
 from palaver.operators.keywords import STOP_TERMS
-from palaver.operators.sampling import hash_sample
 from palaver.operators.topk import top_k
 from palaver.session import materialise
 
@@ -85,29 +84,94 @@ def _nearest(v: Column, centres: Column) -> Column:
     return (F.array_position(near, F.array_max(near)) - 1).cast("int")
 
 
-def kmeans_per_room(vectors: DataFrame, key: str, seed: int = 42, max_iter: int = 10) -> DataFrame:
+def _listed(rows: DataFrame, order: str) -> DataFrame:
+    """(room_id, centres): few vectors of each room as one array."""
+    both = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "u")))
+    return rows.groupBy("room_id").agg(F.transform(both, lambda s: s["u"]).alias("centres"))
+
+
+def assign(units: DataFrame, centres: DataFrame, key: str) -> DataFrame:
+    """(room_id, <key>, cluster) of unit vectors u, for given centres(room_id, centres)."""
+    return units.join(centres, "room_id").select("room_id", key, _nearest(F.col("u"), F.col("centres")).alias("cluster"))
+
+
+SEED_ROUNDS = 4
+
+
+def seed_centres(units: DataFrame, key: str, seed: int = 42, rounds: int = SEED_ROUNDS) -> DataFrame:
+    """(room_id, centres) for k-means in every room: oversampled in rounds, then reduced to k.
+
+    A round knows each vector's distance to the centres so far and takes it with a chance in
+    proportion, about 2 k of a room at a time; the chance is a hash of the key, so runs agree.
+    Candidates (about 2 k a round, however large the room) weigh as many vectors as are nearest to
+    them; a weighted k-means over them, one small group per room, gives the first centres.
+    """
+    hash_ = lambda r: F.pmod(F.xxhash64(F.lit(seed + r), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    count = F.greatest(F.lit(4), F.least(F.lit(14), F.floor(F.sqrt(F.floor(F.count("*") / 18)))))
+    sizes = materialise(units.groupBy("room_id").agg(F.least(count, F.count("*")).cast("int").alias("k"), F.min(F.struct(hash_(0).alias("h"), key)).alias("first")), "room-sizes")
+    first = units.join(sizes.select("room_id", F.col(f"first.{key}").alias(key)), ["room_id", key])
+    chosen = materialise(first.select("room_id", key, "u"), "candidates")
+    for r in range(1, rounds + 1):
+        centres = _listed(chosen, key)
+        far = F.greatest(F.lit(0.0), F.lit(1.0) - F.array_max(F.transform("centres", lambda c: dot(F.col("u"), c))))
+        placed = units.join(centres, "room_id").select("room_id", key, "u", far.alias("far"))
+        total = materialise(placed.groupBy("room_id").agg(F.sum("far").alias("total")), "room-distance")
+        room = sizes.join(total, "room_id").where("total > 0")
+        more = placed.join(room, "room_id").where(hash_(r) * F.col("total") < 2 * F.col("k") * F.col("far")).select("room_id", key, "u")
+        chosen = materialise(chosen.unionByName(more).dropDuplicates(["room_id", key]), "candidates")
+    centres = _listed(chosen, key)
+    votes = assign(units, centres, key).groupBy("room_id", "cluster").agg(F.count("*").alias("n"))
+    weights = votes.groupBy("room_id").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "n"))).alias("w"))
+    weighed = centres.join(weights, "room_id").join(sizes.select("room_id", "k"), "room_id").select(
+        "room_id", "k", "centres", F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("w", i), F.lit(0))).alias("n")
+    )
+
+    @F.udf("array<array<double>>")
+    def reduced(vectors, counts, k):
+        return reduce_candidates(np.array(vectors, float), np.array(counts, float), k).tolist()
+
+    return materialise(weighed.select("room_id", reduced("centres", "n", "k").alias("centres")), "centres")
+
+
+def reduce_candidates(units: np.ndarray, weights: np.ndarray, k: int, rounds: int = 24) -> np.ndarray:
+    """k centres of a few weighted unit vectors: the heaviest, then the heaviest far from those before; then k-means."""
+    picked = [int(np.argmax(weights))]
+    while len(picked) < min(k, len(units)):
+        gain = np.maximum(0, 1 - (units @ units[picked].T).max(1)) * (weights + 1e-9)
+        gain[picked] = -1
+        picked.append(int(np.argmax(gain)))
+    centres = units[picked]
+    for _ in range(rounds):
+        own = (units @ centres.T).argmax(1)
+        sums = np.stack([(units * weights[:, None])[own == c].sum(0) for c in range(len(centres))])
+        size = np.sqrt((sums**2).sum(1, keepdims=True))
+        moved = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def kmeans_per_room(vectors: DataFrame, key: str, seed: int = 42, max_iter: int = 24) -> DataFrame:
     """(room_id, <key>, cluster): cosine k-means inside every room, over all of its vectors.
 
-    The first centres are the room's vectors with the smallest hashes. A round joins every
-    vector with its room's few centres and takes means per (room, cluster), which add up
-    before they are shuffled; rooms of any size are spread over all tasks.
+    A round joins every vector with its room's few centres and takes means per (room, cluster),
+    which add up before they are shuffled; rooms of any size are spread over all tasks. A centre
+    that loses all its vectors stays where it was.
     """
     d = materialise(vectors.select("room_id", key, unit(F.col("embedding")).alias("u")), "room-vectors")
-    k = F.greatest(F.lit(4), F.least(F.lit(14), F.floor(F.sqrt(F.floor(F.count("*") / 18)))))
-    caps = d.groupBy("room_id").agg(F.least(k, F.count("*")).alias("cap"))
-    ordered = lambda g, order: g.groupBy("room_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "u"))), lambda s: s["u"]).alias("centres")
-    )
-    centres = materialise(ordered(hash_sample(d, caps, seed, key), "sample_rank"), "centres")
+    centres = seed_centres(d, key, seed)
     for _ in range(max_iter):
         placed = d.join(centres, "room_id").select("room_id", _nearest(F.col("u"), F.col("centres")).alias("cluster"), "u")
         means = placed.groupBy("room_id", "cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("u"))).alias("m"))
-        moved = materialise(ordered(means.select("room_id", "cluster", unit(F.col("m")).alias("u")), "cluster"), "centres")
-        same = moved.join(centres.withColumnRenamed("centres", "old"), "room_id").filter(F.col("centres") != F.col("old")).isEmpty()
-        centres = moved
-        if same:
+        means = means.select("room_id", "cluster", unit(F.col("m")).alias("u"))
+        old = centres.select("room_id", F.posexplode("centres").alias("cluster", "before"))
+        both = old.join(means, ["room_id", "cluster"], "left").select("room_id", "cluster", "before", F.coalesce("u", "before").alias("u"))
+        moved = materialise(both, "centres")
+        centres = _listed(moved, "cluster")
+        if moved.filter(F.col("u") != F.col("before")).isEmpty():
             break
-    return d.join(centres, "room_id").select("room_id", key, _nearest(F.col("u"), F.col("centres")).alias("cluster"))
+    return assign(d, centres, key)
 
 
 def cluster_labels(clusters: DataFrame, tokens: DataFrame, key: str, k: int = 4, least: float = 0.32, stop_terms=()) -> DataFrame:

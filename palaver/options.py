@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+#: One machine's memory limits of the original tool, for results that are to be compared with its own.
+SMALL_MACHINE = {"signals_from_samples": True, "evidence_chars": 180, "model_sample": True}
+
+
 @dataclass(frozen=True)
 class AnalysisOptions:
     top: int = 30                       # participants, domains, markers
@@ -18,6 +22,12 @@ class AnalysisOptions:
     binary_sentiment_floor: float = 0.72
     model_sample: bool = False          # models see a sample by room size instead of every text
     model_least_texts: int = 48         # texts of a room from which models run on it
+    signals_from_samples: bool = False  # hot topics count signals in the day's samples only
+    evidence_chars: int | None = None   # characters of a text in which evidence is looked for; None: all
+    graph_terms: int | None = 140       # most frequent terms of a room in the topic graph; None: all
+    large_room: int | None = 50_000     # messages from which a room's topics need more support; None: never
+    frequency_lane: int | None = 80     # keywords of a room in the frequency lane at most; None: all
+    score_lane: int | None = 200        # and in the lane of scores
     stop_terms: tuple[str, ...] = field(default_factory=tuple)
     chunk_rows: int = 200_000           # rows of one room that share a task
 

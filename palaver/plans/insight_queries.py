@@ -102,7 +102,7 @@ HOT_TOPICS = DAYS + BURSTS + SCORED + """
 , dt as (select room_id, cast(ts as date) as day, term, count(*) as c from tk group by 1, 2, 3)
 , dk as (select room_id, day, string_agg(term, ' ' order by r) as keywords, list(term order by r) as kws from (select *, row_number() over (partition by room_id, day order by c desc, length(term) desc, term) as r from dt) where r <= 4 group by 1, 2)
 , sm as (select cx.*, has_plan, has_question, has_attachment or has_link as sh, is_laugh from cx join f using (room_id, line))
-, sg as (select room_id, day, count(*) filter (where has_plan) as plans, count(*) filter (where has_question) as questions, count(*) filter (where sh) as shares, count(*) filter (where is_laugh) as laughs from sm group by 1, 2)
+, sg as (select ct.room_id, ct.day, count(*) filter (where has_plan) as plans, count(*) filter (where has_question) as questions, count(*) filter (where has_attachment or has_link) as shares, count(*) filter (where is_laugh) as laughs from ct join f using (room_id, line) group by 1, 2)
 , sd as (select room_id, day, sender, count(*) as c from f where not is_system group by 1, 2, 3)
 , sk as (select room_id, day, string_agg(sender, ' ' order by r) as speakers from (select *, row_number() over (partition by room_id, day order by c desc, sender) as r from sd) where r <= 3 group by 1, 2)
 , pf as (select sm.room_id, sm.day, text, row_number() over (partition by sm.room_id, sm.day order by len(list_filter(kws, lambda k: contains(lower(text), lower(k)))) > 0 desc, score desc, length desc, line) as r from sm join dk on dk.room_id = sm.room_id and dk.day = sm.day)

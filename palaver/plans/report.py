@@ -79,7 +79,7 @@ class Report:
         o = self.options
         cands = kw.candidates(self.docs, self.totals, o.stop_terms, kw.script_profile(self.messages))
         supplement = kw.hashtag_counts(self.features, self.people)
-        lanes = kw.dual_lane(cands, supplement, self.totals, o.keyword_limit, o.supplement_weight, o.stop_terms)
+        lanes = kw.dual_lane(cands, supplement, self.totals, o.keyword_limit, o.supplement_weight, o.stop_terms, (o.frequency_lane, o.score_lane))
         return materialise(lanes, "lanes")
 
     @cached_property
@@ -147,11 +147,11 @@ class Report:
     def topics(self) -> DataFrame:
         o, docs = self.options, self.topic_docs
         counts = tp.topic_term_counts(docs)
-        nodes, sizes = tp.graph_nodes(counts, o.stop_terms), tp.document_counts(docs)
+        nodes, sizes = tp.graph_nodes(counts, o.stop_terms, o.graph_terms), tp.document_counts(docs)
         nodes = materialise(nodes, "graph-nodes")
-        edges = tp.graph_edges(tp.cooccurrence(docs, nodes), nodes, sizes, self.totals)
+        edges = tp.graph_edges(tp.cooccurrence(docs, nodes), nodes, sizes, self.totals, o.large_room)
         groups = materialise(tp.communities(nodes, edges), "communities")
-        graph = tp.themes(groups, counts, sizes, self.totals, o.stop_terms).unionByName(
+        graph = tp.themes(groups, counts, sizes, self.totals, o.stop_terms, o.large_room).unionByName(
             tp.periods(docs, self.totals, o.stop_terms)
         )
         graph = materialise(cards.refined_topics(materialise(graph, "graph-cards")), "refined")
@@ -168,7 +168,8 @@ class Report:
     @cached_property
     def hot_topics(self) -> DataFrame:
         terms = kw.top_period_terms(kw.period_terms(self.docs, "day"), "day", 4)
-        hot = ins.hot_topics(self.days, terms, self.samples, act.sender_day_counts(self.cells), self.bursts)
+        scored = None if self.options.signals_from_samples else feat.scored_context(self.features)
+        hot = ins.hot_topics(self.days, terms, self.samples, act.sender_day_counts(self.cells), self.bursts, scored=scored)
         return materialise(hot, "hot-topics")
 
     @cached_property

@@ -13,9 +13,10 @@ from palaver.operators import sampling as smp
 from palaver.operators import topic_cards as cards
 from palaver.operators import topics as tp
 from palaver.operators import vectors as vec
+from palaver.operators.topk import top_k
 from palaver.plans import text_queries as tq
 from palaver.plans import text_sql as t
-from palaver.plans.chat_sql import CHAT_F, q, scrub_sql, u16_sql
+from palaver.plans.chat_sql import CHAT_F, CHAT_F1, q, scrub_sql, u16_sql
 from palaver.plans.registry import query, round_sql
 from palaver.session import materialise
 from palaver.sources import tables as src
@@ -329,6 +330,17 @@ def kmeans_sizes(spark, folder):
     return _clusters(spark, folder).groupBy("cluster").agg(F.count("*").alias("size"))
 
 
+@query("kmeans_assign", """with v as (select vec_id, cast(label as varchar) as room_id, embedding, row_number() over (partition by label order by vec_id) as place from embeddings)
+, c as (select room_id, cast(place - 1 as int) as cluster, embedding as e from v where place <= 5)
+select room_id, vec_id, cluster from (select v.room_id, v.vec_id, c.cluster, row_number() over (partition by v.room_id, v.vec_id order by round(list_cosine_similarity(cast(v.embedding as double[]), cast(c.e as double[])), 12) desc, c.cluster) as r
+  from v join c on c.room_id = v.room_id) where r = 1""")
+def kmeans_assign(spark, folder):
+    """The nearest of five given centres: the first vectors of each label."""
+    rows = src.table(spark, folder, "embeddings").select(F.col("label").cast("string").alias("room_id"), "vec_id", vec.unit(F.col("embedding")).alias("u"))
+    five = top_k(rows, ["room_id"], [F.asc("vec_id")], 5)
+    return vec.assign(rows, vec._listed(five, "rank"), "vec_id")
+
+
 @query("kmeans_per_room")
 def kmeans_per_room(spark, folder):
     rows = src.table(spark, folder, "embeddings").select(F.col("label").cast("string").alias("room_id"), F.col("vec_id").alias("line"), "embedding")
@@ -353,7 +365,10 @@ def semantic_keywords(spark, folder):
 
 # ---- samples -------------------------------------------------------------------------------
 
-@query("hash_sample")
+@query("hash_sample", CHAT_F1 + """, k as (select room_id, line, sender, md5('42:' || line) as h from f where not is_system and not is_boilerplate and eligible and chars >= 12)
+, t as (select room_id, count(*) as n from f group by 1)
+select room_id, line, sender, row_number() over (partition by k.room_id order by h, line) as sample_rank from k join t using (room_id)
+qualify sample_rank <= case when n >= 100000 then 2000 when n >= 50000 then 1200 when n >= 10000 then 800 else 480 end""")
 def hash_sample(spark, folder):
     totals = src.chat_messages(spark, folder, False).groupBy("room_id").agg(F.count("*").alias("total_messages"))
     return smp.text_sample(feat.message_features(src.chat_messages(spark, folder, False)), totals).drop("text")

@@ -77,3 +77,26 @@ def test_mood_turns(spark):
     d = spark.createDataFrame(rows, "room_id string, day date, positive double, negative double, energy double")
     got = sorted((r.day.day, r.type, r.title) for r in ins.mood_turns(d).collect())
     assert got == [(2, "conflict_resolution", "settled"), (2, "emotional_spike", "high")]  # the last day is no inner day
+
+
+def test_evidence_is_found_in_whole_texts(spark):
+    late = "무슨 이야기인지 아직 모르는 긴 글이 이어진다. " * 12 + "배포 이야기"
+    texts = spark.createDataFrame([("r", 1, late)], "room_id string, item int, text string")
+    pool = spark.createDataFrame([("r", ["배포"])], "room_id string, pool array<string>")
+    stats = spark.createDataFrame([("r", 1000, ["1000"])], "room_id string, total_messages bigint, stats array<string>")
+    row = ins.evidence_gate(texts, pool, stats).first()
+    assert row.accepted and len(row.text) == 180
+    assert not ins.evidence_gate(texts, pool, stats, matched=180).first().accepted
+
+
+def test_signals_count_all_messages_of_a_day(spark):
+    from chat import chat
+
+    from palaver import AnalysisOptions
+    from palaver.plans.report import Report
+
+    rows = [(i, "a", f"내일 오전 회의 어때요 {i}번 안건?") for i in range(60)]
+    every = Report(chat(spark, rows, "r")).hot_topics.first()
+    some = Report(chat(spark, rows, "r"), AnalysisOptions(signals_from_samples=True)).hot_topics.first()
+    assert (every.questions, some.questions) == (60, 18)
+    assert every.plans == 60 and every.keywords == some.keywords

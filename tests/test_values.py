@@ -80,3 +80,44 @@ def test_kmeans_in_rooms_ends_at_nearest_means(spark):
         means = np.array([x[label == c].mean(0) for c in names])
         means /= np.linalg.norm(means, axis=1, keepdims=True)
         assert [names[k] for k in (x @ means.T).argmax(1)] == list(label)
+
+
+def test_kmeans_in_rooms_is_as_good_as_one_model_per_room(spark):
+    """Inertia (1 - cosine) of well separated and of smeared groups against Spark's own k-means."""
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for room, spread in (("near", 0.05), ("far", 0.6)):
+        heads = rng.normal(size=(6, 8))
+        rows += [(room, k, [float(x) for x in heads[k % 6] + spread * rng.normal(size=8)]) for k in range(700)]
+    d = spark.createDataFrame(rows, "room_id string, line bigint, embedding array<double>")
+    got = {(r.room_id, r.line): r.cluster for r in vec.kmeans_per_room(d, "line").collect()}
+    for room in ("near", "far"):
+        mine = [(k, np.array(v)) for r, k, v in rows if r == room]
+        units = np.stack([v / np.linalg.norm(v) for _, v in mine])
+
+        def inertia(labels):
+            total = 0.0
+            for c in set(labels):
+                part = units[[x == c for x in labels]]
+                total += len(part) - np.linalg.norm(part.sum(0))
+            return total
+
+        ours = inertia([got[room, k] for k, _ in mine])
+        k = len({got[room, k] for k, _ in mine})
+        frame = spark.createDataFrame([(Vectors.dense(v),) for v in units], ["features"])
+        model = KMeans(k=k, distanceMeasure="cosine", maxIter=24, seed=42).fit(frame)
+        theirs = inertia([r.prediction for r in model.transform(frame).collect()])
+        assert ours <= 1.02 * theirs, (room, k, ours, theirs)
+
+
+def test_candidates_are_reduced_to_centres():
+    import numpy as np
+
+    units = np.eye(3)[[0, 0, 1, 1, 2]]
+    got = vec.reduce_candidates(units, np.array([5.0, 1, 3, 3, 1]), 3)
+    assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, np.eye(3).tolist()))
+    assert len(vec.reduce_candidates(units[:2], np.array([1.0, 1]), 4)) == 2
