@@ -464,7 +464,9 @@ def evidence_gate(texts: DataFrame, pool: DataFrame, stats: DataFrame, shown: in
     )
     tiny = (F.col("total_messages") < 100) & F.col("pool").isNull()
     good = ~is_garbage(whole) & (F.coalesce(names, F.lit(False)) | F.coalesce(numbers, F.lit(False)) | F.coalesce(tiny, F.lit(False)))
-    return d.select("room_id", "item", F.substring(trimmed, 1, shown).alias("text"), good.alias("accepted"))
+    # two steps: inside a lambda, ``text`` would be taken for the shortened column of the same name
+    tested = d.withColumn("accepted", good)
+    return tested.select("room_id", "item", F.substring(trimmed, 1, shown).alias("text"), "accepted")
 
 
 def archetype_fallback(topics: DataFrame, keywords: DataFrame, k: int = 4) -> DataFrame:

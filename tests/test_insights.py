@@ -80,12 +80,12 @@ def test_mood_turns(spark):
 
 
 def test_evidence_is_found_in_whole_texts(spark):
-    late = "무슨 이야기인지 아직 모르는 긴 글이 이어진다. " * 12 + "배포 이야기"
+    late = "점심 메뉴와 저녁 약속 이야기가 길게 이어졌다. " * 12 + "배포 이야기"
     texts = spark.createDataFrame([("r", 1, late)], "room_id string, item int, text string")
     pool = spark.createDataFrame([("r", ["배포"])], "room_id string, pool array<string>")
     stats = spark.createDataFrame([("r", 1000, ["1000"])], "room_id string, total_messages bigint, stats array<string>")
     row = ins.evidence_gate(texts, pool, stats).first()
-    assert row.accepted and len(row.text) == 180
+    assert row.accepted and 170 < len(row.text) <= 180
     assert not ins.evidence_gate(texts, pool, stats, matched=180).first().accepted
 
 
