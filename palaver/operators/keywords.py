@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import lexicon as lex
 from palaver.functions import tokens as tok
+from palaver.functions.segment import dictionary_tokenizer
 from palaver.functions.frames import once
 from palaver.functions.numeric import half_up, percent_or_null
 from palaver.functions.text import hashtags, script_counts, squeeze, trim_all, utf16_length
@@ -399,6 +400,21 @@ def merge_user_words(glossary: DataFrame, words: DataFrame) -> DataFrame:
     return glossary.select("room_id", "word", "tag", "score").unionByName(extra.select("room_id", "word", "tag", "score"))
 
 
+def dictionaries(glossary: DataFrame | None, words: DataFrame) -> DataFrame:
+    """(room_id, dictionary): the room's words with their scores as a map; at most 96 and the glossary."""
+    every = words if glossary is None else merge_user_words(glossary, words)
+    hangul = every.filter(F.col("word").rlike("^[가-힣]{2,8}$"))
+    return hangul.groupBy("room_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "score"))).alias("dictionary"))
+
+
+def dictionary_docs(texts: DataFrame, words: DataFrame, text: str = "keyword_text", extra: tok.Tokenizer | None = None) -> DataFrame:
+    """``token_docs`` with the words of the room's dictionary cut out of glued Hangul."""
+    cut = dictionary_tokenizer(F.col("dictionary"))
+    none = F.array().cast("array<string>")
+    both = cut if extra is None else lambda doc: F.concat(F.coalesce(extra(doc), none), F.coalesce(cut(doc), none))
+    return token_docs(texts.join(words, ROOM, "left"), text, both)
+
+
 def compare_rankings(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two ranked lists (room_id, rank, label) side by side: same rank, shared, only one."""
     left = a.select("room_id", "label", F.col("rank").alias("rank_a"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
@@ -29,6 +30,9 @@ class AnalysisOptions:
     frequency_lane: int | None = 80     # keywords of a room in the frequency lane at most; None: all
     score_lane: int | None = 200        # and in the lane of scores
     stop_terms: tuple[str, ...] = field(default_factory=tuple)
+    glossary: tuple[tuple[str, str, float], ...] = ()  # (word, tag, score) for the dictionary of every room
+    dictionary: bool = False            # cut glued Hangul by the room's user words and the glossary
+    tokenizer: Callable | None = None   # hook: text column to an array of tokens that come first
     chunk_rows: int = 200_000           # rows of one room that share a task
 
     @property

@@ -64,7 +64,23 @@ class Report:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return materialise(kw.token_docs(self.features), "tokens")
+        o = self.options
+        if not (o.dictionary or o.glossary):
+            return materialise(kw.token_docs(self.features, extra=o.tokenizer), "tokens")
+        return materialise(kw.dictionary_docs(self.features, self.dictionaries, extra=o.tokenizer), "tokens")
+
+    @cached_property
+    def dictionaries(self) -> DataFrame:
+        """The words by which glued Hangul of a room is cut; glossary entries win over counted words."""
+        o = self.options
+        words = kw.user_words(self.messages, o.stop_terms)
+        if not o.dictionary:
+            words = words.limit(0)
+        rooms = self.features.select("room_id").distinct()
+        glossary = rooms.withColumn("g", F.explode(F.array(*[
+            F.struct(F.lit(w).alias("word"), F.lit(t).alias("tag"), F.lit(float(s)).alias("score")) for w, t, s in o.glossary
+        ]))).select("room_id", "g.*") if o.glossary else None
+        return materialise(kw.dictionaries(glossary, words), "dictionaries")
 
     @cached_property
     def topic_docs(self) -> DataFrame:

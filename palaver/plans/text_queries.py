@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from palaver.functions import lexicon as lex
 from palaver.functions import tokens as tok
+from palaver.functions.segment import best_cut
 from palaver.operators import features as feat
 from palaver.operators import keywords as kw
 from palaver.operators import text_nfc
 from palaver.plans import text_sql as t
 from palaver.plans.chat_sql import CHAT_F, q, squeeze_sql, trim_sql, u16_sql
 from palaver.plans.registry import query, round_sql
+from palaver.session import materialise
 from palaver.sources import tables as src
 
 
@@ -199,11 +201,35 @@ def script_profile(spark, folder):
 _w = "case when regexp_matches(w, '^[A-Za-z0-9_+-]+$') then lower(w) else w end"
 
 
-@query("user_words", f"with m as ({src.chat_sql()}), a as (select room_id, line, unnest(regexp_split_to_array(message, {q('[' + lex.BLANK + ']+')})) as w from m), b as (select distinct room_id, line, {t.canonical_sql('(' + _w + ')')} as word from a where regexp_matches(w, '[가-힣A-Za-z]') and length(w) between 2 and 16), c as (select room_id, word, count(*) as df from b group by 1, 2), d as (select * from c where df >= case when regexp_matches(word, '[가-힣]') then 2 else 3 end and case when regexp_matches(word, '^[A-Za-z0-9_+-]+$') then length(word) between 2 and 12 else regexp_matches(word, '[가-힣]') and length(word) between 2 and 8 end and not {t.noise_sql('word')}) select *, case when regexp_matches(word, '^[A-Za-z]') then 'SL' else 'NNP' end as tag, {round_sql('least(8.0, ln(1 + df))', 6)} as score, row_number() over (partition by room_id order by df desc, length(word) desc, word) as rank from d qualify rank <= 96")
+USER_WORDS = f"with m as ({src.chat_sql()}), a as (select room_id, line, unnest(regexp_split_to_array(message, {q('[' + lex.BLANK + ']+')})) as w from m), b as (select distinct room_id, line, {t.canonical_sql('(' + _w + ')')} as word from a where regexp_matches(w, '[가-힣A-Za-z]') and length(w) between 2 and 16), c as (select room_id, word, count(*) as df from b group by 1, 2), d as (select * from c where df >= case when regexp_matches(word, '[가-힣]') then 2 else 3 end and case when regexp_matches(word, '^[A-Za-z0-9_+-]+$') then length(word) between 2 and 12 else regexp_matches(word, '[가-힣]') and length(word) between 2 and 8 end and not {t.noise_sql('word')}), uw as (select *, case when regexp_matches(word, '^[A-Za-z]') then 'SL' else 'NNP' end as tag, {round_sql('least(8.0, ln(1 + df))', 6)} as score, row_number() over (partition by room_id order by df desc, length(word) desc, word) as rank from d qualify rank <= 96)"
+
+
+@query("user_words", USER_WORDS + " select * from uw")
 def user_words(spark, folder):
     return kw.user_words(src.chat_messages(spark, folder))
 
 
+GLUED = USER_WORDS.replace("with ", "with recursive ", 1) + """
+, di as (select room_id, map(list(word order by word), list(score order by word)) as m from uw where regexp_full_match(word, '[가-힣]{2,8}') group by 1)
+, ru as (select distinct room_id, unnest(regexp_extract_all(message, '[가-힣]+')) as run from m)
+, pa as (select room_id, run, cast(0 as int) as i, m, [{'sum': cast(0.0 as double), 'few': cast(0 as int), 'words': cast([] as varchar[])}] as best from ru join di using (room_id) where length(run) between 3 and 32
+  union all select room_id, run, i + 1, m, list_append(best, list_sort(list_append(
+    list_transform(list_filter(range(1, least(8, i + 1) + 1), lambda n: map_contains(m, substr(run, i + 2 - n, n))),
+      lambda n: {'sum': best[i + 2 - n].sum + m[substr(run, i + 2 - n, n)] * n, 'few': cast(best[i + 2 - n].few - 1 as int), 'words': list_append(best[i + 2 - n].words, substr(run, i + 2 - n, n))}),
+    best[i + 1]), 'DESC')[1]) from pa where i < length(run))
+select room_id, run, array_to_string(best[i + 1].words, ' ') as cut from pa where i = length(run)"""
+
+
+@query("tokens_dictionary", GLUED)
+def tokens_dictionary(spark, folder):
+    """The glued Hangul of all messages, cut by the user words of its room."""
+    messages = src.chat_messages(spark, folder)
+    words = materialise(kw.dictionaries(None, kw.user_words(messages)), "dictionaries")
+    runs = messages.select("room_id", F.explode(F.regexp_extract_all("message", F.lit("[가-힣]+"), 0)).alias("run"))
+    runs = runs.where(F.length("run").between(3, 32)).distinct().join(words, "room_id")
+    return runs.select("room_id", "run", F.array_join(best_cut(F.col("run"), F.col("dictionary")), " ").alias("cut"))
+
+
 @query("tokenizer_diff", t.CHAT_TK + t.CANDS + """, a as (select room_id, label, row_number() over (partition by room_id order by score desc, hits desc, length(label) desc, label) as rank_a from cd qualify rank_a <= 50), b as (select room_id, label, row_number() over (partition by room_id order by hits desc, score desc, length(label) desc, label) as rank_b from cd qualify rank_b <= 50)
 select coalesce(a.room_id, b.room_id) as room_id, coalesce(a.label, b.label) as label, rank_a, rank_b, case when rank_b is null then 'only_a' when rank_a is null then 'only_b' when rank_a = rank_b then 'same' else 'shared' end as status from a full join b on a.room_id = b.room_id and a.label = b.label""")
 def tokenizer_diff(spark, folder):
