@@ -6,6 +6,10 @@ at the first record that begins inside it and ends with the last such record, so
 records with continuation lines are neither cut nor read twice. The line number of a
 record is its byte offset in the file: it orders records, is unique, and needs no
 counting of the lines before.
+
+A filter ``ts >= ...`` is taken over by the reader (``spark.sql.python.filterPushdown.enabled``):
+records before it are told by the bytes of their date and skipped with their continuation lines,
+undecoded. Rows leave the reader as Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ import os
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition
 
 from palaver.functions.text import room_name_from_file
 
@@ -134,8 +139,10 @@ def _lines(path: str, start: int):
             yield offset, line.rstrip(b"\r\n")
 
 
-def read_range(part: FileRange):
-    """Rows of the records whose first byte lies in the range."""
+def read_range(part: FileRange, since: str | None = None):
+    """Rows of the records whose first byte lies in the range, from the second ``since`` on."""
+    first_second = since.encode() if since else b""
+    skipping = False
     with open(part.path, "rb") as f:
         encoding = detect_encoding(f.read(SAMPLE))
     codec = "utf-8" if encoding.startswith("utf-8") else encoding
@@ -157,11 +164,20 @@ def read_range(part: FileRange):
                 current = None
             if offset >= part.end:
                 break
+            skipping = data[:19] < first_second
+            if skipping:
+                continue
             raw, sender, message, problems = parse_start(data.decode(codec, errors="replace"), offset)
             if _timestamp(raw).year == 1970 and not raw.startswith("1970-01-01 00:00:00"):
                 problems.append((offset, "invalid_date", "Could not parse message date."))
+            if since and f"{_timestamp(raw)}" < since:  # a date that cannot be read counts as 1970
+                skipping = True
+                continue
             current = (offset, raw, sender, [message], early + problems)
             early = []
+        elif skipping:
+            if offset >= part.end:  # the rest of a skipped record
+                break
         elif current:
             current[3].append(data.decode(codec, errors="replace"))
         elif offset >= part.end:
@@ -171,7 +187,7 @@ def read_range(part: FileRange):
                 early.append((offset, "continuation_without_record", "Found a continuation line before the first dated message."))
     if current:
         yield row(current)
-    elif early:  # a file without any record still reports its warnings
+    elif early and not since:  # a file without any record still reports its warnings
         yield (part.path, None, None, None, None, None, encoding, early)
 
 
@@ -185,7 +201,7 @@ def _timestamp(raw: str):
 
 
 class ChatExportSource(DataSource):
-    """Options: ``path`` (file, folder or glob), ``splitBytes``."""
+    """Options: ``path`` (file, folder or glob), ``splitBytes``, ``takesDates`` (with filter push-down)."""
 
     @classmethod
     def name(cls) -> str:
@@ -195,13 +211,15 @@ class ChatExportSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return ChatExportReader(self.options)
+        dated = self.options.get("takesDates", "false") == "true"
+        return (DatedReader if dated else ChatExportReader)(self.options)
 
 
 class ChatExportReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.split = int(options.get("splitBytes", SPLIT))
+        self.since: str | None = None
 
     def partitions(self):
         path = self.path
@@ -209,12 +227,48 @@ class ChatExportReader(DataSourceReader):
         return plan_ranges(sorted(paths), self.split)
 
     def read(self, partition):
-        return read_range(partition)
+        rows = []
+        for row in read_range(partition, self.since):
+            rows.append(row)
+            if len(rows) == BATCH:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
+
+class DatedReader(ChatExportReader):
+    """The reader for sessions that let Python sources take filters (Spark allows the method only there)."""
+
+    def pushFilters(self, filters):
+        """Takes ``ts >= ...`` over; Spark applies all others."""
+        for f in filters:
+            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("ts",) and not f.value.microsecond:
+                second = f.value.strftime("%Y-%m-%d %H:%M:%S")
+                self.since = max(self.since or second, second)
+            else:
+                yield f
+
+
+BATCH = 4096
+WARNING = pa.struct([("line", pa.int64()), ("code", pa.string()), ("message", pa.string())])
+COLUMNS = pa.schema([
+    ("path", pa.string()), ("line", pa.int64()), ("raw_date", pa.string()), ("ts", pa.timestamp("us")), ("sender", pa.string()),
+    ("message", pa.string()), ("encoding", pa.string()), ("warnings", pa.list_(WARNING)),
+])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = WARNING.names
+    columns = [*zip(*rows)]
+    columns[-1] = [[dict(zip(names, w)) for w in found] for found in columns[-1]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COLUMNS)], schema=COLUMNS)
 
 
 def load_exports(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
     spark.dataSource.register(ChatExportSource)
-    return spark.read.format("chat_export").option("splitBytes", split_bytes).load(path)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("chat_export").option("splitBytes", split_bytes).option("takesDates", pushed).load(path)
 
 
 def messages_of(exports: DataFrame) -> DataFrame:
@@ -230,9 +284,12 @@ def warnings_of(exports: DataFrame) -> DataFrame:
     )
 
 
-def messages_from_lines(lines: DataFrame) -> DataFrame:
+def messages_from_lines(lines: DataFrame, since: str | None = None) -> DataFrame:
     """The same records from plain text rows(room_id, line, value), in SQL only.
 
+    With ``since`` (YYYY-MM-DD) older records are dropped by the date of their first line, before
+    the lines of any record are gathered.
+
     A record is the dated line and the lines up to the next dated line; the number of
     the record is a running count over chunks of lines, so one long file does not end
     up in one task.
@@ -243,7 +300,11 @@ def messages_from_lines(lines: DataFrame) -> DataFrame:
     d = lines.select("room_id", "line", "value", F.col("value").rlike(lex.RECORD_START).alias("starts"))
     d = link_rows(d, ["starts"], {"record": lambda cur, prev: cur["starts"]})
     # lines before the first record belong to none: they are left out before lines are gathered
-    d = d.join(d.filter("starts").select("room_id", "record_id").distinct(), ["room_id", "record_id"], "left_semi")
+    heads = d.filter("starts")
+    if since:
+        second = F.try_to_timestamp(F.substring("value", 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+        heads = heads.filter(F.coalesce(second, F.lit("1970-01-01").cast("timestamp_ntz")) >= F.lit(since).cast("timestamp_ntz"))
+    d = d.join(heads.select("room_id", "record_id").distinct(), ["room_id", "record_id"], "left_semi")
     body = F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda s: s["value"])
     r = d.groupBy("room_id", "record_id").agg(body.alias("v"), F.min("line").alias("line"))
     head = F.col("v")[0]

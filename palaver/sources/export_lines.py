@@ -82,9 +82,9 @@ def text_lines(lines: DataFrame) -> DataFrame:
     return plain.unionByName(other).select("path", "line", value.alias("value"), "encoding")
 
 
-def records(lines: DataFrame, room: Column | None = None, keep_path: bool = False) -> DataFrame:
-    """messages(room_id, line, ts, sender, message); the room is taken from the path."""
-    found = messages_from_lines(lines.select(F.col("path").alias("room_id"), "line", "value"))
+def records(lines: DataFrame, room: Column | None = None, keep_path: bool = False, since: str | None = None) -> DataFrame:
+    """messages(room_id, line, ts, sender, message) from the day ``since`` on; the room is taken from the path."""
+    found = messages_from_lines(lines.select(F.col("path").alias("room_id"), "line", "value"), since)
     name = room_name_from_file(F.col("path")) if room is None else room
     return found.withColumnRenamed("room_id", "path").select(
         name.alias("room_id"), "line", "ts", "sender", "message", *(["path"] if keep_path else [])

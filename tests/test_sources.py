@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palaver.sources import chat_export as ce
 from palaver.sources import discovery, lexicons, sinks
+from palaver.streaming.rooms import settings as st_settings
 
 TEXT = (
     "Date,User,Message\n"
@@ -143,3 +144,32 @@ def test_lines_of_a_file_read_in_many_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [(r.sender, r.message) for r in rows] == [(f"u{i}", f"m{i}\nmore {i}") for i in range(4000)]
+
+
+@pytest.mark.parametrize("split", [40, 10_000])
+def test_reader_takes_a_date_bound_over(spark, tmp_path, split, monkeypatch):
+    """``ts >=`` is pushed into the reader: it decodes no older record, and gives what a filter gives."""
+    text = "Date,User,Message\nstray\n" + "".join(f"2026-05-{d:02d} 09:00:00,Bob,day {d}\nmore {d}\n" for d in range(1, 29)) + "2026-13-01 09:00:00,Bob,no date\n"
+    put(tmp_path, "a.csv", text)
+    bound = F.lit("2026-05-20").cast("timestamp_ntz")
+    pushed = "spark.sql.python.filterPushdown.enabled"
+    plain = [(r.line, r.message, r.ts) for r in ce.load_exports(spark, str(tmp_path), split).collect() if r.ts >= dt.datetime(2026, 5, 20)]
+    with st_settings(spark, **{pushed: "true"}):
+        d = ce.load_exports(spark, str(tmp_path), split).filter(F.col("ts") >= bound)
+        assert sorted((r.line, r.message, r.ts) for r in d.collect()) == sorted(plain) and len(plain) == 9
+        assert ">=" not in d._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]  # Spark filters for nulls only
+    decoded = []
+    real = ce.parse_start
+    monkeypatch.setattr(ce, "parse_start", lambda line, n: decoded.append(line) or real(line, n))
+    parts = ce.plan_ranges([str(tmp_path / "a.csv")], split)
+    rows = [r for p in parts for r in ce.read_range(p, "2026-05-20 00:00:00")]
+    assert len(rows) == 9 and len(decoded) == 10  # the record whose date cannot be read is looked at
+
+
+def test_records_since_a_day(spark, tmp_path):
+    from palaver.sources import export_lines as ex
+
+    put(tmp_path, "a.csv", TEXT + "2026-05-03 10:00:00,Bob,later\nwith more\n")
+    lines = ex.text_lines(ex.raw_lines(spark, str(tmp_path)))
+    assert [r.message for r in ex.records(lines, since="2026-05-02").collect()] == ["later\nwith more"]
+    assert ex.records(lines, since="1970-01-01").count() == 5
