@@ -1,7 +1,9 @@
 """The queries of the subpackage, against their SQL or plain versions, on the smallest tables."""
 
 import pytest
+from cases import ODD, clashing, documents
 from oracle import connect, differences
+from test_near_copies import brute_kept
 from test_search_and_links import brute_components, brute_print
 
 import __spark_entry__ as entry
@@ -50,11 +52,18 @@ def test_pipeline_stages(spark, folder):
     for i in clean:
         largest[texts[i]] = max(i, largest.get(texts[i], i))
     assert sorted(kept["exact_dedup"]) == sorted(largest.values())
-    prints = {i: brute_print(texts[i]) for i in kept["exact_dedup"]}
-    label = brute_components(sorted(set(prints.values())), 2)
-    least = {}
-    for i, p in prints.items():
-        least[label[p]] = min(i, least.get(label[p], i))
-    assert sorted(kept["simhash"]) == sorted(least.values())
+    assert sorted(kept["simhash"]) == brute_kept([(i, texts[i]) for i in kept["exact_dedup"]])
     assert set(kept["packing"]) == set(kept["mixing"])
     assert "pipeline" in entry.queries()
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", clashing(documents(spark, ODD))), ("empty", documents(spark, ODD).limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        none.write.parquet(str(tmp_path / name / "labels.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    # exact copies leave their largest id, near copies their smallest: 2 of the twins, 4 of the blanks, 6 of the long texts
+    assert {p["doc_id"] for p in pieces} <= {2, 4, 6, 8, 9, None} and {p["doc_id"] for p in pieces} >= {2, 6, 8}
+    assert all(0 < p["length"] <= 4096 for p in pieces)
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
