@@ -12,8 +12,14 @@ length, presentation nodes by their own entropy and, more and more with depth, t
 children's. Known roles correct the weight: menus, footers, forms, adverts, comments and the
 like weigh nothing unless they hold the page's main content, links count against a branch, and
 ``article`` or ``main`` weigh in full. A class or id is a role if its whole name is one or is
-made of role names only; on headings and sections of main content, if its whole name is one.
-Branches below the threshold go; what stays is the text.
+made of role names only; on headings and sections of main content, if its whole name is one. A
+compound name that ends in a role (``user-comments``, ``share-bar``) is evidence and lowers the
+weight of its branch to ``EVIDENCE`` of what it is, in the main content too; so does being an
+``article`` next to a ``main`` that holds text.
+
+Branches below the threshold go; what stays is the text. Inside the main content a branch goes
+if it is the same on the site: the tree has seen it on at least ``MANY`` pages of the host, its
+content entropy is below ``CONSTANT``, and the main content itself differs from page to page.
 
 Cases: null html is empty and gives an empty text; a null or odd URL is a host of its own
 (the empty one); a node seen once on its host counts as content; repeated pages are kept and
@@ -37,6 +43,9 @@ from palaver.llm.common import columns_of, materialise
 
 THRESHOLD = 0.2
 DAMPING = 0.9
+EVIDENCE = 0.1
+CONSTANT = 0.05
+MANY = 8
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -75,6 +84,15 @@ WORTHLESS_NAMES = frozenset(
     "subscription toc toolbar widget widgets".split()
 )
 MAIN_NAMES = frozenset("main articlebody".split())
+#: Pieces at the end of a compound name that say what holds the role, not what it is.
+HOLDERS = frozenset(
+    "area articles bar block body box container content entries group inner item items link links list outer panel posts row "
+    "section stories thread title wrap wrapper".split()
+)
+#: A name that begins with one of these says something about the page's layout.
+LAYOUT = frozenset("has hide is no not with without".split())
+#: Parts of an article that bear its own head and foot.
+OWN_PARTS = frozenset("header title copyright search social menu form login".split())
 
 
 class Node:
@@ -112,6 +130,32 @@ def _is_role(name: str) -> bool:
     return bool(pieces) and all(p in WORTHLESS_NAMES for p in pieces)
 
 
+def _ends_in_role(name: str) -> bool:
+    """A compound name whose last piece, but for what holds it, is a role (``cookie-banner-wrap``)."""
+    pieces = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    if len(pieces) < 2 or pieces[0] in LAYOUT:
+        return False
+    while len(pieces) > 1 and pieces[-1] in HOLDERS:
+        pieces.pop()
+    return pieces[-1] in WORTHLESS_NAMES and pieces[-1] not in OWN_PARTS
+
+
+def _teasers(root: Node) -> None:
+    """Articles beside a ``main`` that holds text are no main content."""
+    every = list(nodes_of(root))
+    if not any(n.tag == "main" and n.prior and any(_own_text(x) for x in nodes_of(n)) for n in every):
+        return
+    for node in every:
+        if node.tag != "article":
+            continue
+        around = {id(x) for x in nodes_of(node) if x.tag == "main"}
+        above = node.parent
+        while above is not None and above.tag != "main":
+            above = above.parent
+        if above is None and not around:
+            node.main, node.prior = False, min(node.prior, EVIDENCE)
+
+
 def _in_foreign(node: Node) -> bool:
     while node is not None and node.tag not in FOREIGN:
         node = node.parent
@@ -188,7 +232,9 @@ def parse(page: str) -> Node:
         whole = inside is not root and tag in TITLED  # an id here is a slug of the heading's words
         role = any(n in WORTHLESS_NAMES or (not whole and _is_role(n)) for n in names)
         worthless = hidden or (tag in WORTHLESS and not own_head) or (role and tag not in ("html", "body") and not main)
-        node = Node(label, tag, _key(at.key, label), at, 0.0 if worthless else 1.0, main)
+        compound = not whole and tag not in MAIN and tag not in ("html", "body") and any(_ends_in_role(n) for n in names)
+        main = main and not compound
+        node = Node(label, tag, _key(at.key, label), at, 0.0 if worthless else EVIDENCE if compound else 1.0, main)
         node.hidden = hidden or (tag in NEVER_SHOWN and tag not in CLOSED)
         if (tag in MAIN or main and names & MAIN_NAMES) and inside is root and not role and not node.hidden:
             mains.append(node)
@@ -197,6 +243,8 @@ def parse(page: str) -> Node:
             at = node
     add(page[here:])
     _lift(mains)
+    if mains:
+        _teasers(root)
     return root
 
 
@@ -256,23 +304,32 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importance(seen: DataFrame) -> DataFrame:
-    """(host, node, style, content): normalised entropies of the site's nodes."""
+    """(host, node, style, content, pages): normalised entropies of the site's nodes, and the pages they are on."""
     counts = seen.where(F.col("kind") != ON_PAGE).groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("c"))
     sums = counts.groupBy("host", "node", "kind").agg(
         F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s")
     )
     spread = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
-    return sums.groupBy("host", "node").agg(
+    on_page = seen.where(F.col("kind") == ON_PAGE).groupBy("host", "node", "value").agg(F.lit(ON_PAGE).alias("kind"))
+    pages = on_page.groupBy("host", "node", "kind").agg(F.count(F.lit(1)).alias("m"), F.lit(0.0).alias("s"))
+    return sums.unionByName(pages).groupBy("host", "node").agg(
         F.max(F.when(F.col("kind") == STYLE, spread)).alias("style"),
         F.max(F.when(F.col("kind") == CONTENT, spread)).alias("content"),
+        F.max(F.when(F.col("kind") == ON_PAGE, F.col("m"))).alias("pages"),
     )
 
 
-def weigh(root: Node, known: dict[int, tuple[float, float]]) -> dict[int, float]:
-    """Weight of each branch, by ``id`` of its node, from the leaves up."""
+#: Entropies of a node's presentation and content on its host (None: it holds no text), and the pages it is on.
+Known = dict[int, tuple[float | None, float | None, int]]
+UNKNOWN = (1.0, 1.0, 1)
+
+
+def weigh(root: Node, known: Known) -> tuple[dict[int, float], dict[int, float]]:
+    """Weight and content entropy of each branch, by ``id`` of its node, from the leaves up."""
     weight: dict[int, float] = {}
+    differs: dict[int, float] = {}
     for node in reversed(list(nodes_of(root))):
-        style, content = known.get(node.key, (1.0, 1.0))
+        style, content, _ = known.get(node.key, UNKNOWN)
         style, content = (1.0 if style is None else style), (1.0 if content is None else content)
         own = len(_own_text(node))
         children = [c for c in node.children if isinstance(c, Node)]
@@ -280,40 +337,48 @@ def weigh(root: Node, known: dict[int, tuple[float, float]]) -> dict[int, float]
         node.linked = node.text if node.tag == "a" else sum(c.linked for c in children)
         mixed = own * content + sum(c.text * weight[id(c)] for c in children)
         below = mixed / node.text if node.text else 0.0
+        plain = own * content + sum(c.text * differs[id(c)] for c in children)
+        differs[id(node)] = plain / node.text if node.text else 1.0
         labels = len({c.label for c in children})
         damp = DAMPING**labels
         total = below if not children else (1 - damp) * style + damp * below
         if not node.main and node.text:
             total *= 1 - node.linked / node.text
         weight[id(node)] = 1.0 if node.main else node.prior * total
-    return weight
+    return weight, differs
 
 
-def main_text(page: str, known: dict[int, tuple[float, float]], threshold: float = THRESHOLD) -> str:
+def main_text(page: str, known: Known, threshold: float = THRESHOLD) -> str:
     root = parse(page)
-    weight = weigh(root, known)
+    weight, differs = weigh(root, known)
     out: list[str] = []
-    # (node or text, inside main content, its element's content counts)
-    stack: list[tuple] = [(root, False)]
+    # (node or text, inside main content, that differs from page to page)
+    stack: list[tuple] = [(root, False, False)]
     while stack:
-        item, in_main = stack.pop()
+        item, in_main, varied = stack.pop()
         if isinstance(item, str):
             out.append(item)
             continue
         if item.prior == 0.0:
             continue
-        in_main = in_main or item.main
+        if in_main and (
+            item.prior < threshold or varied and item.text and differs[id(item)] < CONSTANT and known.get(item.key, UNKNOWN)[2] >= MANY
+        ):
+            continue  # the same on many pages of the host, or named after a role
+        if item.main and not in_main:
+            in_main, varied = True, differs[id(item)] >= threshold
         holds = in_main or any(n.main for n in nodes_of(item))
         if not holds and item.text and item.parent is not None and weight[id(item)] < threshold and item.tag not in ("html", "body"):
             if not (item.tag in INLINE and weight[id(item.parent)] >= threshold):
                 continue
-        keep_own = in_main or known.get(item.key, (1.0, 1.0))[1] is None or known.get(item.key, (1.0, 1.0))[1] >= threshold
+        content = known.get(item.key, UNKNOWN)[1]
+        keep_own = in_main or content is None or content >= threshold
         gap = " " if item.breaks else ""
-        stack.append((gap, in_main))
+        stack.append((gap, in_main, varied))
         for c in reversed(item.children):
             if isinstance(c, Node) or keep_own:
-                stack.append((c, in_main))
-        stack.append((gap, in_main))
+                stack.append((c, in_main, varied))
+        stack.append((gap, in_main, varied))
     return " ".join(html_.unescape("".join(out)).split())
 
 
@@ -321,7 +386,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for page, known in zip(batch.column("html").to_pylist(), batch.column("known").to_pylist()):
-            texts.append(main_text(page, {k["node"]: (k["style"], k["content"]) for k in known or ()}))
+            texts.append(main_text(page, {k["node"]: (k["style"], k["content"], k["pages"]) for k in known or ()}))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             ["page_id", "url", "text", "n_chars"],
@@ -338,7 +403,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     on_page = seen.where(F.col("kind") == ON_PAGE).select("host", "node", F.col("value").alias("page_key"))
     # a set of a page's nodes: copies of a page add nothing, in whatever task they are found
     known = on_page.join(site, ["host", "node"]).groupBy("page_key").agg(
-        F.collect_set(F.struct("node", "style", "content")).alias("known")
+        F.collect_set(F.struct("node", "style", "content", "pages")).alias("known")
     )
     return source.join(known, "page_key", "left").select("page_id", "url", "html", "known").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"

@@ -148,6 +148,59 @@ def test_site_tree_drops_what_repeats(spark):
     assert sitetree.extract_text(pages.limit(0)).count() == 0
 
 
+def site(n, inside, host="http://one.example"):
+    """Pages of a site whose articles all hold ``inside``."""
+    return [(k, f"{host}/{k}", page(f"<article><p>Story {k} tells of {k * k} things.</p>{inside(k)}</article>")) for k in range(n)]
+
+
+def plain_tree(rows):
+    """host -> node -> (style entropy, content entropy, pages), by plain loops over all pages."""
+    def entropy(values):
+        m = len(values)
+        return 1.0 if m < 2 else -sum(values.count(v) / m * np.log(values.count(v) / m) for v in set(values)) / np.log(m)
+
+    styles, contents, pages = {}, {}, {}
+    for k, url, html in rows:
+        host = sitetree.host_of(url)
+        for node in sitetree.nodes_of(sitetree.parse(html or "")):
+            at = host, node.key
+            styles.setdefault(at, []).append(sitetree._style(node))
+            contents.setdefault(at, []).extend([sitetree._own_text(node)] if sitetree._own_text(node) else [])
+            pages.setdefault(at, set()).add((k, url, html))
+    return {h: {n: (entropy(styles[h, n]), entropy(contents[h, n]) if contents[h, n] else None, len(pages[h, n]))
+                for g, n in styles if g == h} for h, _ in styles}
+
+
+def test_tree_decides_inside_articles(spark):
+    blocks = "<div class='note'><p>Follow us for more.</p></div><div class='own'><p>Number {0} has {0} notes.</p></div>"
+    rows = site(20, blocks.format) + [(100 + k, f"http://few.example/{k}", page(f"<article>Tale {k}{blocks.format(k)}</article>")) for k in range(3)]
+    rows += [(200 + k, f"http://copies.example/{k}", rows[0][2]) for k in range(12)]
+    rows += [(300 + k, f"http://mixed.example/{k % 4}", page(f"<div class='x'>{k % 3} <p>{'a b c'.split()[k % 3]}</p></div><p>{k}</p>")) for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitetree.extract_text(pages).collect()}
+    for k in range(20):
+        assert got[k] == f"Story {k} tells of {k * k} things. Number {k} has {k} notes."
+        assert sitetree.main_text(rows[k][2], {}) == f"Story {k} tells of {k * k} things. Follow us for more. Number {k} has {k} notes."
+    assert got[101] == "Tale 1 Follow us for more. Number 1 has 1 notes."  # too few pages to tell
+    assert got[205] == sitetree.main_text(rows[0][2], {})  # copies of one page: nothing differs
+    tree = plain_tree(rows)
+    for k, url, html in rows:
+        assert got[k] == sitetree.main_text(html, tree[sitetree.host_of(url)]), k
+
+
+def test_names_that_end_in_a_role():
+    for name in ("user-comments", "comment-list", "article-sidebar", "cookie-banner-wrap", "related-posts", "share-bar"):
+        assert sitetree.main_text(page(f"<article><p>a</p><div class='{name}'><p>b</p></div><p>c</p></article>"), {}) == "a c", name
+    for name in ("has-sidebar", "no-comments", "article-header", "story-body", "comment", "lead-title"):
+        text = sitetree.main_text(page(f"<article><div class='{name}'><p>b</p></div><p>c</p></article>"), {})
+        assert text == ("c" if name == "comment" else "b c"), name
+    teasers = "<div class='teasers'><article><p>t</p></article></div>"
+    assert sitetree.main_text(page("<main><p>a</p></main>", teasers), {}) == "a"
+    assert sitetree.main_text(page("<main><article><p>a</p></article></main>", teasers), {}) == "a"
+    assert sitetree.main_text(page("<main> </main>", "<article><p>t</p></article>"), {}) == "t"
+    assert sitetree.main_text(page("<article><main><p>a</p></main></article>"), {}) == "a"
+
+
 # ---- toxicity ----------------------------------------------------------------------
 
 
