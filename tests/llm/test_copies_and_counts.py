@@ -2,7 +2,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 from cases import ODD, clashing, documents
 from pyspark.sql import functions as F
 
@@ -38,10 +37,32 @@ def test_collisions_are_chained_and_bytes_decide(spark):
     rows = [(i, f"text {i % 40}", "s") for i in range(120)]
     docs = documents(spark, rows)
     weak = lambda t: F.pmod(F.xxhash64(t), F.lit(4))
-    got = exact_dedup.exact_groups(docs, capacity=3, hash_of=weak).collect()
-    assert all(r["group_size"] == 3 and r["keep_id"] == r["doc_id"] % 40 + 80 for r in got)
-    with pytest.raises(ValueError):
-        exact_dedup.exact_groups(docs, hash_of=weak, sha_of=lambda t: F.unhex(F.lit("00"))).count()
+    one = lambda t: F.lit(7).cast("long")
+    zero = lambda t: F.unhex(F.lit("00"))
+    for options in ({"hash_of": weak}, {"hash_of": one}, {"hash_of": weak, "sha_of": zero}, {"hash_of": one, "sha_of": zero}, {"sha_of": zero}):
+        got = exact_dedup.exact_groups(docs, capacity=3, **options).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(120))
+        assert all(r["group_size"] == 3 and r["keep_id"] == r["doc_id"] % 40 + 80 for r in got), options
+        assert sorted(r["doc_id"] for r in got if r["kept"]) == list(range(80, 120))
+    odd = exact_dedup.exact_groups(documents(spark, ODD), hash_of=one, sha_of=zero).collect()
+    plain = exact_dedup.exact_groups(documents(spark, ODD)).collect()
+    view = lambda rows: sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in rows)
+    assert view(odd) == view(plain)
+
+
+def test_groups_come_through_the_index(spark):
+    """Owners chain the rows of a hash: links are numbered, and each link is in the bucket of its hash."""
+    docs = documents(spark, [(i, f"text {i % 50}", "s") for i in range(200)])
+    weak = F.pmod(F.xxhash64("text"), F.lit(3)) * (1 << 60)
+    entries = docs.repartition(6).select("doc_id", weak.alias("hash"), F.unhex(F.sha2("text", 256)).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    index = exact_dedup.build_index(exact_dedup.materialise(entries, "test-entries"), capacity=5).collect()
+    assert len(index) == 50 and sum(r["copies"] for r in index) == 200
+    chains = {}
+    for r in index:
+        assert r["copies"] == 4 and r["id"] >= 150
+        chains.setdefault((r["bucket"], r["hash"]), []).append(r["chain"])
+    assert len(chains) == 3 and all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values())
+    assert len({bucket for bucket, _ in chains}) == 3
 
 
 def test_directory_doubles_until_buckets_fit():
