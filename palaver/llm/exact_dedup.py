@@ -133,9 +133,10 @@ def build_index(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def clashes(docs: DataFrame, index: DataFrame, hash_of, sha_of) -> DataFrame:
     """(hash, sha) of links that hold different texts, by the bytes of all texts in links with copies."""
-    repeated = materialise(index.where("copies > 1").select("hash", "sha", "bucket", "chain"), "dedup-repeated")
-    texts = docs.select(text_of().alias("text")).withColumn("hash", hash_of(F.col("text"))).withColumn("sha", sha_of(F.col("text")))
-    held = texts.join(repeated, ["hash", "sha"]).groupBy("bucket", "chain", "hash", "sha", "text").agg(F.count(F.lit(1)).alias("copies"))
+    repeated = materialise(index.where("copies > 1").select("hash").distinct(), "dedup-repeated")
+    texts = docs.select(text_of().alias("text")).withColumn("hash", hash_of(F.col("text")))
+    held = texts.join(repeated, "hash", "left_semi").groupBy("hash", "text").agg(F.count(F.lit(1)).alias("copies"))
+    held = held.select("hash", sha_of(F.col("text")).alias("sha"))  # each text once
     return materialise(held.groupBy("hash", "sha").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash", "sha"), "dedup-clashes")
 
 
