@@ -310,8 +310,7 @@ def importance(seen: DataFrame) -> DataFrame:
         F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s")
     )
     spread = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
-    on_page = seen.where(F.col("kind") == ON_PAGE).groupBy("host", "node", "value").agg(F.lit(ON_PAGE).alias("kind"))
-    pages = on_page.groupBy("host", "node", "kind").agg(F.count(F.lit(1)).alias("m"), F.lit(0.0).alias("s"))
+    pages = seen.where(F.col("kind") == ON_PAGE).groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.lit(0.0).alias("s"))
     return sums.unionByName(pages).groupBy("host", "node").agg(
         F.max(F.when(F.col("kind") == STYLE, spread)).alias("style"),
         F.max(F.when(F.col("kind") == CONTENT, spread)).alias("content"),
