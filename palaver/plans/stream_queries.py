@@ -62,13 +62,7 @@ def stream_new_senders(spark, folder):
 
 @query("stream_terms", f"with m as ({src.documents_sql('lang')})" + t.tokens_sql("m", "message") + "select room_id, term, count(*) as df from tk group by 1, 2")
 def stream_terms(spark, folder):
-    docs = src.table(spark, folder, "documents").schema
-    stream = spark.readStream.schema(docs).option("pathGlobFilter", "documents*.parquet").parquet(folder)
-    texts = stream.select(
-        F.col("lang").alias("room_id"), F.col("doc_id").alias("line"), F.lit("2024-01-01").cast("timestamp").alias("ts"),
-        F.col("lang").alias("sender"), F.col("text").alias("message"),
-    )
-    return st.term_counts(texts)
+    return st.term_counts(st.document_stream(spark, folder))
 
 
 # slots that end at or before the last message less one hour of delay are closed

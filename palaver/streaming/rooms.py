@@ -18,6 +18,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palaver.operators.flow import IDLE_MS, gap_histogram, gaps
 from palaver.operators.keywords import token_docs
@@ -25,16 +26,33 @@ from palaver.operators.ordered import CHUNK_ROWS, link_rows
 from palaver.operators.sampling import hash_sample
 from palaver.operators.sketches import TRACKED, count_items, merge_items
 from palaver.session import work_dir
+from palaver.sources.tables import table
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None, pattern: str = "events*.parquet") -> DataFrame:
-    """Events files of a folder as a stream of messages (one room per event type)."""
-    reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern)
+def table_stream(
+    spark: SparkSession, folder: str, schema: StructType | str, pattern: str, files_per_trigger: int | None = None
+) -> DataFrame:
+    """A table of a folder as a stream: all files, or folders of part files, whose names fit the pattern."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder).select(
+    return reader.parquet(f"{folder.rstrip('/')}/{pattern}")
+
+
+def document_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of a folder as a stream of messages (one room per language), all on one day."""
+    docs = table(spark, folder, "documents").schema
+    return table_stream(spark, folder, docs, "documents*.parquet").select(
+        F.col("lang").alias("room_id"), F.col("doc_id").alias("line"), F.lit("2024-01-01").cast("timestamp").alias("ts"),
+        F.col("lang").alias("sender"), F.col("text").alias("message"),
+    )
+
+
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None, pattern: str = "events*.parquet") -> DataFrame:
+    """Events files of a folder as a stream of messages (one room per event type)."""
+    return table_stream(spark, folder, EVENT_SCHEMA, pattern, files_per_trigger).select(
         F.col("event_type").alias("room_id"), F.col("event_id").alias("line"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").cast("string").alias("sender"), F.col("event_type").alias("message"),
     )

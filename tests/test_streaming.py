@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from palaver.operators import flow as fl
+from palaver.plans.catalogue import QUERIES
 from palaver.sources.tables import event_messages, table
 from palaver.streaming import rooms as st
 
@@ -177,3 +178,16 @@ def test_export_folder_as_a_stream(spark, tmp_path):
     ]
     assert len({(r.room_id, r.line) for r in got}) == 8
     assert run().count() == 8
+
+
+def test_tables_of_part_files_stream_like_one_file(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha word{i % 3} beta{i}", "en", "s") for i in range(12)], "doc_id bigint, text string, lang string, source string")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.room_id, r.term): r.df for r in QUERIES["stream_terms"](spark, str(tmp_path)).collect()}
+    assert got == {("en", "alpha"): 12} | {("en", f"word{k}"): 4 for k in range(3)} | {("en", f"beta{i}"): 1 for i in range(12)}
+    held = {r.term: (r.df, r.held, r.within) for r in QUERIES["stream_top_terms"](spark, str(tmp_path)).collect()}
+    assert held["alpha"] == (12, True, True)
+    events = spark.range(6).selectExpr(
+        "id as event_id", "timestamp_ntz'2026-01-01 00:00:00' as ts", "id as user_id", "'view' as event_type", "0.0d as value", "'' as props")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.messages for r in st.latest_counts(st.daily_counts(st.event_stream(spark, str(tmp_path))), "day", ["room_id"]).collect()] == [6]
