@@ -60,14 +60,8 @@ def terms_sketch(spark, folder):
 
 @query("stream_top_terms", TERMS + _held_sql(TERM_COUNTS, "term", "df"))
 def stream_top_terms(spark, folder):
-    docs = src.table(spark, folder, "documents").schema
-    stream = spark.readStream.schema(docs).option("pathGlobFilter", "documents*.parquet").parquet(folder)
-    texts = stream.select(
-        F.col("lang").alias("room_id"), F.col("doc_id").alias("line"), F.lit("2024-01-01").cast("timestamp").alias("ts"),
-        F.col("lang").alias("sender"), F.col("text").alias("message"),
-    )
     exact = _terms(spark, folder).groupBy("room_id", "term").agg(F.count("*").alias("df"))
-    return _held(exact, sk.item_estimates(st.top_terms(texts), ["room_id"], "term"), "term", "df")
+    return _held(exact, sk.item_estimates(st.top_terms(st.document_stream(spark, folder)), ["room_id"], "term"), "term", "df")
 
 
 DOMAINS = CHAT_F + _held_sql("select room_id, domain, count(*) as count from (select room_id, unnest(domains) as domain from f where not is_system) group by 1, 2", "domain", "count")
