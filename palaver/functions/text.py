@@ -102,6 +102,11 @@ def script_counts(text: Column) -> tuple[Column, Column]:
     return F.regexp_count(text, F.lit("[가-힣]")), F.regexp_count(text, F.lit("[A-Za-z]"))
 
 
+def collapse_repeats(text: Column, repeat_to: int = 2) -> Column:
+    """Four or more of one character become ``repeat_to``."""
+    return F.regexp_replace(text, r"(\S)\1{3,}", "$1" * repeat_to)
+
+
 def normalise(text: Column, keep_english=True, keep_numbers=True, keep_punctuation=False, repeat_to=2) -> Column:
     """Collapse long repeats, keep letters and digits, squeeze blanks.
 
@@ -111,7 +116,7 @@ def normalise(text: Column, keep_english=True, keep_numbers=True, keep_punctuati
     if keep_punctuation:
         allowed += ".,?!"
     if repeat_to > 0:
-        text = F.regexp_replace(text, r"(\S)\1{3,}", "$1" * repeat_to)
+        text = collapse_repeats(text, repeat_to)
     return F.trim(F.regexp_replace(text, f"[^{allowed}]+", " "))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palaver.functions import lexicon as lex
-from palaver.functions.text import normalise
+from palaver.functions.text import collapse_repeats, normalise
 
 Tokenizer = Callable[[Column], Column]
 
@@ -37,10 +37,11 @@ def tokens(text: Column, extra: Tokenizer | None = None) -> Column:
 
     One regex cuts the whole text; per-word work is limited to cheap string tests, and
     the rare cases (brand names, glued Hangul) are entered only by texts that have them.
+    Words are found in the text itself: what ``normalise`` turns into blanks is no part of a
+    word, and rewriting it costs several times the search.
     """
-    doc = normalise(text)
     ascii_lower = lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(t)
-    words = F.transform(F.regexp_extract_all(doc, F.lit(_WORD), 0), ascii_lower)
+    words = F.transform(F.regexp_extract_all(collapse_repeats(text), F.lit(_WORD), 0), ascii_lower)
     words = F.filter(words, lambda t: F.length(t).between(2, 32))
     spelled = F.filter(F.transform(words, lambda t: _lookup(lex.CANONICAL_TERMS, t)), lambda t: F.length(t) >= 2)
     words = F.when(text.rlike(_BRAND), spelled).otherwise(words)
@@ -55,7 +56,7 @@ def tokens(text: Column, extra: Tokenizer | None = None) -> Column:
         text.rlike("[가-힣]{6,}"), F.array_compact(F.flatten(F.transform(words, pair)))
     ).otherwise(words)
     if extra is not None:
-        found = F.concat(F.coalesce(extra(doc), F.array().cast("array<string>")), found)
+        found = F.concat(F.coalesce(extra(normalise(text)), F.array().cast("array<string>")), found)
     return F.array_distinct(found)
 
 
