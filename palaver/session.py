@@ -66,12 +66,24 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(source: DataFrame, key: str) -> DataFrame:
-    """Spread a small source over the cores before heavy text work.
+#: Tasks per core over which narrow rows are dealt before heavy work.
+TASKS = 4
+
+
+def spread(source: DataFrame, key: str, narrow: bool = False) -> DataFrame:
+    """Spread a source over the cores before heavy text work.
 
     A file with a single row group is one task. Sources that already have a partition
     per core (any real table) are returned unchanged, without a shuffle. Only for plain
     scans: counting partitions must not run a job.
+
+    ``narrow`` rows, a few numbers that texts are made from, are always dealt: partitions of a
+    scan are cut by bytes, but a row group goes to one of them whole, and rows that take
+    longer than their bytes tell would make a few long tasks. All columns deal them, so
+    a key that repeats or is null gathers nothing but equal rows.
     """
     cores = source.sparkSession.sparkContext.defaultParallelism
-    return source if source.rdd.getNumPartitions() >= cores else source.repartition(cores, key)
+    there = source.rdd.getNumPartitions()
+    if narrow:
+        return source.repartition(max(there, TASKS * cores), *source.columns)
+    return source if there >= cores else source.repartition(cores, key)

@@ -138,7 +138,7 @@ def _pick_sql(newline_sql: str, text_type: str) -> str:
 
 def chat_messages(spark: SparkSession, folder: str, by_type: bool = True) -> DataFrame:
     """Events with Korean message texts (notices, links, reactions, keywords)."""
-    base = spread(table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type"), "event_id")
+    base = spread(table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type"), "event_id", narrow=True)
     room = "event_type" if by_type else "'chat'"
     return base.selectExpr(
         f"{room} as room_id", "event_id as line", "ts",

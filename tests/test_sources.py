@@ -173,3 +173,20 @@ def test_records_since_a_day(spark, tmp_path):
     lines = ex.text_lines(ex.raw_lines(spark, str(tmp_path)))
     assert [r.message for r in ex.records(lines, since="2026-05-02").collect()] == ["later\nwith more"]
     assert ex.records(lines, since="1970-01-01").count() == 5
+
+
+def test_rows_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
+    from palaver.sources.tables import chat_messages
+
+    rows = spark.range(4000).selectExpr("id as event_id", "timestamp_ntz'2026-01-01 00:00:00' as ts", "id as user_id", "'r' as event_type")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    small = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        held = [len(p) for p in chat_messages(spark, str(tmp_path)).rdd.map(lambda r: r["line"]).glom().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(held) == 4000 and max(held) < 1000
