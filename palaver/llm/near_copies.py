@@ -4,7 +4,12 @@ Two documents are near copies if the sets of their shingles (five words in lower
 a shorter text is one shingle) have a Jaccard similarity of ``LEAST`` = 0.8 or more. Links make
 components; the first document of each stays.
 
-Fingerprints. Each text has the smallest values of 96 seeded permutations of its shingle hashes.
+SimHash. The hashes of a text's shingles make its 64-bit SimHash, and the trie self-join of
+``simhash.links`` joins fingerprints within its budget of two bits. These pairs are confirmed
+first; what they make one component meets no more below. At similarity 0.8 SimHash differs in
+about ten bits, so the prints that follow find the pairs that lie beyond the trie's budget.
+
+Prints. Each text has the smallest values of 96 seeded permutations of its shingle hashes.
 Four of them at a time make ``BANDS`` = 24 prints: texts that agree in a print share a unit (of
 pairs with similarity 0.8, three in a million share none). One bit of each value makes a binary
 fingerprint in which such texts differ in about ten of 96 places; pairs beyond ``BUDGET`` are no
@@ -39,8 +44,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.llm import simhash
 from palaver.llm.common import columns_of, digest, materialise, only, text_of
-from palaver.llm.simhash import traverse
 from palaver.operators.components import components
 
 SHINGLE = 5
@@ -197,7 +202,7 @@ def outside_pairs(m: Members, start: int, end: int, nearest: int | None) -> tupl
 
 def _outside(m: Members, ask: np.ndarray, held: np.ndarray, nearest: int | None) -> tuple:
     (left, of_left), (right, of_right) = [np.unique(m.high[side], return_inverse=True) for side in (ask, held)]
-    found = traverse(np.concatenate([left, right]), np.array([[0, len(left), len(left), len(left) + len(right), 0]], np.int64), TRIE_BUDGET)
+    found = simhash.traverse(np.concatenate([left, right]), np.array([[0, len(left), len(left), len(left) + len(right), 0]], np.int64), TRIE_BUDGET)
     # values to their members
     by_left, by_right = np.argsort(of_left, kind="stable"), np.argsort(of_right, kind="stable")
     n_left, n_right = np.bincount(of_left), np.bincount(of_right)
@@ -230,9 +235,9 @@ class Links:
         self.held: DataFrame | None = None
         self.source = columns_of(docs, "doc_id", "text").select("doc_id", digest().alias("digest"), text_of().alias("text")).withColumn("key", key)
         made = materialise(self.source.mapInArrow(
-            self._describe, "doc_id long, digest long, key binary, n int, prints array<long>, high long, low long"), "near-prints")
+            self._describe, "doc_id long, digest long, key binary, n int, fp long, prints array<long>, high long, low long"), "near-prints")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-        same = [F.first(c).alias(c) for c in ("n", "prints", "high", "low")]
+        same = [F.first(c).alias(c) for c in ("n", "fp", "prints", "high", "low")]
         nodes = made.groupBy("key").agg(first, *same).withColumn("node", F.monotonically_increasing_id())
         self.nodes = materialise(nodes, "near-nodes")
         self.roots = self.nodes.sparkSession.createDataFrame([], "node long, root long")
@@ -243,17 +248,26 @@ class Links:
             made = []
             for t in batch.column("text"):
                 found = shingles(t.as_py())
-                least = least_values(hashes_of(found))
-                made.append((len(found), prints_of(least).view(np.int64), *bits_of(least)))
-            n, prints, high, low = zip(*made) if made else [()] * 4
+                hashes = hashes_of(found)
+                least = least_values(hashes)
+                made.append((len(found), simhash.fingerprint_of(hashes), prints_of(least).view(np.int64), *bits_of(least)))
+            n, fp, prints, high, low = zip(*made) if made else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "digest", "key")], pa.array(n, pa.int32()), pa.array(prints, pa.list_(pa.int64())),
-                 pa.array(high, pa.int64()), pa.array(low, pa.int64())],
-                ["doc_id", "digest", "key", "n", "prints", "high", "low"],
+                [*[batch.column(c) for c in ("doc_id", "digest", "key")], pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)),
+                 pa.array(prints, pa.list_(pa.int64())), pa.array(high, pa.int64()), pa.array(low, pa.int64())],
+                ["doc_id", "digest", "key", "n", "fp", "prints", "high", "low"],
             )
 
+    def fingerprint_pairs(self) -> DataFrame:
+        """Pairs that the SimHash trie joins: a fingerprint's first node with its others, and with the first of a linked one."""
+        firsts = materialise(self.nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+        named = lambda fp, node: firsts.select(F.col("fp").alias(fp), F.col("first").alias(node))
+        linked = simhash.links(firsts.select("fp")).join(named("fp", "a"), "fp").join(named("to", "b"), "to")
+        same = self.nodes.select("fp", F.col("node").alias("b")).join(named("fp", "a"), "fp").where("a <> b")
+        return materialise(linked.select("a", "b").unionByName(same.select("a", "b")), "near-trie-pairs")
+
     def hold_texts(self, units: DataFrame) -> None:
-        """Keep the texts of all nodes that share a unit: the documents are shuffled once, however often texts are needed."""
+        """Keep the texts of all nodes that share a unit or a pair: the documents are shuffled once, however often texts are needed."""
         keys = materialise(self.nodes.join(units.select("node").distinct(), "node", "left_semi").select("node", "key"), "near-keys")
         # the keys grow with the documents: never broadcast, so the plan is the same at every size
         found = self.source.select("key", "text").join(keys.hint("merge"), "key")
@@ -383,7 +397,10 @@ def link(docs: DataFrame, few: int = FEW, limit: int = LIMIT) -> Links:
     links = Links(docs)
     bands = links.nodes.select(F.explode("prints").alias("unit"), "node", F.lit(0).alias("p"))
     small, crowded = _sized(bands, few)
-    links.hold_texts(small.unionByName(crowded))
+    pairs = links.fingerprint_pairs()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    links.hold_texts(small.unionByName(crowded).select("node").unionByName(ends))
+    links.confirm(pairs)
     links.settle(small, crowded, limit)
     crowd = materialise(links.apart(crowded).select("node").distinct(), "near-crowd-nodes")
     if not crowd.isEmpty():

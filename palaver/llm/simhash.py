@@ -55,10 +55,14 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     else:
         shingles = map(b" ".join, zip(*[words[k:] for k in range(width)]))
     n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return fingerprint_of(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero without hashes."""
     octets = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.bincount((octets + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    bits = (2 * counts.ravel() > n).astype(np.uint8)
+    bits = (2 * counts.ravel() > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 

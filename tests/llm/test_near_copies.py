@@ -126,3 +126,35 @@ def test_odd_texts(spark):
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] or -1 for r in got.collect()) == [-1, 1, 3, 6, 8, 9]
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_simhash_trie_gives_pairs_and_components(spark):
+    """Fingerprints as a plain loop makes them; pairs within two bits are joined before any print is looked at."""
+    import random
+
+    import xxhash
+
+    from palaver.llm import near_copies as nc
+
+    dice = random.Random(7)
+    base = [[f"w{dice.randrange(5000)}" for _ in range(600)] for _ in range(6)]
+    texts = {i: " ".join(words) for i, words in enumerate(base)}
+    texts |= {10 + i: " ".join([*words[:-1], "other"]) for i, words in enumerate(base)}
+    docs = spark.createDataFrame([*texts.items(), (99, ""), (98, None)], "doc_id long, text string")
+    links = nc.Links(docs)
+    plain = {}
+    for i, text in texts.items():
+        words = text.encode().split()
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[k: k + 5]), 42) for k in range(len(words) - 4)]
+        hashes = set(hashes)
+        plain[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    rows = {r["first"]["doc_id"]: r for r in links.nodes.collect()}
+    assert {i: rows[i]["fp"] & (1 << 64) - 1 for i in texts} == plain and rows[98]["fp"] == 0
+    near = {(i, j) for i in texts for j in texts if i < j and (plain[i] ^ plain[j]).bit_count() <= 2}
+    doc = {r["node"]: i for i, r in rows.items()}
+    pairs = links.fingerprint_pairs()
+    assert {tuple(sorted((doc[p["a"]], doc[p["b"]]))) for p in pairs.collect()} == near and len(near) >= 4
+    links.hold_texts(pairs.selectExpr("explode(array(a, b)) as node"))
+    links.confirm(pairs)
+    root = {doc[r["node"]]: r["root"] for r in links.roots.collect()}
+    assert all(root[i] == root[j] for i, j in near) and set(root) == {i for p in near for i in p}
