@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palaver.functions import lexicon as lex
 from palaver.functions import text as text_fn
 from palaver.functions import tokens as tok
+from palaver.functions.frames import once
 from palaver.functions.numeric import half_up
 from palaver.operators.topk import top_k
 from palaver.session import materialise
@@ -456,7 +457,9 @@ def evidence_gate(texts: DataFrame, pool: DataFrame, stats: DataFrame, shown: in
     d = texts.join(stats, ROOM, "left").join(pool, ROOM, "left")
     trimmed = text_fn.trim_all(F.col("text"))
     whole = trimmed if matched is None else F.substring(trimmed, 1, matched)
-    norm = F.lower(text_fn.squeeze(whole))
+    # a column of its own: inside a lambda it would be made again for every term of the pool
+    d = once(d, "_norm", F.lower(text_fn.squeeze(whole)))
+    norm = F.col("_norm")
     names = F.exists("pool", lambda t: F.contains(norm, t))
     numbers = F.exists(
         F.regexp_extract_all(norm, F.lit(r"\d+(?:\.\d+)?"), 0),
