@@ -51,15 +51,23 @@ def doc_candidates(spark, folder):
     return kw.candidates(doc_tokens(spark, folder), doc_totals(spark, folder), profile=doc_profile(spark, folder))
 
 
-def hashtag_supplement(spark, folder):
-    f = chat_features(spark, folder)
+def hashtag_supplement(spark, folder, features=None):
+    f = chat_features(spark, folder) if features is None else features
     return kw.hashtag_counts(f, f.select("room_id", "sender").distinct())
 
 
-def chat_lanes(spark, folder):
-    totals = chat_totals(spark, folder)
-    cands = kw.candidates(chat_docs(spark, folder), totals, profile=chat_profile(spark, folder))
-    return kw.dual_lane(cands, hashtag_supplement(spark, folder), totals)
+def keyword_features(spark, folder):
+    """What keywords and topics read of the features, written once."""
+    return materialise(chat_features(spark, folder).select("room_id", "line", "ts", "sender", "message", "keyword_text"), "keyword-features")
+
+
+def chat_lanes(spark, folder, features=None, docs=None, totals=None):
+    """Keyword lanes; features, token documents and totals can be given by who reads them as well."""
+    f = keyword_features(spark, folder) if features is None else features
+    docs = kw.token_docs(f) if docs is None else docs
+    totals = chat_totals(spark, folder) if totals is None else totals
+    cands = kw.candidates(docs, totals, profile=kw.script_profile(f))
+    return kw.dual_lane(cands, hashtag_supplement(spark, folder, f), totals)
 
 
 @query("tokens", t.DOC_TK + "select room_id, line, string_agg(term, ' ' order by i) as tokens from tk group by 1, 2")

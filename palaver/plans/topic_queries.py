@@ -209,16 +209,23 @@ SEEDS = f"""
 , sd as (select room_id, id, 'theme' as kind, title, terms, percent, cast(row_number() over (partition by room_id order by percent desc, rank) as int) as place from s_c join (select distinct room_id, id, percent, rank from s_k) using (room_id, id))"""
 
 
-def _seeds(spark, folder, docs, totals):
-    lanes = materialise(tq.chat_lanes(spark, folder), "lanes")
+def _chat_frames(spark, folder):
+    """Features, token documents, topic documents and totals of the chat, each written once."""
+    features = tq.keyword_features(spark, folder)
+    tokens = materialise(kw.token_docs(features), "chat-tokens")
+    totals = materialise(features.groupBy("room_id").agg(F.count("*").alias("total_messages")), "chat-totals")
+    return features, tokens, materialise(tp.topic_docs(tokens), "topic-docs"), totals
+
+
+def _seeds(spark, folder, features, tokens, docs, totals):
+    lanes = materialise(tq.chat_lanes(spark, folder, features, tokens, totals), "lanes")
     labels = lanes.filter("rank <= 12 or distinctive_rank <= 8").select("room_id", "label")
     return lanes, materialise(tp.seed_candidates(lanes, tp.neighbours(docs, labels), totals), "seeds")
 
 
 @query("seed_topics", t.CHAT_KW + CO + SEEDS + " select * from sd")
 def seed_topics(spark, folder):
-    totals = tq.chat_totals(spark, folder)
-    _, seeds = _seeds(spark, folder, _chat_docs(spark, folder), totals)
+    _, seeds = _seeds(spark, folder, *_chat_frames(spark, folder))
     return cards.seed_topics(seeds).withColumn("terms", F.array_join("terms", " "))
 
 
@@ -248,9 +255,8 @@ ALL_CARDS = _recursive(t.CHAT_KW + GE + REFINED + SEEDS + MERGED.replace(", mh a
 
 
 def chat_topics(spark, folder):
-    totals = tq.chat_totals(spark, folder)
-    docs = _chat_docs(spark, folder)
-    lanes, seeds = _seeds(spark, folder, docs, totals)
+    features, tokens, docs, totals = _chat_frames(spark, folder)
+    lanes, seeds = _seeds(spark, folder, features, tokens, docs, totals)
     graph = materialise(cards.refined_topics(materialise(_graph_cards(spark, folder, docs, totals), "graph-cards")), "refined")
     seeded = materialise(cards.seed_topics(seeds), "seed-cards")
     return lanes, materialise(cards.merged_topics(graph, seeded, seeded.filter(F.lit(False)), 12, 4), "merged"), totals
