@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from palaver.functions import lexicon as lex
 
 _BLANKS = "\t\n\x0b\f\r \u00a0" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
+#: Texts of ASCII, Hangul letters and syllables alone, told by one run over short ranges.
+PLAIN_TEXT = r"^[\x00-\x7F\x{3131}-\x{318E}\x{AC00}-\x{D7A3}]*+\z"
+
 
 def trim_all(text: Column) -> Column:
     """Trim every Unicode blank, not only the ASCII space."""
@@ -55,9 +61,12 @@ def safe_file_name(path: Column) -> Column:
 
 def scrub(text: Column) -> Column:
     """Replace URLs, e-mail addresses and long numbers by neutral words."""
-    for pattern, word in lex.SCRUB:
-        text = F.regexp_replace(text, pattern, word)
-    return trim_all(squeeze(text))
+    found = text
+    for (pattern, word), marks in zip(lex.SCRUB, (("://", "."), ("@",), ())):
+        out = F.regexp_replace(found, pattern, word)
+        # a pattern is only tried on texts with a character that each of its matches holds
+        found = F.when(reduce(or_, [text.contains(m) for m in marks]), out).otherwise(found) if marks else out
+    return trim_all(squeeze(found))
 
 
 def evidence(text: Column, limit: int = 56) -> Column:
@@ -76,7 +85,7 @@ def domains(text: Column) -> Column:
         ),
     )
     return F.when(
-        text.rlike(lex.LINK_HINT), F.filter(hosts, lambda h: h.isNotNull())
+        (text.contains("://") | text.contains(".")) & text.rlike(lex.LINK_HINT), F.filter(hosts, lambda h: h.isNotNull())
     ).otherwise(F.array().cast("array<string>"))
 
 

@@ -93,14 +93,19 @@ class Report:
     @cached_property
     def lanes(self) -> DataFrame:
         o = self.options
-        cands = kw.candidates(self.docs, self.totals, o.stop_terms, kw.script_profile(self.messages))
+        cands = kw.candidates(self.docs, self.totals, o.stop_terms, kw.script_profile(self.features))
         supplement = kw.hashtag_counts(self.features, self.people)
         lanes = kw.dual_lane(cands, supplement, self.totals, o.keyword_limit, o.supplement_weight, o.stop_terms, (o.frequency_lane, o.score_lane))
         return materialise(lanes, "lanes")
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Texts scrubbed and weighed once, for samples and signals."""
+        return materialise(feat.scored_context(self.features), "scored-context")
+
     @cached_property
     def samples(self) -> DataFrame:
-        return materialise(smp.context_samples(feat.scored_context(self.features)), "samples")
+        return materialise(smp.context_samples(self.scored), "samples")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -184,7 +189,7 @@ class Report:
     @cached_property
     def hot_topics(self) -> DataFrame:
         terms = kw.top_period_terms(kw.period_terms(self.docs, "day"), "day", 4)
-        scored = None if self.options.signals_from_samples else feat.scored_context(self.features)
+        scored = None if self.options.signals_from_samples else self.scored
         hot = ins.hot_topics(self.days, terms, self.samples, act.sender_day_counts(self.cells), self.bursts, scored=scored)
         return materialise(hot, "hot-topics")
 
