@@ -50,7 +50,9 @@ def marked_lines(message: Column) -> Column:
     )
     full = F.transform(lines, lambda s: entry(s["raw"], s["line"], notice_kind(s["line"])))
     none = F.lit(None).cast("string")
-    plain = F.array_compact(F.array(F.when(clean(message) != "", entry(message, message, none))))
+    # cleaning takes blanks, quotes and commas only, so any other character stays
+    some = message.rlike(f'[^{lex.BLANK}",]') | (clean(message) != "")
+    plain = F.array_compact(F.array(F.when(some, entry(message, message, none))))
     return F.when(message.contains("\n") | message.rlike(lex.NOTICE_HINT), full).otherwise(plain)
 
 
@@ -91,6 +93,6 @@ def is_boilerplate(text: Column) -> Column:
     """Welcome or house-rules copy-paste of open rooms."""
     t = squeeze(trim_all(text))
     size = utf16_length(t)
-    return (size >= 24) & (
+    return (F.length(text) >= 12) & (size >= 24) & (  # a character is two units at most
         t.rlike(lex.WELCOME_TEXT) | (t.rlike(lex.RULES_TEXT) & (size >= 48))
     )

@@ -65,7 +65,7 @@ def message_features(messages: DataFrame) -> DataFrame:
         trimmed.rlike(lex.PURE_LAUGH).alias("is_pure_laugh"),
         short.between(1, 3).alias("is_short"),
         msg.rlike(lex.PLAN_SIGNAL).alias("has_plan"),
-        msg.rlike(lex.PICTOGRAPH).alias("has_emoji"),
+        (~msg.rlike(text_fn.PLAIN_TEXT) & msg.rlike(lex.PICTOGRAPH)).alias("has_emoji"),
         F.hour("ts").isin(*lex.NIGHT_HOURS).alias("is_night"),
         F.dayofweek("ts").isin(1, 7).alias("is_weekend"),
         notice_fn.is_boilerplate(msg).alias("is_boilerplate"),
