@@ -13,7 +13,7 @@ from palaver.plans.flow_queries import HIST, LINK, SESS
 from palaver.plans.registry import query
 from palaver.session import work_dir
 from palaver.sources import tables as src
-from palaver.sources.sinks import write_exports
+from palaver.sources.sinks import ROOM_IN_PATH, write_exports
 from palaver.streaming import exports
 from palaver.streaming import rooms as st
 from palaver.streaming import slots as sl
@@ -99,7 +99,7 @@ def stream_exports(spark, folder):
     name = uuid.uuid4().hex
     for step, upto in (("1", 2), ("2", None)):
         write_exports(messages if upto is None else messages.where(F.col("line") < upto), f"{base}/{step}")
-        found = exports.new_messages(exports.export_lines_stream(spark, base, pattern="*.txt"), resume=name, room=F.regexp_extract("path", "room_id=([^/]+)", 1))
+        found = exports.new_messages(exports.export_lines_stream(spark, base, pattern="*.txt"), resume=name, room=F.regexp_extract("path", ROOM_IN_PATH, 1))
     return found.drop("line")
 
 

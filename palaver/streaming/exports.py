@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import room_name_from_file
+from palaver.session import TASKS
 from palaver.sources import export_lines as ex
-from palaver.streaming.rooms import _put, run_batches
+from palaver.streaming.rooms import _put, run_batches, settings
 
 MESSAGES = "room_id string, line bigint, ts timestamp_ntz, sender string, message string"
 ENDS = "room_id string, line bigint"
@@ -64,5 +65,7 @@ def new_messages(lines: DataFrame, name: str = "exports", resume: str | None = N
         rows = read.schema(MESSAGES).parquet(f"{base}/messages/batch={number}")
         _put(rows.groupBy("room_id").agg(F.max("line").alias("line")), base, "ends", number)
 
-    base = run_batches(lines, name, handle, resume=resume)
+    # the files of a batch are listed by path, a task per file unless bounded
+    with settings(spark, **{"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(TASKS * spark.sparkContext.defaultParallelism)}):
+        base = run_batches(lines, name, handle, resume=resume)
     return spark.read.schema(MESSAGES).parquet(f"{base}/messages").drop("batch")

@@ -190,3 +190,36 @@ def test_rows_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(held) == 4000 and max(held) < 1000
+
+
+ROOMS = "room_id string, line bigint, ts timestamp_ntz, sender string, message string"
+
+
+def test_many_rooms_are_files_of_few_folders(spark, tmp_path):
+    """A folder per room made readers list each; files must stay one per room, with the same records."""
+    from palaver.sources import export_lines as ex
+
+    names = [*(f"{k}" for k in range(60)), "a/b", "방 1.txt", None]
+    at = dt.datetime(2026, 5, 1, 9)
+    rows = [(n, k, at + dt.timedelta(seconds=k), 'x"y', f"{n}\nmore" if k else "one") for n in names for k in range(2)]
+    base = f"file://{tmp_path}/out"
+    sinks.write_exports(spark.createDataFrame(rows, ROOMS).repartition(5), base)
+    found = [(folder, f) for folder, _, files in os.walk(tmp_path / "out") for f in files if f.endswith(".txt")]
+    assert len(found) == len(names) and len({folder for folder, _ in found}) <= 16
+    room = F.regexp_extract("path", sinks.ROOM_IN_PATH, 1)
+    got = ex.records(ex.text_lines(ex.raw_lines(spark, base)), room).collect()
+    assert len(got) == len(rows)
+    assert {(r.room_id, r.ts, r.sender, r.message) for r in got if r.room_id.isdigit()} == {(n, t, s, m) for n, _, t, s, m in rows if n and n.isdigit()}
+    assert sum("a%2Fb" in f for _, f in found) == 1 and len({r.room_id for r in got}) == len(names)
+
+
+def test_spoilt_rooms_are_files_of_few_folders(spark, tmp_path):
+    """The exports behind the warnings: one file per room, not one folder per room."""
+    from palaver.plans import text_queries as tq
+
+    spark.sql("select id as conv_id, 0L as turn, 'user' as role, 'two\nlines' as text from range(40)").write.parquet(f"{tmp_path}/conversations.parquet")
+    paths = [r.path for r in tq._export_files(spark, str(tmp_path), True).select("path").distinct().collect()]
+    assert len(paths) == 40 and len({p.rsplit("/", 1)[0] for p in paths}) <= 16
+    got = {(r.room_id, r.code): r["count"] for r in tq.export_warnings(spark, str(tmp_path)).collect()}
+    codes = {3: "unexpected_header", 4: "continuation_without_record", 5: "invalid_date", 6: "sender_parse_error"}
+    assert got == {(f"{k}", codes[k % 10]): 1 for k in range(40) if k % 10 in codes}

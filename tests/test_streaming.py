@@ -191,3 +191,14 @@ def test_tables_of_part_files_stream_like_one_file(spark, tmp_path):
         "id as event_id", "timestamp_ntz'2026-01-01 00:00:00' as ts", "id as user_id", "'view' as event_type", "0.0d as value", "'' as props")
     events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     assert [r.messages for r in st.latest_counts(st.daily_counts(st.event_stream(spark, str(tmp_path))), "day", ["room_id"]).collect()] == [6]
+
+
+def test_files_of_a_batch_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    """A trigger names its files one by one; listing them took a task per file."""
+    setting, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    whole = exports.run_batches
+    monkeypatch.setattr(exports, "run_batches", lambda *a, **k: (seen.append(int(spark.conf.get(setting))), whole(*a, **k))[1])
+    before = spark.conf.get(setting)
+    (tmp_path / "QTalk_Chat_r1_2026-05-16-15-03-41.csv").write_text('Date,User,Message\n2026-05-01 09:00:01,"a",hi\n', encoding="utf-8")
+    assert [r.message for r in exports.new_messages(exports.export_lines_stream(spark, str(tmp_path))).collect()] == ["hi"]
+    assert seen[0] <= 8 * spark.sparkContext.defaultParallelism and spark.conf.get(setting) == before
