@@ -17,6 +17,7 @@ from palaver.plans.chat_sql import CHAT_F, q, squeeze_sql, trim_sql, u16_sql
 from palaver.plans.registry import query, round_sql
 from palaver.session import materialise
 from palaver.sources import tables as src
+from palaver.sources.sinks import ROOM_IN_PATH, write_rooms
 
 
 def doc_tokens(spark, folder, room="lang"):
@@ -294,21 +295,16 @@ def _export_files(spark, folder, spoil=False):
     head = rooms.select("room_id", F.lit(-2).cast("long").alias("line"), F.lit(0).alias("i"), F.when(odd == 3, "Datum,User,Message").otherwise("Date,User,Message").alias("value"))
     stray = rooms.filter(odd == 4).select("room_id", F.lit(-1).cast("long").alias("line"), F.lit(0).alias("i"), F.lit("stray line").alias("value"))
     base = f"{work_dir(spark)}/exports-{uuid.uuid4().hex}"
-    every = parts.unionByName(head).unionByName(stray).repartition("room_id").sortWithinPartitions("room_id", "line", "i")
-    every.select("room_id", "value").write.partitionBy("room_id").text(base)
+    write_rooms(parts.unionByName(head).unionByName(stray), base)
     return ex.text_lines(ex.raw_lines(spark, base))
 
 
-def _room(path, pattern, group):
-    return F.regexp_extract(path, pattern, group)
-
-
 @query("export_scan", f"select room_id, ts, sender, message from ({src.CONVERSATIONS_SQL})")
 def export_scan(spark, folder):
     """Conversations written as export files, read back through Spark's file layer."""
     from palaver.sources import export_lines as ex
 
-    return ex.records(_export_files(spark, folder), _room("path", "room_id=([^/]+)", 1)).drop("line")
+    return ex.records(_export_files(spark, folder), F.regexp_extract("path", ROOM_IN_PATH, 1)).drop("line")
 
 
 @query("export_scan_since", f"select room_id, ts, sender, message from ({src.CONVERSATIONS_SQL}) where ts >= timestamp '2024-01-05 00:00:00'")
@@ -316,7 +312,7 @@ def export_scan_since(spark, folder):
     """The same from a day on: older records leave before their lines are gathered."""
     from palaver.sources import export_lines as ex
 
-    return ex.records(_export_files(spark, folder), _room("path", "room_id=([^/]+)", 1), since="2024-01-05").drop("line")
+    return ex.records(_export_files(spark, folder), F.regexp_extract("path", ROOM_IN_PATH, 1), since="2024-01-05").drop("line")
 
 
 @query("export_warnings", f"""with m as ({src.CONVERSATIONS_SQL}), r as (select room_id, cast(room_id as bigint) % 10 as odd, count(*) as n from m group by 1, 2)
@@ -326,7 +322,7 @@ def export_warnings(spark, folder):
     """The same with spoilt headers, dates, senders and stray lines in some rooms."""
     from palaver.sources import export_lines as ex
 
-    found = ex.warnings(_export_files(spark, folder, True), _room("path", "room_id=([^/]+)", 1))
+    found = ex.warnings(_export_files(spark, folder, True), F.regexp_extract("path", ROOM_IN_PATH, 1))
     return found.groupBy("room_id", "code").agg(F.count("*").alias("count"))
 
 
