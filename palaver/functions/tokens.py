@@ -73,6 +73,8 @@ _ENDING = lex.CHAT_ENDING[:-1]
 # drop the ending that starts leftmost, but only if two characters remain
 _STEM = f"^(?!.?{_ENDING}$)(.{{2,}}?){_ENDING}$"
 _NOISE = r"^\d{1,4}$|^[A-Za-z]{1,3}$|[_/]|^[ㄱ-ㅎㅏ-ㅣ]+$|^(?=.*[^A-Za-z])[^ ]{8,}$"
+# four or more Latin letters alone: noise by none of these patterns, and told sooner
+_PLAIN_WORD = r"^[A-Za-z]{4,}+\z"
 
 
 def discourse_stem(term: Column) -> Column:
@@ -103,7 +105,7 @@ def is_noise(term: Column, stop_terms: Iterable[str] = ()) -> Column:
         (F.length(term) < 2)
         | term.isin(listed)
         | F.lower(term).isin(*lex.NOISE_LATIN)
-        | term.rlike(_NOISE)
+        | (~term.rlike(_PLAIN_WORD) & term.rlike(_NOISE))
         | (_has_ending(term) & discourse_stem(term).isin(words))
     )
 
